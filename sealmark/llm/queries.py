@@ -5,20 +5,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealmark.llm import chat, embedding_dup, line_dedup, mixing, near_dup, oracles, packing, quality, secrets, toxicity
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "n_removed", F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    events = turns.union(planted).withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
+    chats = chat.format_chats(events).withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text("formatted", "loss_spans")})
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sealmark.llm.near_dup import near_duplicates
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return rows.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(_table(spark, sf_dir, "documents"))
+    return book.select(
+        "doc_id", *(f"measure.{m}" for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        (~quality.verdict(1)).alias("base_failed"), quality.verdict(2).alias("kept"), F.col("failed").alias("failed_bits"),
+    )
+
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def queries():
-    return {f.__name__: f for f in (op4_near_duplicates,)}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {}
+    return oracles.SQL
