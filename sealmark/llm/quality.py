@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sealmark.llm.columns import computed_once
+
 GAP = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -89,7 +91,7 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null, empty or blank text: no words, fails few_words. Repeated rows stay. A column of docs named `measure`
     or `failed` is replaced; all others pass through.
     """
-    return measured(docs, text_col).withColumn("failed", failure_bits())
+    return computed_once(measured(docs, text_col), measure=F.col("measure"), failed=failure_bits())
 
 
 def verdict(version: int, failed: str | Column = "failed") -> Column:
