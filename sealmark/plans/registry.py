@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from sealmark.plans import store_queries
+
+MODULES = (store_queries,)
+
+
+def flagship(spark, sf_dir: str):
+    """How many verification attempts passed, are pending or were rejected."""
+    return store_queries.e3_decision_summary(spark, sf_dir)
+
 
 def queries():
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
