@@ -72,7 +72,8 @@ def blind_index(value: Column, primary_key: bytes) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x held to 0..1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def number_check(value: Column, default: float = 0.0) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sealmark.plans import store_queries
+from sealmark.plans import score_queries, store_queries
 
-MODULES = (store_queries,)
+MODULES = (store_queries, score_queries)
 
 
 def flagship(spark, sf_dir: str):
