@@ -28,6 +28,8 @@ U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
 #: Tokens per block of documents; a longer document is a block of its own.
 BLOCK_TOKENS = 1_000_000
+#: Tokens of text for each part that the exact counts of single tokens are dealt to.
+PART_TOKENS = 4_000_000
 #: Pairs a filter segment is meant to hold, bits for each entry, probes for each.
 SEGMENT_PAIRS, BITS_PER_ENTRY, PROBES = 1 << 18, 12, 6
 #: Bytes of the filter that are broadcast at once.
@@ -107,15 +109,36 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
             yield _Block(batch.slice(k, 1).to_pylist()[0])
 
 
-def _token_counts(blocks: DataFrame) -> DataFrame:
-    """(block, token, n): every block's distinct tokens with their counts in documents that aren't held out."""
+def _token_parts(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, tokens, counts): every block's distinct tokens with their training counts, dealt by hash, packed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _unpacked(batches):
-            counts = np.bincount(b.codes[~b.held[b.rows]], minlength=len(b.vocabulary))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), b.block)), pa.array(b.vocabulary.view(np.int64)), pa.array(counts)], ["block", "token", "n"])
+            counts = np.bincount(b.codes[~b.held[b.rows]], minlength=len(b.vocabulary)).astype("<u4")
+            bounds = np.searchsorted(_segment(b.vocabulary, parts), np.arange(parts + 1))  # rises with the token
+            some = np.flatnonzero(np.diff(bounds))
+            cut = lambda x: pa.array([x[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.block)), cut(b.vocabulary), cut(counts)], ["part", "block", "tokens", "counts"])
+
+    return blocks.mapInArrow(work, "part int, block long, tokens binary, counts binary")
+
+
+def token_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """(block, part, counts, n, v): for a block's tokens in a part, in order, their counts in all training documents.
+
+    n and v, on one row of each part, are the part's training tokens and distinct ones.
+    """
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = np.array([len(t) // 8 for t in pdf["tokens"]])
+        tokens, code = np.unique(np.frombuffer(b"".join(pdf["tokens"]), U64), return_inverse=True)
+        total = np.bincount(code, weights=np.frombuffer(b"".join(pdf["counts"]), "<u4"), minlength=len(tokens)).astype("<i8")
+        ends = np.cumsum(sizes)
+        own = [total[code[e - s : e]].tobytes() for e, s in zip(ends, sizes)]
+        first = np.arange(len(pdf)) == 0
+        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "counts": own, "n": np.where(first, total.sum(), 0), "v": np.where(first, (total > 0).sum(), 0)})
 
-    return blocks.mapInArrow(work, "block long, token long, n long")
+    return _token_parts(blocks, parts).groupBy("part").applyInPandas(work, "block long, part int, counts binary, n long, v long")
 
 
 def _pair_counts(blocks: DataFrame, segments: int) -> DataFrame:
@@ -236,9 +259,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     """
     spark = docs.sparkSession
     blocks = written(token_blocks(docs, id_col, text_col), "blocks")
-    local = written(_token_counts(blocks), "tokens")
-    counts = written(local.groupBy("token").agg(F.sum("n").alias("c")), "counts")
-    n, v = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    size = blocks.agg(F.sum(F.octet_length("codes") / 4)).first()[0] or 0
+    known = written(token_counts(blocks, max(1, round(size / PART_TOKENS))), "counts")
+    n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    known = known.select("block", "part", "counts")
     segments = max(1, round(n / SEGMENT_PAIRS))
     filters = written(segment_filters(blocks, segments), "filter")
     sizes = {r.segment: r.size for r in filters.select("segment", F.octet_length("bits").alias("size")).collect()}
@@ -249,7 +273,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
             first, size = s, 0
         size += sizes.get(s, 0)
     slices.append((first, segments))
-    known = local.join(counts, "token").select("block", "token", "c")
     rows = None
     for nr, (lo, hi) in enumerate(slices):
         own = {r.segment: bytes(r.bits) for r in filters.where(F.col("segment").between(lo, hi - 1)).collect()}
@@ -277,13 +300,11 @@ def _slice_scores(blocks: DataFrame, known: DataFrame, shared, is_first: bool, n
         segments, first, sizes, starts, bits = shared.value
         part = FilterSlice.__new__(FilterSlice)
         part.segments, part.first, part.sizes, part.starts, part.bits = segments, first, sizes, starts, bits
-        tokens = right["token"].to_numpy(np.int64).view(U64)
-        order = np.argsort(tokens)
-        tokens, counts = tokens[order], right["c"].to_numpy(np.int64)[order]
+        right = right.drop_duplicates("part").sort_values("part")  # parts rise with the token, as the vocabulary does
+        c = np.frombuffer(b"".join(right["counts"]), "<i8")
         out, place = [], 0
         for row in left.to_dict("records"):  # one, or blocks that are equal
             b = _Block(row)
-            c = counts[np.searchsorted(tokens, b.vocabulary)]
             p = (c + 0.5) / (n + 0.5 * (v + 1))
             docs = len(b.sizes)
             before = np.concatenate(([0], b.codes[:-1]))

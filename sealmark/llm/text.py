@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = U64(pow(int(_BASE), -1, 1 << 64))
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,13 +65,15 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the row it is in."""
+def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the row it is in; words are cut at the bytes in `cuts` too."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
