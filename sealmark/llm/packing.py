@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from sealmark.scratch import written
 GROUP_PIECES = 4096
 #: Distinct spans of text whose ids a worker keeps; beyond them it starts anew.
 KEPT_SPANS = 2_000_000
+ENCODED_AT_ONCE = 2048
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
@@ -34,6 +36,7 @@ class SpanTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -44,7 +47,9 @@ class SpanTokenizer:
         self.starts, self.sizes, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, keys: np.ndarray, spans: list[str]) -> None:
-        new = [e.ids for e in self.model.encode_batch_fast(spans, add_special_tokens=False)]
+        new = []
+        for k in range(0, len(spans), ENCODED_AT_ONCE):  # an encoding is far larger than its ids
+            new += [e.ids for e in self.model.encode_batch_fast(spans[k : k + ENCODED_AT_ONCE], add_special_tokens=False)]
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         total = int(sizes.sum())
         while self.used + total > len(self.ids):
@@ -60,13 +65,8 @@ class SpanTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the n+1 bounds."""
         data, offsets = tx.raw(texts)
-        starts, ends, _ = tx.words(data, offsets)
-        if len(data) > 1:
-            a, b = data[:-1], data[1:]
-            cut = np.flatnonzero((_LETTER[a] & _STOP[b]) | (_STOP[a] & _LETTER[b])) + 1
-            cut = cut[~np.isin(cut, offsets, kind="sort")] if len(cut) else cut
-            starts, ends = np.union1d(starts, cut), np.union1d(ends, cut)
-        rows = np.searchsorted(offsets, starts, side="right") - 1
+        a, b = data[:-1], data[1:]
+        starts, ends, rows = tx.words(data, offsets, np.flatnonzero((_LETTER[a] & _STOP[b]) | (_STOP[a] & _LETTER[b])) + 1)
         hashes = tx.span_hashes(data, starts, ends)
         keys, first, code = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT_SPANS:
