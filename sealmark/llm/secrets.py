@@ -53,7 +53,7 @@ def _literals(items, any_case: bool) -> tuple[list[frozenset[str]], set[str] | N
         own: set[str] | None = None
         if op is sre.LITERAL:
             own = {chr(arg).lower() if any_case else chr(arg)}
-        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= 3:
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= 8:
             own = {chr(a).lower() if any_case else chr(a) for _, a in arg}
         elif op is sre.SUBPATTERN:
             inner, own = _literals(arg[3], any_case)
