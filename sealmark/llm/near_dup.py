@@ -132,14 +132,16 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return source.mapInArrow(work, "doc_id long, shingles array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The (a, b) pairs that are linked by their full sets. Only texts in a pair are read again."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
+def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ids; only their texts are read again."""
     if ids.count() <= BROADCAST_IDS:
-        wanted = docs.join(F.broadcast(ids), docs[id_col] == ids["doc_id"], "left_semi")
-    else:
-        wanted = docs.join(ids, docs[id_col] == ids["doc_id"], "left_semi")
-    sets = written(full_sets(wanted, id_col, text_col, width).dropDuplicates(["doc_id"]), "sets")
+        ids = F.broadcast(ids)
+    wanted = docs.join(ids, docs[id_col] == F.col("class_id"), "left_semi")
+    return written(full_sets(wanted, id_col, text_col, width).dropDuplicates(["doc_id"]), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that are linked by their full sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_of_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_of_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -148,17 +150,40 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wi
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("smallest")).where("lo < hi")
+    return placed.drop("smallest").join(several.select("bucket", "smallest"), "bucket")
+
+
+def _able(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """placed with `n_common`, without members that can't be linked with any other member.
+
+    n_common counts the shingles of a member that some other member has too. A link of x and y needs
+    percent / (100 + percent) * (|x| + |y|) common shingles or more, and |y| is at least the least size in x's
+    buckets; a member with fewer is out. This is exact: it drops no link.
+    """
+    ids = placed.groupBy("class_id").agg(F.min("smallest").alias("smallest"), F.any_value("n_shingles").alias("n_shingles"))
+    each = sets.join(ids.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    twice = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    common = each.join(twice, "shingle", "left_semi").groupBy(F.col("doc_id").alias("class_id")).agg(F.count("*").alias("n_common"))
+    partner = F.greatest(F.ceil(F.col("n_shingles") * percent / 100), F.col("smallest"))
+    able = common.join(ids, "class_id").where(F.col("n_common") * (100 + percent) >= (F.col("n_shingles") + partner) * percent)
+    return _mixed(placed.drop("n_common").join(able.select("class_id", "n_common"), "class_id"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85,
-    bands: int = 32, band_rows: int = 6, centres: tuple[int, ...] = (1, 16),
+    bands: int = 32, band_rows: int = 6, centres: tuple[int | None, ...] = (8, None),
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is its own).
 
-    Members of a bucket are paired with a centre, the bucket's smallest id, so a bucket of n gives n - 1 pairs.
-    That can miss links between two members whose similarity to the centre is too small, so buckets which still
-    hold more than one component are searched again with more centres, and at last with every member as a
-    centre; pairs inside one component are never formed. A link at the threshold shares no bucket with chance
-    (1 - 0.85^6)^32 < 1e-6.
+    Members of a bucket are paired with a centre, the member that shares most bucket places with others, so a
+    bucket of n gives n - 1 pairs. That can miss links between two members of which the centre is too far, so
+    buckets which still hold more than one component are searched again with more centres, and at last with
+    every member as a centre. Those searches leave out pairs inside a component, and pairs that can't be linked
+    by counts of the shingles which members share; each pair is formed in the first bucket that it shares. A
+    link at the threshold shares no bucket with chance (1 - 0.85^6)^32 < 1e-6.
 
     Null or empty texts: empty set, own component. A null id is in no link: component_id null, kept. Rows that
     repeat an id count as one document (their links are pooled). Other columns of docs are not read. The result
@@ -178,37 +203,40 @@ def near_duplicates(
         .select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b")
     )
     members = classes.where(F.size("buckets") > 0).select("class_id", "n_shingles", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("centre")).where("n > 1")
-    members = written(members.join(shared.select("bucket", "centre"), "bucket"), "buckets")
-    fits = "least(n_shingles, centre_size) * 100 >= greatest(n_shingles, centre_size) * " + str(percent)
-    links, tried = pooled, None
-    for step in (*centres, None):
-        if tried is None:
-            sizes = members.where("class_id = centre").select("bucket", "centre", F.col("n_shingles").alias("centre_size"))
-            pairs = members.drop("centre").join(sizes, "bucket")
-        else:
-            at = connected_components(links)
-            placed = members.join(at.withColumnRenamed("node", "class_id"), "class_id", "left")
-            placed = placed.withColumn("component", F.coalesce("component", "class_id"))
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            placed = written(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-            if placed.isEmpty():
-                break
-            # the next centres of a bucket: members of the smallest hash, one column of ranks from partial top lists
-            placed = placed.drop("centre")
-            chosen = placed.select("bucket", F.struct(F.xxhash64("class_id", F.lit(len(tried))).alias("h"), "class_id", "n_shingles", "component").alias("c"))
-            if step is not None:
-                slots = chosen.withColumn("slot", F.pmod("c.h", F.lit(step)))
-                chosen = slots.groupBy("bucket", "slot").agg(F.min("c").alias("c"))
-            chosen = chosen.select("bucket", F.col("c.class_id").alias("centre"), F.col("c.n_shingles").alias("centre_size"), F.col("c.component").alias("other"))
-            pairs = placed.join(chosen, "bucket").where("component <> other")
-        pairs = pairs.where("class_id <> centre").where(fits)
-        pairs = pairs.select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct()
-        for done in tried or []:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = [*(tried or []), pairs]
-        links = written(links.union(_confirmed(docs, pairs, id_col, text_col, width, percent)), "links")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(members.join(shared, "bucket"), "buckets")
+    places = members.groupBy("class_id").agg(F.sum("n").alias("places"), F.any_value("n_shingles").alias("n_shingles"))
+    sets = _sets_of(docs, written(places.select("class_id"), "shared"), id_col, text_col, width)
+    top = F.max(F.struct("places", -F.col("class_id"), "n_shingles"))
+    star = members.select("bucket", "class_id").join(places, "class_id").groupBy("bucket").agg(top.alias("c"))
+    star = star.select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.n_shingles").alias("centre_size"))
+    fits = F.least("n_shingles", "centre_size") * 100 >= F.greatest("n_shingles", "centre_size") * percent
+    ends = (F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b"))
+    pairs = written(members.join(star, "bucket").where((F.col("class_id") != F.col("centre")) & fits).select(*ends).distinct(), "pairs")
+    links = written(pooled.union(_confirmed(sets, pairs, percent)), "links")
+    for slots in centres:
+        at = connected_components(links).withColumnRenamed("node", "class_id")
+        placed = members.drop("n").join(at, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        placed = written(_mixed(placed), "mixed")
+        for _ in range(2):
+            placed = written(_able(placed, sets, percent), "able")
+        if placed.isEmpty():
+            break
+        placed = placed.drop("smallest").join(classes.select("class_id", "buckets"), "class_id")
+        chosen = placed
+        if slots is not None:
+            best = F.min(F.struct(F.xxhash64("class_id").alias("h"), "class_id", "n_shingles", "component", "n_common", "buckets"))
+            chosen = placed.groupBy("bucket", F.pmod(F.xxhash64("class_id"), F.lit(slots)).alias("slot")).agg(best.alias("c")).select("bucket", "c.*")
+        chosen = chosen.select(
+            "bucket", F.col("class_id").alias("centre"), F.col("n_shingles").alias("centre_size"), F.col("component").alias("other"),
+            F.col("n_common").alias("centre_common"), F.col("buckets").alias("centre_buckets"),
+        )
+        enough = F.least("n_common", "centre_common") * (100 + percent) >= (F.col("n_shingles") + F.col("centre_size")) * percent
+        once = F.get(F.array_intersect("buckets", "centre_buckets"), F.lit(0)) == F.col("bucket") if slots is None else F.lit(True)
+        half = F.col("class_id") < F.col("centre") if slots is None else F.col("class_id") != F.col("centre")
+        pairs = placed.join(chosen, "bucket").where((F.col("component") != F.col("other")) & half & fits & enough & once)
+        pairs = written(pairs.select(*ends).distinct(), "pairs")
+        links = written(links.union(_confirmed(sets, pairs, percent)), "links")
     found = connected_components(links).withColumnRenamed("node", "class_id")
     placed = classes.select("n_shingles", "set_a", "set_b", "class_id").join(found, "class_id", "left")
     placed = placed.select("n_shingles", "set_a", "set_b", F.coalesce("component", "class_id").alias("component_id"))
