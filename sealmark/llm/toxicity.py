@@ -17,9 +17,9 @@ from sealmark.scratch import written
 GRAMS = (3, 4, 5, 6)
 BITS = 22
 #: Labelled rows that a fit reads at most, taken in the order of a hash of their ids.
-MAX_FIT_ROWS = 20_000
+MAX_FIT_ROWS = 15_000
 #: Features kept: those whose log-count ratio is this many standard errors from 0, at most MAX_FEATURES of them.
-LEAST_Z, MAX_FEATURES = 3.0, 60_000
+LEAST_Z, MAX_FEATURES = 3.0, 30_000
 
 
 def gram_hashes(texts: pa.Array):
@@ -93,21 +93,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def _solve(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, penalty: float, steps: int = 300):
-    """Logistic regression by accelerated gradient steps on sparse entries; the intercept isn't penalised."""
-    n = len(y)
-    w, b, w0, b0 = np.zeros(n_cols), float(np.log((y.sum() + 1) / (n - y.sum() + 1))), np.zeros(n_cols), 0.0
-    b0 = b
-    norms = np.bincount(rows, weights=values**2, minlength=n)
-    rate = 1 / (0.25 * (np.percentile(norms, 95) + 1) / 4 + penalty)
+#: Entries of the sample that the solver looks at in one go.
+BLOCK_ENTRIES = 1 << 20
+
+
+def _solve(cols: np.ndarray, sizes: np.ndarray, ratios: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300):
+    """Logistic regression by accelerated gradient steps; the intercept isn't penalised.
+
+    Row k has the `sizes[k]` next features of cols, feature f with the value ratios[f]. Entries are gone through in
+    blocks of whole rows, so the memory beyond cols is bounded.
+    """
+    n, starts = len(y), np.concatenate(([0], np.cumsum(sizes)))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], BLOCK_ENTRIES)), n)).tolist()
+    blocks = list(zip(cuts[:-1], cuts[1:]))
+
+    def by_row(of: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for a, b in blocks:
+            rows = np.repeat(np.arange(b - a), sizes[a:b])
+            out[a:b] = np.bincount(rows, weights=of[cols[starts[a] : starts[b]]], minlength=b - a)
+        return out
+
+    def by_feature(of: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ratios))
+        for a, b in blocks:
+            out += np.bincount(cols[starts[a] : starts[b]], weights=np.repeat(of[a:b], sizes[a:b]), minlength=len(ratios))
+        return out * ratios
+
+    w, b = np.zeros(len(ratios)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    w0, b0 = w, b
+    rate = 1 / (0.25 * (np.percentile(by_row(ratios**2), 95) + 1) / 4 + penalty)
     for k in range(steps):
         step = k / (k + 3)
         wa, ba = w + step * (w - w0), b + step * (b - b0)
-        z = np.bincount(rows, weights=values * wa[cols], minlength=n) + ba
-        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
+        g = (1 / (1 + np.exp(-np.clip(by_row(wa * ratios) + ba, -60, 60))) - y) / n
         w0, b0 = w, b
-        w = wa - rate * (np.bincount(cols, weights=values * g[rows], minlength=n_cols) + penalty * wa)
-        b = ba - rate * g.sum()
+        w, b = wa - rate * (by_feature(g) + penalty * wa), ba - rate * g.sum()
     return w, b
 
 
@@ -138,9 +159,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if kept.empty:
         return Model(intercept=prior)
     features, ratios = kept["feature"].to_numpy(np.int64), kept["ratio"].to_numpy()
-    place = np.full(1 << BITS, -1, np.int32)
-    place[features] = np.arange(len(features))
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << BITS, bool)
         own[features] = True
@@ -156,10 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     coded = sample.select("text", "toxic").mapInArrow(encode, "toxic int, hits array<int>").toArrow()
     y = coded.column("toxic").to_numpy().astype(np.float64)
     hits = coded.column("hits").combine_chunks()
-    sizes = np.diff(hits.offsets.to_numpy())
-    cols = hits.flatten().to_numpy()
-    rows = np.repeat(np.arange(len(y)), sizes)
-    w, b = _solve(rows, cols, ratios[cols], y, len(features), penalty)
+    w, b = _solve(hits.flatten().to_numpy(), np.diff(hits.offsets.to_numpy()), ratios, y, penalty)
     return Model(features, w * ratios, b)
 
 
