@@ -3,59 +3,125 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealmark.scratch import written
 
-def admitted(micros: np.ndarray, window: int, most: int) -> np.ndarray:
+
+#: Calls of a slice of the global key; there are at most as many slices as shuffle partitions.
+SLICE_CALLS = 65_536
+
+
+def admitted(micros: np.ndarray, window: int, most: int, log: deque | None = None) -> np.ndarray:
     """Which calls of a key are admitted: fewer than `most` admitted ones within `window` before them (ends included).
 
-    Calls that are refused leave no trace. most <= 0 admits all.
+    Calls that are refused leave no trace. most <= 0 admits all. log: the admitted times that still count before the
+    first call, brought up to the last one.
     """
-    out = np.ones(len(micros), bool)
     if most <= 0:
-        return out
-    log: deque = deque()
-    for i, t in enumerate(micros.tolist()):
-        while log and log[0] < t - window:
+        return np.ones(len(micros), bool)
+    out, log, i = np.zeros(len(micros), bool), deque() if log is None else log, 0
+    times = micros.tolist()
+    while i < len(times):
+        while log and log[0] < times[i] - window:
             log.popleft()
         if len(log) < most:
-            log.append(t)
-        else:
-            out[i] = False
+            log.append(times[i])
+            out[i] = True
+            i += 1
+        else:  # all calls up to the end of the oldest slot are refused
+            i = max(i + 1, int(np.searchsorted(micros, log[0] + window, side="right")))
     return out
 
 
-def sliding_window_limit(calls: DataFrame, window_seconds: float, most: int, key: str = "key", ts: str = "ts", call_id: str = "call_id") -> DataFrame:
-    """(key, call_id, us, admitted) of every call. Only key, time and id move; a key's fold is one linear pass."""
-    rows = calls.select(F.col(key).alias("key"), F.col(call_id).alias("call_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+def _folded(batches: Iterator[pa.RecordBatch], window: int, most: int, logs: dict) -> Iterator[tuple]:
+    """Batches of (key, call_id, us) in order of key, us and call_id, as (key, batch, admitted, log after the batch).
+
+    Only the log of the key at hand is held; logs: what a key's log holds before its first call.
+    """
+    now, log = object(), deque()
+    for batch in batches:
+        keys, us = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < b:
+                if keys[a] != now:
+                    now, log = keys[a], deque(logs.get(keys[a], ()))
+                ok = admitted(us[a:b], window, most, log)
+                yield now, batch.slice(a, b - a), ok, log
+
+
+def _decided(rows: DataFrame, window: int, most: int, logs: dict) -> DataFrame:
+    """rows (key, call_id, us) with `admitted`; calls stream through a key."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, ok, _ in _folded(batches, window, most, logs):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ok)], ["key", "call_id", "us", "admitted"])
+
     kind = rows.schema["key"].dataType.simpleString()
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("us"), "call_id")
+    return ordered.mapInArrow(work, f"key {kind}, call_id long, us long, admitted boolean")
+
+
+def sliding_window_limit(calls: DataFrame, window_seconds: float, most: int, key: str = "key", ts: str = "ts", call_id: str = "call_id") -> DataFrame:
+    """(key, call_id, us, admitted) of every call. Only key, time and id move; a key's calls stream through one linear pass."""
+    rows = calls.select(F.col(key).alias("key"), F.col(call_id).cast("long").alias("call_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return _decided(rows, int(window_seconds * 1e6), most, {})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "call_id"])
-        return pdf.assign(admitted=admitted(pdf["us"].to_numpy(), int(window_seconds * 1e6), most))
 
-    return rows.groupBy("key").applyInPandas(fold, f"key {kind}, call_id long, us long, admitted boolean")
+def _sliced_limit(rows: DataFrame, window: int, most: int) -> DataFrame:
+    """(key, call_id, us, admitted) of rows (call_id, us) under one key, where key is the number of a slice of time.
+
+    Every slice is folded from the log that the slice before hands on, at most `most` times. The first round starts
+    all of them with empty logs; later rounds repeat the slices whose incoming log was another one, until none is.
+    Slice k is right after k rounds at the latest, earlier where logs meet or run empty.
+    """
+    base = written(rows, "calls")
+    parts = min(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-base.count() // SLICE_CALLS)))
+    ends = sorted({int(t) for t in base.approxQuantile("us", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    slot = F.size(F.filter(F.array(*map(F.lit, ends)), lambda t: t < F.col("us"))) if ends else F.lit(0)
+    cut = base.select(slot.cast("int").alias("key"), "call_id", "us")
+    firsts = {r.key: r.us for r in cut.groupBy("key").agg(F.min("us").alias("us")).collect()}
+    order = sorted(firsts)
+    logs, handed, todo = {k: [] for k in order}, {}, order
+
+    while todo and most > 0:
+        ordered = cut.where(F.col("key").isin(todo)).repartition(len(todo), "key").sortWithinPartitions("key", "us", "call_id")
+        handed |= {r.key: r.log for r in ordered.mapInArrow(_ends(window, most, dict(logs)), "key int, log array<long>").collect()}
+        coming = {b: [t for t in handed[a] if t >= firsts[b] - window] for a, b in zip(order[:-1], order[1:])}
+        todo = [k for k, log in coming.items() if log != logs[k]]
+        logs |= coming
+    return _decided(cut, window, most, logs)
+
+
+def _ends(window: int, most: int, logs: dict):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, []
+        for key, _, _, log in _folded(batches, window, most, logs):
+            if now is not None and key != now:
+                yield pa.RecordBatch.from_pydict({"key": pa.array([now], pa.int32()), "log": pa.array([last], pa.list_(pa.int64()))})
+            now, last = key, list(log)
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"key": pa.array([now], pa.int32()), "log": pa.array([last], pa.list_(pa.int64()))})
+
+    return work
 
 
 def two_level_limit(calls: DataFrame, window_seconds: float, most_global: int, most_client: int, client: str = "client_ip", ts: str = "ts", call_id: str = "call_id") -> DataFrame:
     """(call_id, outcome): GLOBAL or CLIENT limited, or OK. A call takes its global slot even when its client is over.
 
-    The global level never depends on clients, so it is folded first. Its only key is cut by time where no window
-    can span: calls more than a window apart are independent, so busy periods run in parallel.
+    The global level never depends on clients, so it is folded first. Its only key is cut by time into slices, each
+    a stream; see _sliced_limit. The rounds of that fold run at the call.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = calls.select(F.col(client).alias("client"), F.col(ts).alias("ts"), F.col(call_id).alias("call_id"), us.alias("us"))
-    # busy periods: per second bucket counts are a small table, whose gaps over the window end a period
-    seconds = rows.groupBy(F.floor(F.col("us") / 1_000_000).alias("second")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("second")
-    starts = F.coalesce(F.col("second") - F.lag("second").over(order) > int(window_seconds) + 1, F.lit(True))
-    periods = seconds.withColumn("starts", starts).select("second", F.sum(F.col("starts").cast("int")).over(order).alias("period"))
-    keyed = rows.withColumn("second", F.floor(F.col("us") / 1_000_000)).join(periods, "second")
-    first = sliding_window_limit(keyed, window_seconds, most_global, "period").where("admitted").select("call_id")
+    rows = calls.select(F.col(client).alias("client"), F.col(ts).alias("ts"), F.col(call_id).cast("long").alias("call_id"), us.alias("us"))
+    first = _sliced_limit(rows.where("us is not null").select("call_id", "us"), int(window_seconds * 1e6), most_global).where("admitted").select("call_id")
     passed = rows.join(first, "call_id", "left_semi")
     second = sliding_window_limit(passed, window_seconds, most_client, "client").select("call_id", "admitted")
     out = rows.join(second, "call_id", "left")
