@@ -31,8 +31,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that with the smallest id."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    """One document of each near-duplicate component, that with the smallest id; links from a similarity of 0.8 on."""
+    gone = near_dup.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 

@@ -172,9 +172,15 @@ def _able(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _mixed(placed.drop("n_common").join(able.select("class_id", "n_common"), "class_id"))
 
 
+def bands_for(percent: int, band_rows: int, missed: float = 1e-6) -> int:
+    """Bands by which a link at the threshold shares no bucket with a chance below `missed`; 32 at least."""
+    alike = (percent / 100) ** band_rows
+    return max(32, int(np.ceil(np.log(missed) / np.log1p(-alike)))) if alike < 1 else 32
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85,
-    bands: int = 32, band_rows: int = 6, centres: tuple[int | None, ...] = (8, None),
+    bands: int | None = None, band_rows: int = 6, centres: tuple[int | None, ...] = (8, None),
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is its own).
 
@@ -182,14 +188,17 @@ def near_duplicates(
     bucket of n gives n - 1 pairs. That can miss links between two members of which the centre is too far, so
     buckets which still hold more than one component are searched again with more centres, and at last with
     every member as a centre. Those searches leave out pairs inside a component, and pairs that can't be linked
-    by counts of the shingles which members share; each pair is formed in the first bucket that it shares. A
-    link at the threshold shares no bucket with chance (1 - 0.85^6)^32 < 1e-6.
+    by counts of the shingles which members share; each pair is formed in the first bucket that it shares. Unless
+    given, bands are so many that a link at the threshold shares no bucket with a chance below 1e-6, and 32 at least:
+    (1 - 0.85^6)^32, (1 - 0.80^6)^46.
 
     Null or empty texts: empty set, own component. A null id is in no link: component_id null, kept. Rows that
     repeat an id count as one document (their links are pooled). Other columns of docs are not read. The result
     is lazy; the search for links runs at the call.
     """
     least = int(np.ceil(percent / (100 - percent) - 1e-9)) if percent < 100 else 1 << 40
+    if bands is None:
+        bands = bands_for(percent, band_rows)
     marks = written(sketches(docs, id_col, text_col, width, bands, band_rows, least), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
     classes = written(
