@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ from sealmark.scratch import written
 GRAMS = (3, 4, 5, 6)
 BITS = 22
 #: Labelled rows that a fit reads at most, taken in the order of a hash of their ids.
-MAX_FIT_ROWS = 15_000
-#: Features kept: those whose log-count ratio is this many standard errors from 0, at most MAX_FEATURES of them.
-LEAST_Z, MAX_FEATURES = 3.0, 30_000
+MAX_FIT_ROWS = 20_000
+#: Features kept: all whose log-count ratio is this many standard errors from 0.
+LEAST_Z = 3.0
 
 
 def gram_hashes(texts: pa.Array):
@@ -63,7 +64,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
         counts = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, to, texts in tx.slices(batch.column(0)):
+            for at, to, texts in tx.slices(batch.column(0), 1 << 20):
                 rows, features = _hits(texts, None)
                 for toxic in (0, 1):
                     counts[toxic] += np.bincount(features[labels[at:to][rows] == toxic], minlength=1 << BITS).astype(np.int32)
@@ -93,43 +94,70 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-#: Entries of the sample that the solver looks at in one go.
+#: Entries of the sample that a task looks at in one go.
 BLOCK_ENTRIES = 1 << 20
 
 
-def _solve(cols: np.ndarray, sizes: np.ndarray, ratios: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300):
-    """Logistic regression by accelerated gradient steps; the intercept isn't penalised.
+def _sums(coded: DataFrame, weights: np.ndarray, intercept: float) -> tuple[float, float, np.ndarray]:
+    """Summed log loss over coded (toxic, hits), and its slopes by the intercept and by each weight; one row a partition."""
 
-    Row k has the `sizes[k]` next features of cols, feature f with the value ratios[f]. Entries are gone through in
-    blocks of whole rows, so the memory beyond cols is bounded.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, by_intercept, by_weight = 0.0, 0.0, np.zeros(len(weights))
+        for batch in batches:
+            y, lists = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), batch.column(1)
+            starts, cols = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, max(starts[-1], 1), BLOCK_ENTRIES)), len(y))).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                own, sizes = cols[starts[a] : starts[b]], np.diff(starts[a : b + 1])
+                s = np.bincount(np.repeat(np.arange(b - a), sizes), weights=weights[own], minlength=b - a) + intercept
+                loss += float((np.logaddexp(0, s) - y[a:b] * s).sum())
+                g = 1 / (1 + np.exp(-np.clip(s, -60, 60))) - y[a:b]
+                by_weight += np.bincount(own, weights=np.repeat(g, sizes), minlength=len(weights))
+                by_intercept += float(g.sum())
+        yield pa.RecordBatch.from_pydict({"loss": [loss], "by_intercept": [by_intercept], "by_weight": [by_weight.tobytes()]})
+
+    total = [0.0, 0.0, np.zeros(len(weights))]
+    for r in coded.mapInArrow(work, "loss double, by_intercept double, by_weight binary").collect():
+        total = [total[0] + r.loss, total[1] + r.by_intercept, total[2] + np.frombuffer(bytes(r.by_weight))]
+    return tuple(total)
+
+
+def _solve(coded: DataFrame, ratios: np.ndarray, pos: int, neg: int, penalty: float, steps: int = 300, precision: float = 1e-4):
+    """Logistic regression by limited-memory BFGS; feature f has the value ratios[f], the intercept isn't penalised.
+
+    Each step sums loss and gradient in Spark; the driver holds vectors as long as the weights alone. It ends when
+    the gradient is `precision` of its first length, or after `steps` sums.
     """
-    n, starts = len(y), np.concatenate(([0], np.cumsum(sizes)))
-    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], BLOCK_ENTRIES)), n)).tolist()
-    blocks = list(zip(cuts[:-1], cuts[1:]))
-
-    def by_row(of: np.ndarray) -> np.ndarray:
-        out = np.zeros(n)
-        for a, b in blocks:
-            rows = np.repeat(np.arange(b - a), sizes[a:b])
-            out[a:b] = np.bincount(rows, weights=of[cols[starts[a] : starts[b]]], minlength=b - a)
-        return out
-
-    def by_feature(of: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ratios))
-        for a, b in blocks:
-            out += np.bincount(cols[starts[a] : starts[b]], weights=np.repeat(of[a:b], sizes[a:b]), minlength=len(ratios))
-        return out * ratios
-
-    w, b = np.zeros(len(ratios)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    w0, b0 = w, b
-    rate = 1 / (0.25 * (np.percentile(by_row(ratios**2), 95) + 1) / 4 + penalty)
-    for k in range(steps):
-        step = k / (k + 3)
-        wa, ba = w + step * (w - w0), b + step * (b - b0)
-        g = (1 / (1 + np.exp(-np.clip(by_row(wa * ratios) + ba, -60, 60))) - y) / n
-        w0, b0 = w, b
-        w, b = wa - rate * (by_feature(g) + penalty * wa), ba - rate * g.sum()
-    return w, b
+    n = pos + neg
+
+    def at(x: np.ndarray):
+        loss, by_intercept, by_weight = _sums(coded, x[:-1] * ratios, float(x[-1]))
+        return loss / n + penalty / 2 * float(x[:-1] @ x[:-1]), np.append(by_weight * ratios / n + penalty * x[:-1], by_intercept / n)
+
+    x = np.append(np.zeros(len(ratios)), np.log((pos + 1) / (neg + 1)))
+    f, g = at(x)
+    done, goal, pairs = 1, precision * np.linalg.norm(g), deque(maxlen=8)
+    while np.linalg.norm(g) > goal and done < steps:
+        d, used = -g, []
+        for s, y in reversed(pairs):
+            used.append(s @ d / (s @ y))
+            d = d - used[-1] * y
+        d = d * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else min(1.0, 1 / np.abs(g).sum()))
+        for (s, y), k in zip(pairs, reversed(used)):
+            d = d + (k - y @ d / (s @ y)) * s
+        rate, slope = 1.0, g @ d
+        to, (f1, g1) = x + d, at(x + d)
+        done += 1
+        while f1 > f + 1e-4 * rate * slope and done < steps:
+            rate /= 2
+            to, (f1, g1) = x + rate * d, at(x + rate * d)
+            done += 1
+        if f1 >= f:
+            break
+        if (to - x) @ (g1 - g) > 0:
+            pairs.append((to - x, g1 - g))
+        x, f, g = to, f1, g1
+    return x[:-1], float(x[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_FIT_ROWS, penalty: float = 1e-4) -> Model:
@@ -137,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Features are n-grams present in a text. Each is scaled by its naive Bayes log-count ratio, over the sample's
     documents; those whose ratio is not far from 0 by its standard error are dropped, then logistic regression
-    weighs the rest. The sample is bounded by max_rows, so is what reaches the driver: the kept features of each
-    row. With no labels of one kind the score is the smoothed share of toxic rows.
+    weighs the rest. The sample is bounded by max_rows; kept features and weights reach the driver, rows don't.
+    With no labels of one kind the score is the smoothed share of toxic rows.
     """
     mine = labels.select(F.col(id_col).alias("fit_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and fit_id is not null")
     mine = mine.where(F.pmod(F.crc32(F.col("fit_id").cast("string").cast("binary")), F.lit(4)) != 2)
@@ -155,26 +183,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = F.log(p / (pos + 2.0)) - F.log(q / (neg + 2.0))
     z = F.abs(ratio) / F.sqrt(1 / p + 1 / q)
     kept = _feature_counts(sample).select("feature", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= LEAST_Z)
-    kept = kept.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).toPandas()
+    kept = kept.select("feature", "ratio").toPandas().sort_values("feature")
     if kept.empty:
         return Model(intercept=prior)
     features, ratios = kept["feature"].to_numpy(np.int64), kept["ratio"].to_numpy()
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << BITS, bool)
         own[features] = True
         for batch in batches:
-            for at, to, texts in tx.slices(batch.column(0)):
+            for at, to, texts in tx.slices(batch.column(0), 1 << 20):
                 rows, hits = _hits(texts, own)
-                order = np.searchsorted(features_sorted, hits)
-                lists = pa.ListArray.from_arrays(pa.array(tx.runs(rows, to - at).astype(np.int32)), pa.array(rank[order].astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(tx.runs(rows, to - at).astype(np.int32)), pa.array(np.searchsorted(features, hits).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, to - at), lists], ["toxic", "hits"])
 
-    rank = np.argsort(features)
-    features_sorted = features[rank]
-    coded = sample.select("text", "toxic").mapInArrow(encode, "toxic int, hits array<int>").toArrow()
-    y = coded.column("toxic").to_numpy().astype(np.float64)
-    hits = coded.column("hits").combine_chunks()
-    w, b = _solve(hits.flatten().to_numpy(), np.diff(hits.offsets.to_numpy()), ratios, y, penalty)
+    coded = written(sample.select("text", "toxic").mapInArrow(encode, "toxic int, hits array<int>"), "fit-hits")
+    w, b = _solve(coded, ratios, pos, neg, penalty)
     return Model(features, w * ratios, b)
 
 
