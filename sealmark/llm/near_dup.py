@@ -20,8 +20,10 @@ from sealmark.operators.components import connected_components
 from sealmark.scratch import written
 
 U64 = np.uint64
-#: Ids up to this many (8 bytes each) are broadcast; a longer list is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Classes up to this many (40 bytes each) are broadcast; a longer list is joined by a shuffle.
+BROADCAST_CLASSES = 250_000
+#: Members of a bucket that are paired with its centres under one join key; a fuller bucket is split.
+SALT_MEMBERS = 2048
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +88,14 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bins: int, tries: int = 1
     return out
 
 
+def _set_hashes(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every whole set."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum(values)))
+        mixed = np.concatenate((np.zeros(1, U64), np.cumsum(tx.mix(values ^ U64(0x8EBC6AF09C88C6E3)))))
+        return tuple(tx.mix(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in (sums, mixed))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, band_rows: int, least: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, buckets): two hashes of the whole set, and the band buckets of sets of `least` or more."""
 
@@ -94,13 +104,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
             for at, to, texts in tx.slices(batch.column(1)):
                 values, bounds = shingle_sets(texts, width)
                 sizes = np.diff(bounds)
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate((np.zeros(1, U64), np.cumsum(values)))
-                    mixed = np.concatenate((np.zeros(1, U64), np.cumsum(tx.mix(values ^ U64(0x8EBC6AF09C88C6E3)))))
-                    set_a, set_b = tx.mix(sums[bounds[1:]] - sums[bounds[:-1]]), tx.mix(mixed[bounds[1:]] - mixed[bounds[:-1]])
-                    keys = np.zeros((to - at, bands), U64)
-                    large = np.flatnonzero(sizes >= least)
-                    if len(large):
+                keys = np.zeros((to - at, bands), U64)
+                large = np.flatnonzero(sizes >= least)
+                if len(large):
+                    with np.errstate(over="ignore"):
                         own = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in large])
                         sig = signatures(own, np.concatenate(([0], np.cumsum(sizes[large]))), bands * band_rows)
                         sig = sig.reshape(len(large), bands, band_rows)
@@ -110,7 +117,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                         keys[large] = key
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes >= least, bands, 0)))).astype(np.int32)), pa.array(keys[sizes >= least].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at).cast(pa.int64()), pa.array(sizes), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), lists],
+                    [batch.column(0).slice(at, to - at).cast(pa.int64()), pa.array(sizes), *map(pa.array, _set_hashes(values, bounds)), lists],
                     ["doc_id", "n_shingles", "set_a", "set_b", "buckets"],
                 )
 
@@ -119,31 +126,33 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, shingles): every text's sorted distinct shingle hashes."""
+    """(doc_id, set_a, set_b, shingles): the hashes of every text's set, and its sorted distinct shingle hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, texts in tx.slices(batch.column(1)):
                 values, bounds = shingle_sets(texts, width)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *map(pa.array, _set_hashes(values, bounds)), lists], ["doc_id", "set_a", "set_b", "shingles"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(work, "doc_id long, shingles array<long>")
+    return source.mapInArrow(work, "doc_id long, set_a long, set_b long, shingles array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in ids; only their texts are read again."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    wanted = docs.join(ids, docs[id_col] == F.col("class_id"), "left_semi")
-    return written(full_sets(wanted, id_col, text_col, width).dropDuplicates(["doc_id"]), "sets")
+def _sets_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(class_key, shingles) of the classes (class_key, class_id, set_a, set_b); only their documents' texts are read again."""
+    few = classes.count() <= BROADCAST_CLASSES
+    small = F.broadcast if few else lambda df: df
+    wanted = docs.join(small(classes.select("class_id")), docs[id_col] == F.col("class_id"), "left_semi")
+    sets = full_sets(wanted, id_col, text_col, width).join(small(classes.withColumnRenamed("class_id", "doc_id")), ["doc_id", "set_a", "set_b"])
+    one = sets.dropDuplicates(["class_key"] if few else ["doc_id", "set_a", "set_b"])  # rows repeated whole
+    return written(one.select("class_key", "shingles"), "sets")
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that are linked by their full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_of_b"))
+    """The (a, b) pairs of classes that are linked by their full sets."""
+    left = sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("set_of_a"))
+    right = sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("set_of_b"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_of_a", "set_of_b"))
     union = F.size("set_of_a") + F.size("set_of_b") - common
@@ -151,9 +160,11 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("smallest")).where("lo < hi")
-    return placed.drop("smallest").join(several.select("bucket", "smallest"), "bucket")
+    """Members of the buckets that hold more than one component, with the bucket's least set size and its salts."""
+    several = placed.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("smallest"), F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts")
+    )
+    return placed.drop("smallest", "salts").join(several.where("lo < hi").select("bucket", "smallest", "salts"), "bucket")
 
 
 def _able(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,13 +174,13 @@ def _able(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     percent / (100 + percent) * (|x| + |y|) common shingles or more, and |y| is at least the least size in x's
     buckets; a member with fewer is out. This is exact: it drops no link.
     """
-    ids = placed.groupBy("class_id").agg(F.min("smallest").alias("smallest"), F.any_value("n_shingles").alias("n_shingles"))
-    each = sets.join(ids.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    ids = placed.groupBy("class_key").agg(F.min("smallest").alias("smallest"), F.any_value("n_shingles").alias("n_shingles"))
+    each = sets.join(ids.select("class_key"), "class_key", "left_semi").select("class_key", F.explode("shingles").alias("shingle"))
     twice = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    common = each.join(twice, "shingle", "left_semi").groupBy(F.col("doc_id").alias("class_id")).agg(F.count("*").alias("n_common"))
+    common = each.join(twice, "shingle", "left_semi").groupBy("class_key").agg(F.count("*").alias("n_common"))
     partner = F.greatest(F.ceil(F.col("n_shingles") * percent / 100), F.col("smallest"))
-    able = common.join(ids, "class_id").where(F.col("n_common") * (100 + percent) >= (F.col("n_shingles") + partner) * percent)
-    return _mixed(placed.drop("n_common").join(able.select("class_id", "n_common"), "class_id"))
+    able = common.join(ids, "class_key").where(F.col("n_common") * (100 + percent) >= (F.col("n_shingles") + partner) * percent)
+    return _mixed(placed.drop("n_common").join(able.select("class_key", "n_common"), "class_key"))
 
 
 def bands_for(percent: int, band_rows: int, missed: float = 1e-6) -> int:
@@ -193,62 +204,69 @@ def near_duplicates(
     (1 - 0.85^6)^32, (1 - 0.80^6)^46.
 
     Null or empty texts: empty set, own component. A null id is in no link: component_id null, kept. Rows that
-    repeat an id count as one document (their links are pooled). Other columns of docs are not read. The result
-    is lazy; the search for links runs at the call.
+    repeat an id count as one document: their texts, equal or not, are linked through the id, an empty one too.
+    Very long texts are hashed whole; one text's set of shingle hashes must fit a task. Equal sizes or hashes need
+    no order: components don't depend on it. An empty table gives no rows. Other columns of docs are not read. The
+    result is lazy; the search for links runs at the call.
     """
     least = int(np.ceil(percent / (100 - percent) - 1e-9)) if percent < 100 else 1 << 40
     if bands is None:
         bands = bands_for(percent, band_rows)
     marks = written(sketches(docs, id_col, text_col, width, bands, band_rows, least), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
-    classes = written(
-        some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.any_value("buckets").alias("buckets")),
-        "classes",
-    )
-    # A repeated id can stand in several classes; those are linked through it.
-    repeated = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    pooled = (
-        some.join(repeated.select("doc_id"), "doc_id").join(classes.drop("buckets"), ["n_shingles", "set_a", "set_b"])
-        .select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b")
-    )
-    members = classes.where(F.size("buckets") > 0).select("class_id", "n_shingles", F.explode("buckets").alias("bucket"))
+    own = ["n_shingles", "set_a", "set_b"]
+    # Classes are told apart by a number given when the table is written: an id can stand in several.
+    classes = some.groupBy(*own).agg(F.min("doc_id").alias("class_id"), F.any_value("buckets").alias("buckets"))
+    classes = written(classes.withColumn("class_key", F.monotonically_increasing_id()), "classes")
+    repeated = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    through = written(some.join(repeated, "doc_id").join(classes.drop("buckets", "class_id"), own).select("doc_id", "class_key").distinct(), "repeated")
+    firsts = through.groupBy("doc_id").agg(F.min("class_key").alias("a"))
+    pooled = through.join(firsts, "doc_id").select("a", F.col("class_key").alias("b")).where("a <> b")
+    members = classes.where(F.size("buckets") > 0).select("class_key", "n_shingles", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, "bucket"), "buckets")
-    places = members.groupBy("class_id").agg(F.sum("n").alias("places"), F.any_value("n_shingles").alias("n_shingles"))
-    sets = _sets_of(docs, written(places.select("class_id"), "shared"), id_col, text_col, width)
-    top = F.max(F.struct("places", -F.col("class_id"), "n_shingles"))
-    star = members.select("bucket", "class_id").join(places, "class_id").groupBy("bucket").agg(top.alias("c"))
+    places = members.groupBy("class_key").agg(F.sum("n").alias("places"), F.any_value("n_shingles").alias("n_shingles"))
+    wanted = classes.join(places.select("class_key"), "class_key", "left_semi").select("class_key", "class_id", "set_a", "set_b")
+    sets = _sets_of(docs, written(wanted, "shared"), id_col, text_col, width)
+    top = F.max(F.struct("places", -F.col("class_key"), "n_shingles"))
+    star = members.select("bucket", "class_key").join(places, "class_key").groupBy("bucket").agg(top.alias("c"))
     star = star.select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.n_shingles").alias("centre_size"))
     fits = F.least("n_shingles", "centre_size") * 100 >= F.greatest("n_shingles", "centre_size") * percent
-    ends = (F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b"))
-    pairs = written(members.join(star, "bucket").where((F.col("class_id") != F.col("centre")) & fits).select(*ends).distinct(), "pairs")
+    ends = (F.least("class_key", "centre").alias("a"), F.greatest("class_key", "centre").alias("b"))
+    pairs = written(members.join(star, "bucket").where((F.col("class_key") != F.col("centre")) & fits).select(*ends).distinct(), "pairs")
     links = written(pooled.union(_confirmed(sets, pairs, percent)), "links")
     for slots in centres:
-        at = connected_components(links).withColumnRenamed("node", "class_id")
-        placed = members.drop("n").join(at, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        at = connected_components(links).withColumnRenamed("node", "class_key")
+        placed = members.drop("n").join(at, "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
         placed = written(_mixed(placed), "mixed")
-        for _ in range(2):
+        for _ in range(2):  # the second time without the shingles of those that fell out
             placed = written(_able(placed, sets, percent), "able")
         if placed.isEmpty():
             break
-        placed = placed.drop("smallest").join(classes.select("class_id", "buckets"), "class_id")
+        placed = placed.drop("smallest").join(classes.select("class_key", "buckets"), "class_key")
         chosen = placed
         if slots is not None:
-            best = F.min(F.struct(F.xxhash64("class_id").alias("h"), "class_id", "n_shingles", "component", "n_common", "buckets"))
-            chosen = placed.groupBy("bucket", F.pmod(F.xxhash64("class_id"), F.lit(slots)).alias("slot")).agg(best.alias("c")).select("bucket", "c.*")
+            best = F.min(F.struct(F.xxhash64("class_key").alias("h"), "class_key", "n_shingles", "component", "n_common", "buckets", "salts"))
+            chosen = placed.groupBy("bucket", F.pmod(F.xxhash64("class_key"), F.lit(slots)).alias("slot")).agg(best.alias("c")).select("bucket", "c.*")
         chosen = chosen.select(
-            "bucket", F.col("class_id").alias("centre"), F.col("n_shingles").alias("centre_size"), F.col("component").alias("other"),
-            F.col("n_common").alias("centre_common"), F.col("buckets").alias("centre_buckets"),
+            "bucket", F.col("class_key").alias("centre"), F.col("n_shingles").alias("centre_size"), F.col("component").alias("other"),
+            F.col("n_common").alias("centre_common"), F.col("buckets").alias("centre_buckets"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         )
         enough = F.least("n_common", "centre_common") * (100 + percent) >= (F.col("n_shingles") + F.col("centre_size")) * percent
         once = F.get(F.array_intersect("buckets", "centre_buckets"), F.lit(0)) == F.col("bucket") if slots is None else F.lit(True)
-        half = F.col("class_id") < F.col("centre") if slots is None else F.col("class_id") != F.col("centre")
-        pairs = placed.join(chosen, "bucket").where((F.col("component") != F.col("other")) & half & fits & enough & once)
+        half = F.col("class_key") < F.col("centre") if slots is None else F.col("class_key") != F.col("centre")
+        salted = placed.withColumn("salt", F.pmod(F.xxhash64("class_key"), F.col("salts")).cast("int"))
+        pairs = salted.join(chosen, ["bucket", "salt"]).where((F.col("component") != F.col("other")) & half & fits & enough & once)
         pairs = written(pairs.select(*ends).distinct(), "pairs")
         links = written(links.union(_confirmed(sets, pairs, percent)), "links")
-    found = connected_components(links).withColumnRenamed("node", "class_id")
-    placed = classes.select("n_shingles", "set_a", "set_b", "class_id").join(found, "class_id", "left")
-    placed = placed.select("n_shingles", "set_a", "set_b", F.coalesce("component", "class_id").alias("component_id"))
-    out = marks.drop("buckets").join(placed, ["n_shingles", "set_a", "set_b"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = connected_components(links).withColumnRenamed("node", "class_key")
+    linked = found.join(classes.select("class_key", "class_id"), "class_key")
+    linked = linked.join(linked.groupBy("component").agg(F.min("class_id").alias("least_id")), "component").select("class_key", "least_id")
+    placed = classes.join(linked, "class_key", "left").select(*own, "class_key", F.coalesce("least_id", "class_id").alias("component_id"))
+    out = marks.drop("buckets").join(placed.drop("class_key"), own, "left")
+    blank = marks.where("n_shingles = 0").join(through.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
+    if not blank.isEmpty():  # empty texts under an id that has others
+        of_id = through.join(blank, "doc_id").join(placed, "class_key").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        out = out.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "of_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -63,3 +63,32 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted([tuple(r) for r in near_duplicates(df).collect()], key=str)
     assert got == sorted([(None, 26, None, True), (5, 26, 5, True), (5, 26, 5, True), (5, 2, 5, True), (7, 2, 5, False), (None, 0, None, True)], key=str)
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_repeated_id_whose_texts_differ(spark):
+    """Each text of an id has a near copy: all are one component, the smallest id is that of the far copy."""
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, " ".join([*one[:59], "x"])), (8, " ".join([*two[:59], "y"])), (5, ""), (3, " ".join([*two[:58], "z", "z"])), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(tuple(r) for r in near_duplicates(df).collect())
+    assert got == sorted([(5, 56, 3, False), (5, 56, 3, False), (7, 56, 3, False), (8, 56, 3, False), (5, 0, 3, False), (3, 56, 3, True), (9, 0, 9, True)])
+
+
+def test_bucket_that_is_split(spark, monkeypatch):
+    """A template that many documents share more or less: no link is lost when its buckets are cut."""
+    monkeypatch.setattr("sealmark.llm.near_dup.SALT_MEMBERS", 3)
+    rnd = random.Random(8)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for n in range(40):
+        own = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4])):
+            own[rnd.randrange(120)] = f"n{n}"
+        rows.append((n, " ".join(own)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i * i % 99991}" for i in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2])]
+    assert run(spark, rows) == brute(rows)
