@@ -4,7 +4,9 @@ A text's tokens are its words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) and one
 documents that aren't held out. Single tokens are counted exactly. A pair with count c goes into the filter as
 (pair, 1) .. (pair, q), q = 1 + floor(log2 c) being its quantised count; a probe asks for (pair, 1), (pair, 2)
 and so on until one is absent, and takes the middle of the last level's counts. The filter is broadcast to the
-workers in slices of bounded size, one pass over the tokens for each; a pair lies in one slice.
+workers in slices of bounded size, one pass over the tokens for each, without a shuffle; a pair lies in one slice.
+A filter of more than MOST_SLICES slices stays where it is: then every block's distinct pairs are dealt once to the
+filter's segments, probed there in the same way, and their levels go back to the block. Scores are the same.
 
 The probability of w after h is (c(h w) + mu * p(w)) / (c(h) + mu), p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 The end is also what stands before a text's first word.
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ PART_TOKENS = 4_000_000
 SEGMENT_PAIRS, BITS_PER_ENTRY, PROBES = 1 << 18, 12, 6
 #: Bytes of the filter that are broadcast at once.
 SLICE_BYTES = 128 << 20
+#: Passes over the tokens at most; a larger filter is probed where its segments lie.
+MOST_SLICES = 8
 #: Weight of the single-token probability against counted pairs.
 MU = 400.0
 
@@ -47,22 +52,25 @@ BLOCK = "block long, doc_ids array<long>, has_id array<boolean>, is_held_out arr
 
 
 def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of documents: their token codes (uint32, in order) and the hashes the codes stand for."""
+    """Blocks of documents: their token codes (uint32, in order) and the hashes the codes stand for.
 
-    def pack(ids: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    A block is numbered by its task and its place there; the numbers are for use once the blocks are written.
+    """
+
+    def pack(nr: int, ids: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
         vocabulary, codes = np.unique(np.concatenate(hashes), return_inverse=True)
         vocabulary, codes = vocabulary.tobytes(), codes.astype("<u4").tobytes()
         lists = {
             "doc_ids": ([i or 0 for i in ids], pa.int64()), "has_id": ([i is not None for i in ids], pa.bool_()),
             "is_held_out": ([held_out(i) for i in ids], pa.bool_()), "n_tokens": ([len(h) for h in hashes], pa.int32()),
         }
-        columns = {"block": pa.array([zlib.crc32(codes) | zlib.crc32(repr(ids).encode()) << 31], pa.int64())}
+        columns = {"block": pa.array([TaskContext.get().partitionId() << 32 | nr], pa.int64())}
         columns |= {k: pa.array([x], pa.list_(t)) for k, (x, t) in lists.items()}
         columns |= {"codes": pa.array([codes], pa.binary()), "vocabulary": pa.array([vocabulary], pa.binary())}
         return pa.RecordBatch.from_pydict(columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, total = [], [], 0
+        nr, ids, hashes, total = 0, [], [], 0
         for batch in batches:
             for at, to, texts in tx.slices(batch.column(1)):
                 data, offsets = tx.raw(texts)
@@ -71,13 +79,13 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 bounds = tx.runs(rows, to - at)
                 for i, a, b in zip(batch.column(0).slice(at, to - at).to_pylist(), bounds[:-1], bounds[1:]):
                     if ids and total + b - a + 1 > BLOCK_TOKENS:
-                        yield pack(ids, hashes)
-                        ids, hashes, total = [], [], 0
+                        yield pack(nr, ids, hashes)
+                        nr, ids, hashes, total = nr + 1, [], [], 0
                     ids.append(i)
                     hashes.append(np.append(own[a:b], END))
                     total += b - a + 1
         if ids:
-            yield pack(ids, hashes)
+            yield pack(nr, ids, hashes)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(work, BLOCK)
@@ -93,6 +101,7 @@ class _Block:
         self.codes = np.frombuffer(row["codes"], "<u4").astype(np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], U64)
         self.rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.counts = np.frombuffer(row["counts"], "<i8") if "counts" in row else None
 
     def pairs(self) -> np.ndarray:
         """A hash for each token and the one before it; a text's first token stands after the end."""
@@ -248,78 +257,118 @@ class FilterSlice:
         return mine, out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, slice_bytes: int = SLICE_BYTES, most_slices: int = MOST_SLICES,
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the single-token model's log10 probability, from exact counts; score is the pair model's. Null
-    text: the end alone. Null id: doc_id null, learnt from. Repeated rows are learnt from and scored each. With no
-    training tokens N and V are 0 and the formulas hold as they stand. Other columns are not read. The corpus is
-    counted at the call; the scores are lazy. The filter grows with the corpus: beyond slice_bytes it is broadcast
-    in several slices, each of which costs one more pass over the token blocks.
+    text: the end alone. Null id: doc_id null, learnt from. Repeated rows and ids are learnt from and scored each. A
+    very long text is a block of its own, scored whole. With no training tokens N and V are 0 and the formulas hold
+    as they stand; an empty table gives no rows. Other columns are not read. The corpus is counted at the call; the
+    scores are lazy. The filter grows with the corpus: beyond slice_bytes it is broadcast in several slices, each of
+    which costs one more pass over the token blocks; beyond most_slices it is probed in place.
     """
     spark = docs.sparkSession
     blocks = written(token_blocks(docs, id_col, text_col), "blocks")
     size = blocks.agg(F.sum(F.octet_length("codes") / 4)).first()[0] or 0
     known = written(token_counts(blocks, max(1, round(size / PART_TOKENS))), "counts")
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    known = known.select("block", "part", "counts")
     segments = max(1, round(n / SEGMENT_PAIRS))
     filters = written(segment_filters(blocks, segments), "filter")
-    sizes = {r.segment: r.size for r in filters.select("segment", F.octet_length("bits").alias("size")).collect()}
-    slices, first, size = [], 0, 0
-    for s in range(segments):
-        if size and size + sizes.get(s, 0) > slice_bytes:
-            slices.append((first, s))
-            first, size = s, 0
-        size += sizes.get(s, 0)
-    slices.append((first, segments))
-    rows = None
-    for nr, (lo, hi) in enumerate(slices):
-        own = {r.segment: bytes(r.bits) for r in filters.where(F.col("segment").between(lo, hi - 1)).collect()}
-        part = FilterSlice(segments, lo, [own.get(s, b"") for s in range(lo, hi)])
-        shared = spark.sparkContext.broadcast((part.segments, part.first, part.sizes, part.starts, part.bits))
-        del own, part
-        done = written(_slice_scores(blocks, known, shared, nr == 0, n, v, mu), "scores")
-        shared.unpersist()
-        rows = done if rows is None else rows.union(done)
-    if len(slices) > 1:
-        rows = rows.groupBy("block", "place").agg(
-            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
-            F.max("base_score").alias("base_score"), F.sum("score").alias("score"),
-        )
+    coded = _with_counts(blocks, known.select("block", "part", "counts"))
+    total = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    if total > slice_bytes * most_slices:
+        coded = written(coded, "coded")
+        rows = _scores_in_place(coded, filters, segments, n, v, mu)
+    else:
+        # equal hash ranges hold about equal shares of the filter
+        count = max(1, -(-total // slice_bytes))
+        bounds = [segments * k // count for k in range(count + 1)]
+        if count > 1:
+            coded = written(coded, "coded")
+        rows = None
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            own = {r.segment: bytes(r.bits) for r in filters.where(F.col("segment").between(lo, hi - 1)).collect()}
+            part = FilterSlice(segments, lo, [own.get(s, b"") for s in range(lo, hi)])
+            shared = spark.sparkContext.broadcast(vars(part))  # arrays alone: a broadcast names its classes
+            del own, part
+            done = written(_slice_scores(coded, shared, lo == 0, n, v, mu), "scores")
+            shared.unpersist()
+            rows = done if rows is None else rows.union(done)
+        if count > 1:
+            rows = rows.groupBy("block", "place").agg(
+                F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
+                F.max("base_score").alias("base_score"), F.sum("score").alias("score"),
+            )
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """The blocks with `counts`: their vocabulary's counts in all training documents."""
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = right.sort_values("part")["counts"]  # parts rise with the token, as the vocabulary does
+        return left.assign(counts=[b"".join(parts)] * len(left))
+
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(work, BLOCK + ", counts binary")
+
+
 SCORES = "block long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _slice_scores(blocks: DataFrame, known: DataFrame, shared, is_first: bool, n: int, v: int, mu: float) -> DataFrame:
-    """Scores of the tokens whose pairs lie in one slice; the first slice also gives the counts and base scores."""
+def _scored(b: _Block, mine: np.ndarray | bool, levels: np.ndarray, with_base: bool, n: int, v: int, mu: float) -> dict:
+    """The columns of SCORES for a block, from its tokens' levels; only the terms of `mine` count towards score."""
+    c, docs = b.counts, len(b.sizes)
+    p = (c + 0.5) / (n + 0.5 * (v + 1))
+    before = c[np.concatenate(([0], b.codes[:-1]))]
+    before[np.cumsum(b.sizes) - b.sizes] = c[np.searchsorted(b.vocabulary, END)]
+    term = np.where(mine, np.log10((count_of(levels) + mu * p[b.codes]) / (before + mu)), 0.0)
+    add = lambda x: np.bincount(b.rows, weights=x, minlength=docs)
+    return {
+        "block": np.full(docs, b.block), "place": np.arange(docs, dtype=np.int32), "doc_id": pa.array(b.doc_ids, mask=~b.has_id), "held_out": b.held, "n_tokens": b.sizes,
+        "n_known": add((c > 0)[b.codes]).astype(np.int64) if with_base else np.zeros(docs, np.int64), "base_score": add(np.log10(p)[b.codes]) if with_base else np.full(docs, -np.inf),
+        "score": add(term),
+    }
 
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        segments, first, sizes, starts, bits = shared.value
+
+def _slice_scores(coded: DataFrame, shared, with_base: bool, n: int, v: int, mu: float) -> DataFrame:
+    """Scores of the tokens whose pairs lie in one broadcast slice; one of the slices also gives counts and base scores."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = FilterSlice.__new__(FilterSlice)
-        part.segments, part.first, part.sizes, part.starts, part.bits = segments, first, sizes, starts, bits
-        right = right.drop_duplicates("part").sort_values("part")  # parts rise with the token, as the vocabulary does
-        c = np.frombuffer(b"".join(right["counts"]), "<i8")
-        out, place = [], 0
-        for row in left.to_dict("records"):  # one, or blocks that are equal
-            b = _Block(row)
-            p = (c + 0.5) / (n + 0.5 * (v + 1))
-            docs = len(b.sizes)
-            before = np.concatenate(([0], b.codes[:-1]))
-            c_end = int(c[b.vocabulary == END][0])
-            c_before = c[before]
-            c_before[np.cumsum(b.sizes) - b.sizes] = c_end
+        vars(part).update(shared.value)
+        for b in _unpacked(batches):
             mine, levels = part.levels(b.pairs())
-            term = np.where(mine, np.log10((count_of(levels) + mu * p[b.codes]) / (c_before + mu)), 0.0)
-            add = lambda x: np.bincount(b.rows, weights=x, minlength=docs)
-            known = add((c > 0)[b.codes]).astype(np.int64)
-            out.append(pd.DataFrame({
-                "block": b.block, "place": place + np.arange(docs, dtype=np.int32), "doc_id": pd.arrays.IntegerArray(b.doc_ids, ~b.has_id), "held_out": b.held,
-                "n_tokens": b.sizes, "n_known": known, "base_score": add(np.log10(p)[b.codes]), "score": add(term),
-            }))
-            place += docs
-        return pd.concat(out) if out else pd.DataFrame({k.split()[0]: [] for k in SCORES.split(", ")})
-
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(work, SCORES)
+            yield pa.RecordBatch.from_pydict(_scored(b, mine, levels, with_base, n, v, mu))
+
+    return coded.mapInArrow(work, SCORES)
+
+
+def _scores_in_place(coded: DataFrame, filters: DataFrame, segments: int, n: int, v: int, mu: float) -> DataFrame:
+    """Scores by dealing each block's distinct pairs to the filter's segments once, and their levels back."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _unpacked(batches):
+            keys = np.unique(b.pairs())
+            bounds = np.searchsorted(_segment(keys, segments), np.arange(segments + 1))
+            some = np.flatnonzero(np.diff(bounds))
+            pairs = [keys[bounds[s] : bounds[s + 1]].tobytes() for s in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.block)), pa.array(pairs, pa.binary())], ["segment", "block", "pairs"])
+
+    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        levels = []
+        part = FilterSlice(segments, int(left["segment"].iat[0]) if len(left) else 0, [bytes(right["bits"].iat[0])] if len(right) else [b""])
+        for pairs in left["pairs"]:
+            levels.append(part.levels(np.frombuffer(pairs, U64))[1].astype(np.uint8).tobytes())
+        return pd.DataFrame({"block": left["block"], "segment": left["segment"], "levels": levels})
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        b = _Block(left.iloc[0].to_dict())
+        of_key = np.frombuffer(b"".join(right.sort_values("segment")["levels"]), np.uint8).astype(np.int64)
+        _, code = np.unique(b.pairs(), return_inverse=True)
+        return pa.Table.from_pydict(_scored(b, True, of_key[code], True, n, v, mu)).to_pandas(types_mapper=pd.ArrowDtype)
+
+    asks = coded.mapInArrow(ask, "segment int, block long, pairs binary")
+    levels = asks.groupBy("segment").cogroup(filters.select("segment", "bits").groupBy("segment")).applyInPandas(probe, "block long, segment int, levels binary")
+    return coded.groupBy("block").cogroup(levels.groupBy("block")).applyInPandas(finish, SCORES)

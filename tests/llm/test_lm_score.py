@@ -59,7 +59,24 @@ def test_slices_add_up(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SEGMENT_PAIRS", 50)
     rows = [(i, f"a b c{i % 7} d{i % 3} e{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    close(rows_of(lm_score.score(df, slice_bytes=200)), brute(rows), 2e-2)
+    in_slices = rows_of(lm_score.score(df, slice_bytes=200, most_slices=10**6))
+    close(in_slices, brute(rows), 2e-2)
+    close(rows_of(lm_score.score(df, slice_bytes=200, most_slices=1)), in_slices, 1e-9)  # probed in place
+
+
+def test_repeated_and_null_ids_over_many_partitions(spark, monkeypatch):
+    """Blocks whose ids and codes are alike but whose words are not keep their own counts."""
+    monkeypatch.setattr(lm_score, "SEGMENT_PAIRS", 4)
+    rows = [(2, f"word{k}") for k in range(6)] + [(None, f"other{k % 3}") for k in range(6)] + [(2, "word0"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    for options in ({}, {"slice_bytes": 8}, {"slice_bytes": 8, "most_slices": 1}):
+        close(rows_of(lm_score.score(df, **options)), brute(rows), 2e-2)
+
+
+def test_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 500)
+    rows = [(1, " ".join(f"w{i % 97}" for i in range(20_000))), (2, "w1 w2 w3"), (3, "w1 w2 w3"), (4, "")]
+    close(rows_of(lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"))), brute(rows), 2e-2)
 
 
 def test_empty_table(spark):
