@@ -31,8 +31,8 @@ class SpanTokenizer:
     """Token ids of texts, each distinct span encoded once.
 
     For vocabularies that drop white space and split letters from punctuation before they merge: then the ids of a
-    text are those of its spans, cut at ASCII white space and between an ASCII letter and one of .,!?;: . A-Z count
-    as a-z, as such a vocabulary lower-cases.
+    text are those of its spans, cut at ASCII white space and between an ASCII letter and one of .,!?;: . Spans are
+    known by their exact bytes: a vocabulary's added tokens heed case even where its words don't.
     """
 
     def __init__(self, path: str):
@@ -67,7 +67,7 @@ class SpanTokenizer:
         data, offsets = tx.raw(texts)
         a, b = data[:-1], data[1:]
         starts, ends, rows = tx.words(data, offsets, np.flatnonzero((_LETTER[a] & _STOP[b]) | (_STOP[a] & _LETTER[b])) + 1)
-        hashes = tx.span_hashes(data, starts, ends)
+        hashes = tx.span_hashes(data, starts, ends, folded=False)
         keys, first, code = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT_SPANS:
             self.clear()
@@ -143,76 +143,71 @@ def best_fit(sizes: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def local_search(sizes: np.ndarray, bins: np.ndarray, room: int, passes: int = 4) -> np.ndarray:
-    """Better bins: from the emptiest bin on, move an item, or give one or two for a smaller one, to a fuller bin.
+def local_search(sizes: np.ndarray, bins: np.ndarray, room: int) -> np.ndarray:
+    """Better bins, by moves and one-for-one and two-for-one exchanges between underfull bins.
 
-    Every step makes the sum of squared fills larger, so bins run empty and the search ends; it also ends after
-    `passes` rounds over the underfull bins.
+    Each step makes the sum of squared fills larger, so the search ends: when no such step is left over any items of
+    any two bins, or when there are as few bins as the sizes' sum allows, so that none can still be emptied.
     """
-    bins = bins.copy()
+    bins, sizes = bins.copy(), sizes.astype(np.int64)
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
-    members: list[set[int]] = [set() for _ in fill]
-    for i, b in enumerate(bins.tolist()):
-        members[b].add(i)
-
-    def put(i: int, b: int) -> None:
-        members[bins[i]].discard(i)
-        fill[bins[i]] -= sizes[i]
-        bins[i] = b
-        members[b].add(i)
-        fill[b] += sizes[i]
-
-    for _ in range(passes):
-        # only items of underfull bins can be part of a step
-        active = np.flatnonzero(fill[bins] < room)
+    used, least = int((fill > 0).sum()), -(-int(sizes.sum()) // room)
+    moved = True
+    while moved and used > least:
         moved = False
         for b in np.argsort(fill, kind="stable").tolist():
-            if not 0 < fill[b] < room:
-                continue
-            tries = 0
-            while fill[b] and tries < 8:
-                tries += 1
-                best = (0, (), -1, -1)  # gain, own items, bin, item taken back
-                own = sorted(members[b], key=lambda i: -sizes[i])[:8]
-                left = room - fill
-                for k, x in enumerate(own):
-                    # move
-                    fits = np.where((left >= sizes[x]) & (fill + sizes[x] > fill[b]) & (fill > 0), fill, -1)
-                    fits[b] = -1
-                    c = int(np.argmax(fits))
-                    if fits[c] >= 0:
-                        gain = 2 * sizes[x] * (fill[c] - fill[b] + sizes[x])
-                        best = max(best, (int(gain), (x,), c, -1))
-                    # one for one, two for one
-                    for give in ((x,), *((x, y) for y in own[k + 1 : k + 3])):
-                        s = int(sizes[list(give)].sum())
-                        there, size = bins[active], sizes[active]
-                        more = s - size
-                        ok = (more > 0) & (more <= left[there]) & (there != b) & (fill[there] + more > fill[b])
-                        if ok.any():
-                            gains = np.where(ok, 2 * more * (fill[there] - fill[b] + more), -1)
-                            j = int(np.argmax(gains))
-                            best = max(best, (int(gains[j]), give, int(there[j]), int(active[j])))
-                if not best[1]:
+            while 0 < fill[b] < room and used > least:
+                step = _best_step(sizes, bins, fill, room, b)
+                if step is None:
                     break
-                _, give, c, back = best
-                for i in give:
-                    put(i, c)
+                give, c, back = step
+                more = int(sizes[give].sum()) - (int(sizes[back]) if back >= 0 else 0)
+                bins[give] = c
                 if back >= 0:
-                    put(back, b)
+                    bins[back] = b
+                fill[b] -= more
+                fill[c] += more
+                used -= fill[b] == 0
                 moved = True
-        if not moved:
-            break
     return bins
 
 
+def _best_step(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, room: int, b: int) -> tuple[list[int], int, int] | None:
+    """The step out of bin b that raises squared fill most: items given, bin that takes them, item it gives back or -1."""
+    own = np.flatnonzero(bins == b)
+    own = own[np.argsort(-sizes[own], kind="stable")]
+    third = np.zeros(len(own), bool)
+    third[2:] = sizes[own[2:]] == sizes[own[:-2]]  # a third item of a size adds no other sum
+    own = own[~third]
+    i, j = np.triu_indices(len(own), 1)
+    sums, first = np.unique(np.concatenate((sizes[own], sizes[own[i]] + sizes[own[j]])), return_index=True)
+    there = np.flatnonzero((fill > 0) & (fill < room) & (np.arange(len(fill)) != b))
+    items = np.flatnonzero((fill[bins] < room) & (bins != b))
+    back, where = np.concatenate((np.zeros(len(there), np.int64), sizes[items])), np.concatenate((there, bins[items]))
+    left, ahead = room - fill[where], fill[where] - fill[b]
+    best = (0, -1, -1)
+    for k in range(0, len(sums), 256):
+        more = sums[k : k + 256, None] - back[None, :]
+        gains = np.where((more > 0) & (more <= left), more * (ahead + more), 0)
+        at = int(np.argmax(gains)) if gains.size else 0
+        if gains.size and gains.flat[at] > best[0]:
+            best = (int(gains.flat[at]), k + at // len(back), at % len(back))
+    if not best[0]:
+        return None
+    chosen, at = int(first[best[1]]), best[2]
+    give = [int(own[chosen])] if chosen < len(own) else [int(own[i[chosen - len(own)]]), int(own[j[chosen - len(own)]])]
+    return give, int(where[at]), int(items[at - len(there)]) if at >= len(there) else -1
+
+
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are those of its text (null: none) and end_id; only documents of more than `length` ids are
     cut, into pieces of `length`, the last shorter. Pieces are dealt by a hash into groups of about GROUP_PIECES,
-    whatever their ids; each group is packed by best fit and then local search. Repeated rows and null ids are
-    packed like others; an empty table gives no rows. Other columns are not read.
+    whatever their ids; each group is packed by best fit and then local search. Pieces of equal length are placed
+    in order of id, piece and checksum, so reruns agree; rows that are equal in all of these may change places.
+    Repeated rows and null ids are packed like others; very long texts are encoded whole; an empty table gives no
+    rows. Other columns are not read.
     """
     parts = written(pieces(docs, tokenizer_path, length, end_id, id_col, text_col), "pieces")
     groups = max(1, round(parts.count() / GROUP_PIECES))

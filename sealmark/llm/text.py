@@ -20,13 +20,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=U64) * _BASE)
-    values[65:91] = values[97:123]
-    return values
-
-
-_VALUES = _byte_values()
+_EXACT = mix(np.arange(1, 257, dtype=U64) * _BASE)
+_FOLDED = _EXACT.copy()
+_FOLDED[65:91] = _EXACT[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
@@ -81,12 +77,12 @@ def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None)
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal lower-cased bytes wherever they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal for equal bytes (A-Z lower-cased if folded) wherever they stand."""
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
+        np.cumsum((_FOLDED if folded else _EXACT)[data] * up[: len(data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

@@ -68,6 +68,48 @@ def test_local_search_betters_best_fit():
         assert (fills**2).sum() >= (np.bincount(first, weights=sizes) ** 2).sum()
 
 
+def steps_left(sizes, bins, room):
+    """Whether any move or exchange of one or two items for at most one raises squared fill."""
+    fill = np.bincount(bins, weights=sizes)
+    n = len(sizes)
+    gives = [(i,) for i in range(n)] + [(i, j) for i in range(n) for j in range(i) if bins[i] == bins[j]]
+    for give in gives:
+        b, s = bins[give[0]], sum(sizes[i] for i in give)
+        for c in np.flatnonzero(fill):
+            for back in [0, *sizes[bins == c]]:
+                more = s - back
+                if c != b and more > 0 and fill[c] + more <= room and fill[c] + more > fill[b]:
+                    return True
+    return False
+
+
+def test_local_search_goes_on_to_the_end():
+    rng = np.random.default_rng(4)
+    ended = 0
+    for _ in range(30):
+        sizes = rng.integers(150, 620, 24)
+        out = packing.local_search(sizes, packing.best_fit(sizes, 1000), 1000)
+        fill = np.bincount(out, weights=sizes)
+        assert fill.max() <= 1000
+        if (fill > 0).sum() > -(-sizes.sum() // 1000):
+            ended += 1
+            assert not steps_left(sizes, out, 1000)
+    assert ended
+
+
+def test_local_search_saves_sequences():
+    """Texts in threes that fill a sequence exactly: best fit leaves gaps, exchanges empty bins."""
+    rng = np.random.default_rng(7)
+    a = rng.integers(380, 490, 200)
+    b = rng.integers(250, 1000 - a - 249)
+    sizes = np.concatenate((a, b, 1000 - a - b))
+    first = packing.best_fit(sizes, 1000)
+    last = packing.local_search(sizes, first, 1000)
+    before, after = len(np.unique(first)), len(np.unique(last))
+    assert np.bincount(last, weights=sizes).max() <= 1000
+    assert after < before, (before, after)
+
+
 def test_local_search_empties_a_bin():
     # best fit by size leaves 6+5 and 4+4 apart in rooms of 10; exchanges don't help, a move does for the second set
     sizes = np.array([6, 3, 2, 5, 4])
