@@ -15,3 +15,8 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     base = [c for c in df.columns if c not in columns]
     row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("computed_row")
     return df.select(*base, row).select(*base, *(F.col(f"computed_row.{n}").alias(n) for n in columns))
+
+
+def with_value(value: Column, use) -> Column:
+    """use(value), the value being computed once per row although lambdas inside `use` mention it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sealmark.llm.columns import with_value
 from sealmark.scratch import written
 
 #: Boilerplate lines up to this many (20 bytes each) are broadcast; a longer list is joined by a shuffle.
@@ -22,10 +23,17 @@ def _key(line):
     return F.struct(F.xxhash64(bare).alias("h"), F.hash(bare).alias("g"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str | None = None) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str | None = None, places: bool = False) -> DataFrame:
+    """(doc, site if asked for, h, g) of every line with a word; with places also body, the text's hash, and its place there."""
     has_word = r"[^\x20\x09-\x0D]"
-    lines = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: x.rlike(has_word))
-    keys = docs.select(F.col(id_col).alias("doc"), *([F.col(site_col).cast("string").alias("site")] if site_col else []), F.explode(F.transform(lines, _key)).alias("k"))
+    lines = F.split(F.col(text_col).cast("string"), "\n")
+    if places:
+        lines = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(has_word))
+        keys = F.transform(lines, lambda s: F.struct(_key(s["x"]).alias("k"), s["i"].alias("place")))
+        rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("body"), F.explode(keys).alias("p"))
+        return rows.select("doc", "body", "p.k.h", "p.k.g", "p.place")
+    site = [F.col(site_col).cast("string").alias("site")] if site_col else []
+    keys = docs.select(F.col(id_col).alias("doc"), *site, F.explode(F.transform(F.filter(lines, lambda x: x.rlike(has_word)), _key)).alias("k"))
     return keys.select("doc", *(["site"] if site_col else []), "k.h", "k.g")
 
 
@@ -51,23 +59,22 @@ def remove_boilerplate(
 
     A line (compared without the blanks around it) is boilerplate when at least min_sites distinct sites carry it.
     It stays in the document with the smallest id that has it, so every line of the corpus survives once, and goes
-    from all others; blank lines stay. A null site is no site; a null text stays null; a null id is never the
-    first, so such rows lose the line unless no document with an id has it. Rows that repeat an id share their
-    text's fate line by line. A column of docs named n_removed is replaced, others pass through.
+    from all others; blank lines stay. A null site is no site; null and empty texts stay; a null id is never the
+    first, so such rows lose the line unless no document with an id has it. Rows that repeat an id lose or keep a
+    line alike. Ties of ids can't matter; an empty table gives no rows. A very long text costs time in proportion to
+    its lines. A column of docs named n_removed is replaced, others pass through.
     """
     common = written(boilerplate(docs, id_col, text_col, site_col, min_sites), "boilerplate")
     found = F.broadcast(common) if common.count() <= BROADCAST_LINES else common
-    lost = _lines(docs, id_col, text_col).join(found, ["h", "g"]).where("first_doc is not null and (doc is null or doc <> first_doc)")
-    lost = lost.groupBy(F.col("doc").alias("lost_doc")).agg(F.collect_set(F.struct("h", "g")).alias("lost_lines"))
+    lost = _lines(docs, id_col, text_col, places=True).join(found, ["h", "g"]).where("first_doc is not null and (doc is null or doc <> first_doc)")
+    lost = lost.groupBy("doc", "body").agg(F.sort_array(F.collect_set("place")).alias("places"))
     base = docs.drop("n_removed")
-    out = base.join(lost, base[id_col].eqNullSafe(lost["lost_doc"]), "left")
-    text = F.col(text_col).cast("string")
-    has_word = r"[^\x20\x09-\x0D]"
-    parts = F.split(text, "\n")
-    stay = F.filter(parts, lambda x: ~x.rlike(has_word) | ~F.array_contains(F.col("lost_lines"), _key(x)))
-    out = out.withColumn("lost_lines", F.when(F.col("lost_lines").isNotNull() & text.isNotNull(), F.struct(stay.alias("stay"), F.size(parts).alias("n"))))
-    changed = F.col("lost_lines").isNotNull()
-    return out.select(
-        *(F.when(changed, F.array_join("lost_lines.stay", "\n")).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in base.columns),
-        F.when(changed, F.col("lost_lines.n") - F.size("lost_lines.stay")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+    text = base[text_col].cast("string")
+    out = base.join(lost, base[id_col].eqNullSafe(lost["doc"]) & (F.xxhash64(text) == lost["body"]), "left")
+    # the runs of lines between lost ones
+    runs = with_value(
+        F.struct(F.split(text, "\n").alias("lines"), F.concat(F.array(F.lit(-1)), lost["places"]).alias("at")),
+        lambda v: F.flatten(F.transform(v["at"], lambda a, i: F.slice(v["lines"], a + 2, F.coalesce(F.get(v["at"], i + 1), F.size(v["lines"])) - a - 1))),
     )
+    kept = F.when(lost["places"].isNotNull(), F.array_join(runs, "\n")).otherwise(text)
+    return out.select(*(kept.alias(c) if c == text_col else base[c] for c in base.columns), F.coalesce(F.size(lost["places"]), F.lit(0)).cast("long").alias("n_removed"))

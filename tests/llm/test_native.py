@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -146,6 +147,44 @@ def test_line_dedup(spark):
     assert line_dedup.remove_boilerplate(df.limit(0)).collect() == []
 
 
+def plain_dedup(rows, min_sites):
+    lines = defaultdict(lambda: (set(), set()))
+    for i, t, s in rows:
+        for x in (t or "").split("\n"):
+            if x.strip(" \t\n\x0b\x0c\r"):
+                sites, ids = lines[x.strip(" \t\n\x0b\x0c\r")]
+                sites.add(s)
+                ids.add(i)
+    out = []
+    for i, t, s in rows:
+        parts = [] if t is None else t.split("\n")
+        bad = lambda x: len(lines[x][0] - {None}) >= min_sites and lines[x][1] - {None} and i != min(lines[x][1] - {None}) if x else False
+        stay = [x for x in parts if not bad(x.strip(" \t\n\x0b\x0c\r"))]
+        out.append((i, None if t is None else "\n".join(stay), len(parts) - len(stay)))
+    return out
+
+
+def test_line_dedup_against_plain_version(spark):
+    rnd = random.Random(6)
+    pool = [f" line {k}" for k in range(30)] + ["", " ", "\t"]
+    rows = [(rnd.randrange(60), "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(12))), rnd.choice(["a", "b", "c", "d", None])) for _ in range(120)] + [(None, " line 1\nx", "a"), (3, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("doc", "body", "places", "h", "g", "first_doc", "n_removed"):
+        df = df.withColumn(c, F.lit(1))
+    got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.remove_boilerplate(df, min_sites=3).collect()]
+    assert sorted(got, key=str) == sorted(plain_dedup(rows, 3), key=str)
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    """Time grows with the lines of a text, not with their square."""
+    shared = "\n".join(f"shared line {k}" for k in range(20_000))
+    rows = [(i, f"own {i}\n{shared}\nend {i}", f"s{i}") for i in range(12)]
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == (rows[0][1], 0) and all(got[i] == (f"own {i}\nend {i}", 20_000) for i in range(1, 12))
+    assert time.time() - began < 60
+
+
 # mixing
 
 
