@@ -125,6 +125,15 @@ def test_trigram_queries():
     assert all(by[k] for k in ("private_key", "web_token", "forge_token"))
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    """64 000 keys in one text: time grows with their number, not with its square."""
+    text = "\n".join(f"{k:032x}" for k in range(64_000))
+    began = time.time()
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s.start, s.end, s.kind) for s in row.secrets] == [(33 * k, 33 * k + 32, "hex") for k in range(64_000)]
+    assert time.time() - began < 60
+
+
 # line dedup
 
 
