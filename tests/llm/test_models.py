@@ -1,5 +1,9 @@
 """Embedding near-duplicates and toxicity."""
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ def brute(rows, threshold=0.93):
 
 def test_embedding_links(spark, monkeypatch):
     monkeypatch.setattr(embedding_dup, "TILE", 24)
+    monkeypatch.setattr(embedding_dup, "TILE_BYTES", 1)  # 256 at least
+    monkeypatch.setattr(embedding_dup, "AXES_ROWS", 50)
     rng = np.random.default_rng(2)
     rows, n = [], 0
     for label in (1, 2):
@@ -49,6 +55,30 @@ def test_embedding_links(spark, monkeypatch):
     assert embedding_dup.embedding_near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embedding_links_over_many_tiles(spark, monkeypatch):
+    """One label with strips, tiles, a cell that is dealt to parts, chains of links through tiles; floats and few dimensions."""
+    monkeypatch.setattr(embedding_dup, "TILE_BYTES", 1)
+    monkeypatch.setattr(embedding_dup, "BLOCK", 100)
+    rng = np.random.default_rng(9)
+    for d, kind in ((2, "float"), (6, "double"), (1, "float")):
+        base = rng.standard_normal((60, d)) if d > 1 else np.ones((1, 1))
+        v = (base[rng.integers(len(base), size=900)] + 0.15 * rng.standard_normal((900, d)) * (d > 1) + (rng.random((900, 1)) * (d == 1))).astype(np.float32)
+        rows = [(i, [float(x) for x in r], "a") for i, r in enumerate(v)] + [(2000, [1.0] * d, "b")]
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.embedding_near_duplicates(df).collect()}
+        u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+        links = u @ u.T >= 0.93
+        np.fill_diagonal(links, False)
+        root = np.arange(900)
+        while True:
+            new = np.minimum(root, np.where(links, root[None, :], 900).min(1))
+            if (new == root).all():
+                break
+            root = new
+        assert got.pop(2000) == (0, 2000)
+        assert got == {i: (int(links[i].sum()), int(root[i])) for i in range(900)}
+
+
 def test_early_stop_loses_nothing():
     rng = np.random.default_rng(5)
     a = rng.standard_normal((80, 64)) + 2 * rng.standard_normal(64)
@@ -59,6 +89,46 @@ def test_early_stop_loses_nothing():
         assert (embedding_dup.linked(a, b, axes, t) == (u @ w.T >= t)).all()
 
 
+def test_toxicity_against_plain_version(spark):
+    """Ratios from plain n-gram sets, weights by plain gradient steps, on a small sample."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(160):
+        words = [str(w) for w in rng.choice(["ab", "Ca ", "dé", "e\tf", "gh"], rng.integers(1, 6))]
+        toxic = int(rng.random() < 0.4)
+        rows.append((i, " ".join([*words, "zot"] if toxic and rng.random() < 0.9 else words), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), penalty=1e-2)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+    def grams(text):
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", f" {text.lower()} ")
+        return {t[k : k + n] for n in (3, 4, 5, 6) for k in range(len(t) - n + 1)}
+
+    pos, neg = (Counter(g for r in train if r[2] == k for g in grams(r[1])) for k in (1, 0))
+    n_pos, n_neg = sum(r[2] for r in train), sum(1 - r[2] for r in train)
+    ratio = {g: np.log((pos[g] + 1) / (n_pos + 2)) - np.log((neg[g] + 1) / (n_neg + 2)) for g in pos | neg}
+    names = sorted(g for g, x in ratio.items() if abs(x) / np.sqrt(1 / (pos[g] + 1) + 1 / (neg[g] + 1)) >= toxicity.LEAST_Z)
+    assert len(names) == len(model.features) > 3
+    value = lambda text: np.array([ratio[g] * (g in grams(text)) for g in names])
+    x, y = np.array([value(r[1]) for r in train]), np.array([r[2] for r in train])
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(30_000):
+        off = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.05 * (x.T @ off / len(y) + 1e-2 * w), b - 0.05 * off.mean()
+    for r in toxicity.score(df, model).collect():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(value(rows[r.doc_id][1]) @ w + b))), abs=2e-3)
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    docs = [(i, ("zotrash " if i % 3 == 0 else "meadow ") * 30, int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    long = spark.createDataFrame([(1, "river " * 400_000 + "zotrash zotrash"), (2, "meadow " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(long, model).collect()}
+    assert got[1].score > got[2].score and got[2].predicted == 0
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = np.random.default_rng(1)
     vocab = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in ("nt", "rl", "mm", "sk")]
