@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Features are n-grams present in a text. Each is scaled by its naive Bayes log-count ratio, over the sample's
     documents; those whose ratio is not far from 0 by its standard error are dropped, then logistic regression
     weighs the rest. The sample is bounded by max_rows; kept features and weights reach the driver, rows don't.
-    With no labels of one kind the score is the smoothed share of toxic rows.
+    With no labels of one kind the score is the smoothed share of toxic rows. Null labels and ids are left out, an id
+    labelled both ways is toxic; equal hashes of ids are taken in order of the ids.
     """
     mine = labels.select(F.col(id_col).alias("fit_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and fit_id is not null")
     mine = mine.where(F.pmod(F.crc32(F.col("fit_id").cast("string").cast("binary")), F.lit(4)) != 2)
@@ -206,7 +207,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, held_out, score, predicted): every row's score from its text alone.
 
     Null, empty and blank texts have no n-grams of weight: they get the intercept's score. Null ids stay (not held
-    out); repeated rows stay; other columns are not read.
+    out); repeated rows stay; an empty table gives no rows; other columns are not read. Very long texts are scored
+    whole. Scores of equal texts are equal, so there are no ties to order.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
