@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sealmark.functions import mrz
 from sealmark.functions import signals as sg
-from sealmark.operators import documents
+from sealmark.operators import documents, zones
 from sealmark.plans.bindings import table
 
 AS_OF = date(2024, 6, 1)
@@ -43,19 +43,44 @@ def k6_mrz_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", mrz.mrz_date(text, F.lit(AS_OF), False).alias("birth"), mrz.mrz_date(text, F.lit(AS_OF), True).alias("expiry"))
 
 
+def _damaged(spark, sf):
+    """Zones as an engine reads them: digits as letters, filler as K, lines cut in two, a doubled P, wrong check digits."""
+    k = F.col("c_custkey")
+    given = F.regexp_replace("line1", "<<KIM<([K-T]+)<.*$", "<<KIMA<VA$1")
+    line1 = F.rpad(given, 44, "<")
+    l1 = F.when(k % 5 == 1, F.rpad(given, 44, "K")).when(k % 5 == 3, F.concat(F.lit("P"), F.substring(line1, 1, 43))).otherwise(line1)
+    part = lambda a, b: F.substring("line2", a + 1, b - a)
+    misread = lambda a, b: F.translate(part(a, b), "05", "OS")
+    l2 = F.when(k % 7 == 1, F.concat(part(0, 2), misread(2, 10), part(10, 13), misread(13, 20), part(20, 21), misread(21, 28), part(28, 44)))
+    l2 = l2.when(k % 7 == 2, F.concat(part(0, 9), ((part(9, 10).cast("int") + 1) % 10).cast("string"), part(10, 44)))
+    l2 = l2.when(k % 7 == 3, F.concat(part(0, 21), F.regexp_replace(part(21, 27), "^([^3]*)3", "$1S"), part(27, 44))).when(k % 7 == 4, F.concat(part(0, 10), F.lit("1T0"), part(13, 44)))
+    l2 = l2.when(k % 7 == 5, F.concat(part(0, 20), F.translate(part(20, 21), "M", "N"), part(21, 44))).otherwise(F.col("line2"))
+    return _zones(spark, sf).select("c_custkey", l1.alias("line1"), l2.alias("line2"))
+
+
 def _read(spark, sf):
-    """Zones as an engine reads them: some digits as letters, filler as K, lines cut in two, wrong check digits."""
     k = F.col("c_custkey")
-    l1 = F.when(k % 5 == 1, F.regexp_replace("line1", "<{4}$", "KKKK")).when(k % 5 == 2, F.concat(F.substring("line1", 1, 30), F.lit("\n"), F.substring("line1", 31, 14))).otherwise(F.col("line1"))
-    l2 = F.when(k % 7 == 1, F.concat(F.translate(F.substring("line2", 1, 13), "05", "OS"), F.translate(F.substring("line2", 14, 7), "05", "OS"), F.substring("line2", 21, 24)))
-    l2 = l2.when(k % 7 == 2, F.concat(F.substring("line2", 1, 9), ((F.substring("line2", 10, 1).cast("int") + 1) % 10).cast("string"), F.substring("line2", 11, 34))).otherwise(F.col("line2"))
-    text = F.when(k % 11 == 0, F.lit("nothing to read here")).otherwise(F.concat(F.lit("PASSPORT\n"), l1, F.lit("\n"), l2, F.lit("\n")))
-    return _zones(spark, sf).select("c_custkey", text.alias("text"))
+    l1 = F.when(k % 5 == 2, F.concat(F.substring("line1", 1, 30), F.lit("\n"), F.substring("line1", 31, 14))).otherwise(F.col("line1"))
+    text = F.when(k % 11 == 0, F.lit("nothing to read here")).otherwise(F.concat(F.lit("PASSPORT\n"), l1, F.lit("\n"), F.col("line2"), F.lit("\n")))
+    return _damaged(spark, sf).select("c_custkey", text.alias("text"))
+
+
+def k2_candidate_lines(spark, sf):
+    return _read(spark, sf).select("c_custkey", F.posexplode(zones.candidate_lines(F.col("text"))).alias("nr", "line"))
+
+
+def k4_repaired_lines(spark, sf):
+    return _damaged(spark, sf).select("c_custkey", zones.repaired(F.col("line2")).alias("line2"))
+
+
+def k5_names(spark, sf):
+    return _damaged(spark, sf).select("c_custkey", zones.names(zones.aligned(F.col("line1")), F.lit("UTO")).alias("n")).select("c_custkey", "n.*")
 
 
 def k8_mrz_outcome(spark, sf):
-    out = documents.read_passports(_read(spark, sf), AS_OF)
-    return out.select("c_custkey", "zone.passport_number", "zone.surname", "zone.date_of_birth", "zone.expiry_date", "zone.valid", sg.codes(F.col("signals")).alias("codes"), "confidence")
+    out = zones.read_passports(_read(spark, sf), F.lit(AS_OF))
+    fields = ("passport_number", "surname", "given_names", "nationality", "sex", "date_of_birth", "expiry_date", "valid")
+    return out.select("c_custkey", *(f"zone.{f}" for f in fields), sg.codes(F.col("signals")).alias("codes"), "confidence")
 
 
 def k9_truth_fields(spark, sf):
@@ -74,13 +99,45 @@ def k10_id_cards(spark, sf):
     return out.select("c_custkey", "number", "date_of_birth", "expiry_date", "full_name", F.round("confidence", 4).alias("confidence"), sg.codes(F.col("signals")).alias("codes"))
 
 
-QUERIES = [k1_check_digits, k3_td3_fields, k6_mrz_dates, k8_mrz_outcome, k9_truth_fields, k10_id_cards]
+QUERIES = [k1_check_digits, k2_candidate_lines, k3_td3_fields, k4_repaired_lines, k5_names, k6_mrz_dates, k8_mrz_outcome, k9_truth_fields, k10_id_cards]
 
 _CD = "CAST(list_sum([greatest(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({0}, i, 1)) - 1, 0) * [7, 3, 1][(i - 1) % 3 + 1] for i in range(1, length({0}) + 1)]) % 10 AS VARCHAR)"
 ZONES = f"""WITH a AS (SELECT c_custkey, rpad('T' || lpad((c_custkey * 7919 % 10000000)::VARCHAR, 7, '0'), 9, '<') AS number, DATE '1940-01-01' + (c_custkey * 37 % 29000)::INT AS born, DATE '2020-01-01' + (c_custkey * 11 % 4000)::INT AS expires,
  translate(lpad((c_custkey % 1000)::VARCHAR, 3, '0'), '0123456789', 'ABCDEFGHIJ') || regexp_replace(upper(c_mktsegment), '[^A-Z]', '', 'g') AS surname, 'KIM ' || translate((c_custkey % 50)::VARCHAR, '0123456789', 'KLMNOPQRST') AS given FROM customer)
 """
+#: The zones of customers as they were before they were damaged, and what can still be read of them.
+CLEAN = ZONES[:-1] + f""", b AS (SELECT *, c_custkey % 5 AS m5, c_custkey % 7 AS m7, c_custkey % 11 = 0 AS blank, strftime(born, '%y%m%d') AS b6, strftime(expires, '%y%m%d') AS e6,
+ 'VA' || split_part(given, ' ', 2) AS second, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex FROM a),
+c AS (SELECT *, number || {_CD.format("number")} AS head, b6 || {_CD.format("b6")} AS mid, e6 || {_CD.format("e6")} || repeat('<', 15) AS tail FROM b),
+d AS (SELECT *, head || 'UTO' || mid || sex || tail || {_CD.format("(head || mid || tail)")} AS l2,
+ 'P<UTO' || surname || '<<KIMA<' || second AS stem, ((substr(head, 10, 1)::INT + 1) % 10)::VARCHAR AS wrong FROM c),
+z AS (SELECT *, CASE m5 WHEN 1 THEN rpad(stem, 44, 'K') WHEN 3 THEN 'P' || substr(rpad(stem, 44, '<'), 1, 43) ELSE rpad(stem, 44, '<') END AS seen1,
+ CASE m7 WHEN 1 THEN substr(l2, 1, 2) || translate(substr(l2, 3, 8), '05', 'OS') || 'UTO' || translate(substr(l2, 14, 7), '05', 'OS') || sex || translate(substr(l2, 22, 7), '05', 'OS') || substr(l2, 29)
+  WHEN 2 THEN substr(l2, 1, 9) || wrong || substr(l2, 11) WHEN 3 THEN substr(l2, 1, 21) || regexp_replace(e6, '3', 'S') || substr(l2, 28) WHEN 4 THEN substr(l2, 1, 10) || '1T0' || substr(l2, 14)
+  WHEN 5 THEN substr(l2, 1, 20) || replace(sex, 'M', 'N') || substr(l2, 22) ELSE l2 END AS seen2,
+ 'KIMA ' || CASE m5 WHEN 1 THEN rtrim(second, 'K') ELSE second END AS read_given FROM d)
+"""
+_KEPT = """CASE WHEN x LIKE 'P<%' AND length(x) >= 20 AND contains(x, '<<') THEN x WHEN length(x) >= 27 AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 8 THEN x END"""
 SQL = {
+    "k2_candidate_lines": CLEAN + f""", t AS (SELECT c_custkey, CASE WHEN blank THEN 'nothing to read here' ELSE 'PASSPORT' || chr(10) || CASE m5 WHEN 2 THEN substr(seen1, 1, 30) || chr(10) || substr(seen1, 31) ELSE seen1 END || chr(10) || seen2 || chr(10) END AS text FROM z),
+f AS (SELECT c_custkey, list_filter(list_transform(string_split(upper(text), chr(10)), lambda x: regexp_replace(x, '[^A-Z0-9<]', '', 'g')), lambda x: x <> '') AS f FROM t),
+g AS (SELECT c_custkey, unnest(f || [f[i] || f[i + 1] for i in range(1, len(f))]) AS x, unnest(range(0, 2 * len(f) - 1)) AS i FROM f),
+h AS (SELECT c_custkey, i, CASE WHEN x LIKE 'P%' THEN 'P' || regexp_replace(substr(x, 2, 4), '^[O0]', '<') || replace(substr(x, 6), '0', 'O') ELSE x END AS x FROM g)
+SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1)::INT AS nr, rpad({_KEPT}, 44, '<') AS line FROM h WHERE {_KEPT} IS NOT NULL""",
+    "k4_repaired_lines": CLEAN + "SELECT c_custkey, CASE m7 WHEN 2 THEN seen2 WHEN 4 THEN seen2 WHEN 5 THEN l2 ELSE l2 END AS line2 FROM z",
+    "k5_names": CLEAN + "SELECT c_custkey, surname, read_given AS given_names FROM z",
+    "k8_mrz_outcome": CLEAN + """SELECT c_custkey, CASE WHEN NOT blank THEN replace(number, '<', '') END AS passport_number, CASE WHEN NOT blank THEN surname END AS surname, CASE WHEN NOT blank THEN read_given END AS given_names,
+ CASE WHEN NOT blank THEN 'UTO' END AS nationality, CASE WHEN NOT blank THEN sex END AS sex, CASE WHEN NOT blank THEN born END AS date_of_birth, CASE WHEN NOT blank THEN expires END AS expiry_date, CASE WHEN NOT blank THEN m7 <> 2 END AS valid,
+ CASE WHEN blank THEN 'MRZ_NOT_READ' ELSE concat_ws('|', CASE WHEN m7 = 2 THEN 'MRZ_CHECK_DIGIT_MISMATCH' END, CASE WHEN expires <= DATE '2024-06-01' THEN 'PASSPORT_EXPIRED' END) END AS codes,
+ CASE WHEN blank THEN 0.0 WHEN m7 = 2 THEN 0.4 ELSE 0.92 END::DOUBLE AS confidence FROM z""",
+    "k9_truth_fields": ZONES + f""", b AS (SELECT *, strftime(born, '%y%m%d') AS b6, strftime(expires, '%y%m%d') AS e6, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex FROM a),
+c AS (SELECT *, number || {_CD.format("number")} AS head, b6 || {_CD.format("b6")} AS mid, e6 || {_CD.format("e6")} || repeat('<', 15) AS tail FROM b)
+SELECT c_custkey, 'X' || c_custkey AS number, 'Sample' AS surname, DATE '1990-03-03' AS date_of_birth, CASE WHEN c_custkey % 3 <> 0 THEN rpad('P<UTO' || surname || '<<' || replace(given, ' ', '<'), 44, '<') END AS mrz_line1,
+ CASE WHEN c_custkey % 3 <> 0 THEN head || 'UTO' || mid || sex || tail || {_CD.format("(head || mid || tail)")} END AS mrz_line2, CASE WHEN c_custkey % 3 <> 0 THEN born END AS mrz_birth FROM c""",
+    "k10_id_cards": """WITH c AS (SELECT c_custkey, trim(regexp_replace(upper(c_mktsegment), '[0-9#]', '', 'g')) AS full_name, CASE WHEN c_custkey % 4 <> 0 THEN lpad((c_custkey * 104729)::VARCHAR, 12, '1') END AS number,
+ DATE '1960-01-01' + (c_custkey % 15000)::INT AS date_of_birth, CASE WHEN c_custkey % 5 <> 0 THEN DATE '2020-01-01' + (c_custkey * 13 % 5000)::INT END AS expiry_date FROM customer)
+SELECT *, round(CASE WHEN number IS NULL THEN 0.0 ELSE 0.35 END + 0.2 + CASE WHEN expiry_date IS NULL THEN 0.0 ELSE 0.15 END + 0.2 + 0.1, 4)::DOUBLE AS confidence,
+ concat_ws('|', CASE WHEN number IS NULL THEN 'LAO_ID_NUMBER_NOT_READ' END, CASE WHEN expiry_date IS NULL THEN 'LAO_ID_EXPIRY_UNKNOWN' WHEN expiry_date <= DATE '2024-06-01' THEN 'LAO_ID_EXPIRED' END) AS codes FROM c""",
     "k1_check_digits": "SELECT c_custkey, " + _CD.format("n") + " AS digit FROM (SELECT c_custkey, upper(replace(c_name, '#', '<')) AS n FROM customer)",
     "k3_td3_fields": ZONES + """SELECT c_custkey, replace(number, '<', '') AS passport_number, surname, given AS given_names, 'UTO' AS nationality, CASE WHEN year(born) >= 2025 - 1 AND born > DATE '2024-06-01' THEN born - INTERVAL 100 YEAR ELSE born END::DATE AS date_of_birth,
  CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, expires AS expiry_date, true AS check_digits_valid, true AS all_check_digits_valid, true AS valid FROM a""",

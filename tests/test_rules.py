@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sealmark.functions import crypto, scalars
 from sealmark.functions import signals as sg
-from sealmark.operators import audit, bursts, documents, matching, metrics, scoring, throttle
+from sealmark.operators import audit, bursts, documents, matching, metrics, scoring, throttle, zones
 
 SPECIMEN = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
 INVENTED = "P<UTOSAMPLESON<<ALEX<KIM<<<<<<<<<<<<<<<<<<<<\nTS00123450UTO9001158F3506307<<<<<<<<<<<<<<<2"
@@ -177,7 +177,7 @@ def test_zones(spark):
     as_of = dt.date(2024, 6, 1)
     cut = INVENTED.replace("<<<<<<<<<<<<<<<<<<<<\n", "\n", 1)
     texts = [SPECIMEN, INVENTED, INVENTED.replace("TS00123450", "TSOO12345O"), INVENTED.replace("9001158", "9OOllS8".upper()), INVENTED.replace("3506307", "3506308"), "PP" + INVENTED[1:44][:42] + INVENTED[44:], None, "", "just words", cut]
-    got = documents.read_passports(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), as_of).orderBy("i").collect()
+    got = zones.read_passports(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), F.lit(as_of)).orderBy("i").collect()
     codes = [[s.code for s in r.signals] for r in got]
     assert tuple(got[0].zone)[:6] == ("L898902C3", "ERIKSSON", "ANNA MARIA", "UTO", dt.date(1974, 8, 12), "F") and codes[0] == ["PASSPORT_EXPIRED"] and got[0].confidence == 0.92
     for k in (1, 2, 9):
