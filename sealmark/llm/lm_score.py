@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealmark.llm import text as tx
@@ -30,7 +31,9 @@ from sealmark.scratch import written
 U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
 #: Tokens per block of documents; a longer document is a block of its own.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
+#: Blocks that pass between Spark and a Python worker at once; a block has some megabytes.
+BLOCKS_AT_ONCE = "2"
 #: Tokens of text for each part that the exact counts of single tokens are dealt to.
 PART_TOKENS = 4_000_000
 #: Pairs a filter segment is meant to hold, bits for each entry, probes for each.
@@ -101,7 +104,7 @@ class _Block:
         self.codes = np.frombuffer(row["codes"], "<u4").astype(np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], U64)
         self.rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.counts = np.frombuffer(row["counts"], "<i8") if "counts" in row else None
+        self.counts = _counts(row["counts"]) if "counts" in row else None
 
     def pairs(self) -> np.ndarray:
         """A hash for each token and the one before it; a text's first token stands after the end."""
@@ -112,6 +115,27 @@ class _Block:
             return tx.mix(before * U64(0x9FB21C651E98DF25) + tx.mix(now))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by four bytes each, and one more byte at the end where they need eight."""
+    return counts.astype("<u4").tobytes() if not len(counts) or counts.max() < 1 << 32 else counts.astype("<i8").tobytes() + b"8"
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed[:-1], "<i8") if len(packed) % 4 else np.frombuffer(packed, "<u4").astype(np.int64)
+
+
+@contextmanager
+def _few_at_once(spark: SparkSession):
+    """Small Arrow batches while blocks are read."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BLOCKS_AT_ONCE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -143,7 +167,7 @@ def token_counts(blocks: DataFrame, parts: int) -> DataFrame:
         tokens, code = np.unique(np.frombuffer(b"".join(pdf["tokens"]), U64), return_inverse=True)
         total = np.bincount(code, weights=np.frombuffer(b"".join(pdf["counts"]), "<u4"), minlength=len(tokens)).astype("<i8")
         ends = np.cumsum(sizes)
-        own = [total[code[e - s : e]].tobytes() for e, s in zip(ends, sizes)]
+        own = [_packed(total[code[e - s : e]]) for e, s in zip(ends, sizes)]
         first = np.arange(len(pdf)) == 0
         return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "counts": own, "n": np.where(first, total.sum(), 0), "v": np.where(first, (total > 0).sum(), 0)})
 
@@ -272,48 +296,72 @@ def score(
     spark = docs.sparkSession
     blocks = written(token_blocks(docs, id_col, text_col), "blocks")
     size = blocks.agg(F.sum(F.octet_length("codes") / 4)).first()[0] or 0
-    known = written(token_counts(blocks, max(1, round(size / PART_TOKENS))), "counts")
+    with _few_at_once(spark):
+        known = written(token_counts(blocks, max(1, round(size / PART_TOKENS))), "counts")
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    known = known.select("block", "part", "counts")
     segments = max(1, round(n / SEGMENT_PAIRS))
-    filters = written(segment_filters(blocks, segments), "filter")
-    coded = _with_counts(blocks, known.select("block", "part", "counts"))
+    with _few_at_once(spark):
+        filters = written(segment_filters(blocks, segments), "filter")
     total = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
-    if total > slice_bytes * most_slices:
-        coded = written(coded, "coded")
-        rows = _scores_in_place(coded, filters, segments, n, v, mu)
-    else:
-        # equal hash ranges hold about equal shares of the filter
-        count = max(1, -(-total // slice_bytes))
-        bounds = [segments * k // count for k in range(count + 1)]
-        if count > 1:
-            coded = written(coded, "coded")
-        rows = None
+    count = max(1, -(-total // slice_bytes))
+    if count == 1:
+        shared = _slice(filters, segments, 0, segments)
+        rows = written(_scores_at_once(blocks, known, shared, n, v, mu), "scores")
+        shared.unpersist()
+    elif count <= most_slices:
+        coded, rows = written(_with_counts(blocks, known), "coded"), None
+        bounds = [segments * k // count for k in range(count + 1)]  # equal hash ranges hold about equal shares of the filter
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            own = {r.segment: bytes(r.bits) for r in filters.where(F.col("segment").between(lo, hi - 1)).collect()}
-            part = FilterSlice(segments, lo, [own.get(s, b"") for s in range(lo, hi)])
-            shared = spark.sparkContext.broadcast(vars(part))  # arrays alone: a broadcast names its classes
-            del own, part
-            done = written(_slice_scores(coded, shared, lo == 0, n, v, mu), "scores")
+            shared = _slice(filters, segments, lo, hi)
+            with _few_at_once(spark):
+                done = written(_slice_scores(coded, shared, lo == 0, n, v, mu), "scores")
             shared.unpersist()
             rows = done if rows is None else rows.union(done)
-        if count > 1:
-            rows = rows.groupBy("block", "place").agg(
-                F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
-                F.max("base_score").alias("base_score"), F.sum("score").alias("score"),
-            )
+        rows = rows.groupBy("block", "place").agg(
+            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
+            F.max("base_score").alias("base_score"), F.sum("score").alias("score"),
+        )
+    else:
+        coded = written(_with_counts(blocks, known), "coded")
+        with _few_at_once(spark):
+            rows = written(_scores_in_place(coded, filters, segments, n, v, mu), "scores")
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """The blocks with `counts`: their vocabulary's counts in all training documents."""
+def _slice(filters: DataFrame, segments: int, lo: int, hi: int):
+    """Segments lo..hi - 1 of the filter, broadcast."""
+    own = {r.segment: bytes(r.bits) for r in filters.where(F.col("segment").between(lo, hi - 1)).collect()}
+    part = FilterSlice(segments, lo, [own.pop(s, b"") for s in range(lo, hi)])
+    return filters.sparkSession.sparkContext.broadcast(vars(part))  # arrays alone: a broadcast names its classes
+
 
+def _of_block(left: pd.DataFrame, right: pd.DataFrame) -> dict:
+    """A block with `counts`: its vocabulary's counts in all training documents."""
+    parts = [_counts(bytes(c)) for c in right.sort_values("part")["counts"]]  # parts rise with the token, as the vocabulary does
+    return left.iloc[0].to_dict() | {"counts": _packed(np.concatenate(parts))}
+
+
+def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = right.sort_values("part")["counts"]  # parts rise with the token, as the vocabulary does
-        return left.assign(counts=[b"".join(parts)] * len(left))
+        return pd.DataFrame([_of_block(left, right)])
 
     return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(work, BLOCK + ", counts binary")
 
 
+def _scores_at_once(blocks: DataFrame, known: DataFrame, shared, n: int, v: int, mu: float) -> DataFrame:
+    """Scores by a filter that is broadcast whole, where blocks meet their counts."""
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        part = FilterSlice.__new__(FilterSlice)
+        vars(part).update(shared.value)
+        b = _Block(_of_block(left, right))
+        mine, levels = part.levels(b.pairs())
+        return pd.DataFrame(_scored(b, mine, levels, True, n, v, mu))
+
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(work, SCORES)
+
+
 SCORES = "block long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -326,7 +374,7 @@ def _scored(b: _Block, mine: np.ndarray | bool, levels: np.ndarray, with_base: b
     term = np.where(mine, np.log10((count_of(levels) + mu * p[b.codes]) / (before + mu)), 0.0)
     add = lambda x: np.bincount(b.rows, weights=x, minlength=docs)
     return {
-        "block": np.full(docs, b.block), "place": np.arange(docs, dtype=np.int32), "doc_id": pa.array(b.doc_ids, mask=~b.has_id), "held_out": b.held, "n_tokens": b.sizes,
+        "block": np.full(docs, b.block), "place": np.arange(docs, dtype=np.int32), "doc_id": pd.arrays.IntegerArray(b.doc_ids, ~b.has_id), "held_out": b.held, "n_tokens": b.sizes,
         "n_known": add((c > 0)[b.codes]).astype(np.int64) if with_base else np.zeros(docs, np.int64), "base_score": add(np.log10(p)[b.codes]) if with_base else np.full(docs, -np.inf),
         "score": add(term),
     }
@@ -340,7 +388,7 @@ def _slice_scores(coded: DataFrame, shared, with_base: bool, n: int, v: int, mu:
         vars(part).update(shared.value)
         for b in _unpacked(batches):
             mine, levels = part.levels(b.pairs())
-            yield pa.RecordBatch.from_pydict(_scored(b, mine, levels, with_base, n, v, mu))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(_scored(b, mine, levels, with_base, n, v, mu)), preserve_index=False)
 
     return coded.mapInArrow(work, SCORES)
 
@@ -367,7 +415,7 @@ def _scores_in_place(coded: DataFrame, filters: DataFrame, segments: int, n: int
         b = _Block(left.iloc[0].to_dict())
         of_key = np.frombuffer(b"".join(right.sort_values("segment")["levels"]), np.uint8).astype(np.int64)
         _, code = np.unique(b.pairs(), return_inverse=True)
-        return pa.Table.from_pydict(_scored(b, True, of_key[code], True, n, v, mu)).to_pandas(types_mapper=pd.ArrowDtype)
+        return pd.DataFrame(_scored(b, True, of_key[code], True, n, v, mu))
 
     asks = coded.mapInArrow(ask, "segment int, block long, pairs binary")
     levels = asks.groupBy("segment").cogroup(filters.select("segment", "bits").groupBy("segment")).applyInPandas(probe, "block long, segment int, levels binary")
