@@ -6,7 +6,9 @@ import hashlib
 import hmac
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,37 +62,46 @@ def append(events: DataFrame, key: bytes | None = None, chain: str = "chain") ->
     return ordered.mapInArrow(fold, schema)
 
 
-def verify(log: DataFrame, key: bytes | None = None) -> DataFrame:
-    """One row: is_ok, entries, broken_at (first seq whose link or hash is wrong).
+def verify(log: DataFrame, key: bytes | None = None, chain: str = "chain") -> DataFrame:
+    """One row per chain: chain, is_ok, entries, broken_at (its first seq whose link or hash is wrong).
 
-    Hashes are recomputed row by row. For links, rows are range-partitioned by seq; each partition checks its own and
-    hands on its first and last row, so what meets in one place is two rows per partition. Gaps in seq are fine.
+    Hashes are recomputed by columns. For links, rows are range-partitioned by chain and seq, so a long chain is
+    checked by several tasks; each hands on one row per chain that it holds, and only those meet. Gaps in seq are fine.
     """
-    rows = log.select("seq", "prev_hash", "entry_hash", (F.col("entry_hash") != entry_hash(F.col("prev_hash"), F.col("canonical"), key)).alias("forged"))
+    forged = F.col("entry_hash") != entry_hash(F.col("prev_hash"), F.col("canonical"), key)
+    rows = log.select(F.col(chain).alias("chain"), "seq", "prev_hash", "entry_hash", F.coalesce(forged, F.lit(True)).alias("forged"))
     parts = max(2, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "seq").sortWithinPartitions("seq")
+    ordered = rows.repartitionByRange(parts, "chain", "seq").sortWithinPartitions("chain", "seq")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        bad, n = None, 0
         for batch in batches:
-            for seq, prev, entry, forged in zip(*(c.to_pylist() for c in batch.columns)):
-                if first is None:
-                    first = (seq, prev)
-                elif bad is None and prev != last[1]:
-                    bad = seq
-                if bad is None and forged:
-                    bad = seq
-                last, n = (seq, entry), n + 1
-        if first:
-            yield pa.RecordBatch.from_pydict({"first_seq": [first[0]], "first_prev": [first[1]], "last_entry": [last[1]], "bad": pa.array([bad], pa.int64()), "n": [n]})
-
-    edges = ordered.mapInArrow(scan, "first_seq long, first_prev string, last_entry string, bad long, n long")
-    # one row per partition
-    before = F.coalesce(F.lag("last_entry").over(Window.orderBy("first_seq")), F.lit(GENESIS))
+            n = batch.num_rows
+            if not n:
+                continue
+            chains, seq, prev, entry = (batch.column(k) for k in range(4))
+            same = pc.fill_null(pc.equal(chains.slice(1), chains.slice(0, n - 1)), False)
+            linked = pc.fill_null(pc.equal(prev.slice(1), entry.slice(0, n - 1)), False)
+            new = np.concatenate(([True], ~same.to_numpy(zero_copy_only=False)))
+            wrong = np.concatenate(([False], ~linked.to_numpy(zero_copy_only=False))) & ~new | batch.column(4).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], n) - 1
+            bad = np.flatnonzero(wrong)
+            at = np.searchsorted(bad, first)  # the first wrong row from the run's start on
+            has = at < len(bad)
+            has[has] = bad[at[has]] <= last[has]
+            broken = pa.array(np.where(has, bad[np.minimum(at, max(len(bad) - 1, 0))] if len(bad) else 0, 0), mask=~has)
+            yield pa.RecordBatch.from_arrays(
+                [chains.take(pa.array(first)), seq.take(pa.array(first)), prev.take(pa.array(first)), entry.take(pa.array(last)), seq.take(broken), pa.array(last - first + 1)],
+                ["chain", "first_seq", "first_prev", "last_entry", "bad", "n"],
+            )
+
+    kind = rows.schema["chain"].dataType.simpleString()
+    runs = ordered.mapInArrow(scan, f"chain {kind}, first_seq long, first_prev string, last_entry string, bad long, n long")
+    # one row per chain and batch of rows
+    before = F.coalesce(F.lag("last_entry").over(Window.partitionBy("chain").orderBy("first_seq")), F.lit(GENESIS))
     bad = F.least(F.when(F.col("first_prev") != before, F.col("first_seq")), F.col("bad"))
-    out = edges.withColumn("bad", bad).agg(F.min("bad").alias("broken_at"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
-    return out.select(F.col("broken_at").isNull().alias("is_ok"), "entries", "broken_at")
+    out = runs.withColumn("bad", bad).groupBy("chain").agg(F.min("bad").alias("broken_at"), F.sum("n").alias("entries"))
+    return out.select("chain", F.col("broken_at").isNull().alias("is_ok"), "entries", "broken_at")
 
 
 def newest(log: DataFrame, limit: int = 50) -> DataFrame:

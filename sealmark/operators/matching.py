@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A gallery up to so many bytes is broadcast whole; a larger one is cut into blocks that meet the probes one by one.
-BROADCAST_BYTES = 256 << 20
-BLOCK = 4096
+from sealmark.scratch import written
+
+#: Bytes of vectors (as floats) in a block of the gallery and of the probes, and rows that are multiplied at once.
+GALLERY_BYTES, PROBE_BYTES = 8 << 20, 32 << 20
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,44 +26,47 @@ def match_score(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot(a, b) + 1) / 2)), 4)).otherwise(0.0)
 
 
+def _blocks(rows: DataFrame, name: str, most_bytes: int, at_least: int) -> tuple[DataFrame, int]:
+    """rows with `name`, the number of a block of about most_bytes of vectors or less, by a hash of the id; and how many there are."""
+    size, n = rows.agg(F.coalesce(F.sum(F.size("embedding") * 4 + 64), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-size // most_bytes), min(at_least, n // BLOCK))
+    return rows.withColumn(name, F.pmod(F.xxhash64(rows.columns[0]), F.lit(blocks)).cast("int")), blocks
+
+
 def identify(probes: DataFrame, gallery: DataFrame, threshold: float = 0.72) -> DataFrame:
     """(probe_id, face_id, score): per probe the best active profile, ties by face_id; face_id null below threshold.
 
     The score is compared with 4 decimals and reported with 2. probes: probe_id, embedding; gallery: face_id,
-    active, embedding. Exact: every probe meets every template, as matrix products of blocks.
+    active, embedding. Exact: every probe meets every template. Both are cut into blocks of bounded size; each pair
+    of blocks is one matrix product in one task, and a probe keeps one row per block. Nothing passes the driver.
     """
-    spark = probes.sparkSession
-    own = gallery.where("active and embedding is not null and size(embedding) > 0").select("face_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    size = own.agg(F.sum(F.size("embedding") * 4 + 64).alias("b")).first().b or 0
-    blocks = max(1, -(-size // BROADCAST_BYTES))
-    best = None
-    for k in range(blocks):  # one pass over the probes per broadcast block
-        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("face_id"), F.lit(blocks)) == k)
-        pdf = part.toPandas().sort_values("face_id")
-        by_dim = {int(d): (g["face_id"].to_numpy(), np.stack(g["embedding"].to_numpy()).astype(np.float64)) for d, g in pdf.groupby(pdf["embedding"].map(len))} if len(pdf) else {}
-        shared = spark.sparkContext.broadcast(by_dim)
-
-        def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                ids, scores = np.full(len(pdf), None, object), np.zeros(len(pdf))
-                sizes = pdf["embedding"].map(lambda v: 0 if v is None else len(v)).to_numpy()
-                for d, (names, matrix) in shared.value.items():
-                    rows = np.flatnonzero(sizes == d)
-                    for at in range(0, len(rows), BLOCK):
-                        mine = rows[at : at + BLOCK]
-                        x = np.stack(pdf["embedding"].to_numpy()[mine]).astype(np.float64)
-                        s = np.round(np.clip((x @ matrix.T + 1) / 2, 0, 1), 4)
-                        j = s.argmax(1)  # the first of equals: names are sorted
-                        top = s[np.arange(len(mine)), j]
-                        ids[mine], scores[mine] = np.where(top > 0, names[j], None), top
-                yield pd.DataFrame({"probe_id": pdf["probe_id"], "face_id": ids, "score4": scores})
-
-        kind = probes.schema["probe_id"].dataType.simpleString()
-        found = probes.select("probe_id", "embedding").mapInPandas(match, f"probe_id {kind}, face_id string, score4 double")
-        best = found if best is None else best.unionByName(found)
-    if blocks > 1:
-        top = F.max_by(F.struct("face_id", "score4"), F.struct("score4", F.col("face_id").isNotNull()))
-        best = best.groupBy("probe_id").agg(top.alias("b")).select("probe_id", "b.*")
+    kind = probes.schema["probe_id"].dataType.simpleString()
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = lambda df, key: df.select(key, F.col("embedding").cast("array<float>").alias("embedding"))
+    own, n_own = _blocks(vectors(gallery.where("active and embedding is not null and size(embedding) > 0"), "face_id"), "own", GALLERY_BYTES, tasks)
+    asked, n_asked = _blocks(vectors(probes, "probe_id"), "asked", PROBE_BYTES, 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("own", every(n_own)).select("asked", "own", "probe_id", "embedding")
+    right = own.withColumn("asked", every(n_asked)).select("asked", "own", "face_id", "embedding")
+
+    def match(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        ids, scores = np.full(len(mine), None, object), np.zeros(len(mine))
+        theirs = theirs.sort_values("face_id")
+        sizes = mine["embedding"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+        for d, group in theirs.groupby(theirs["embedding"].map(len)):
+            names, matrix = group["face_id"].to_numpy(), np.stack(group["embedding"].to_numpy()).astype(np.float64)
+            rows = np.flatnonzero(sizes == d)
+            for at in range(0, len(rows), BLOCK):
+                part = rows[at : at + BLOCK]
+                s = np.round(np.clip((np.stack(mine["embedding"].to_numpy()[part]).astype(np.float64) @ matrix.T + 1) / 2, 0, 1), 4)
+                j = s.argmax(1)  # the first of equals: names are sorted
+                top = s[np.arange(len(part)), j]
+                ids[part], scores[part] = np.where(top > 0, names[j], None), top
+        return pd.DataFrame({"probe_id": mine["probe_id"], "face_id": ids, "score4": scores})
+
+    found = left.groupBy("asked", "own").cogroup(right.groupBy("asked", "own")).applyInPandas(match, f"probe_id {kind}, face_id string, score4 double")
+    top = F.max("score4")
+    best = found.groupBy("probe_id").agg(top.alias("score4"), F.min_by("face_id", F.struct(-F.col("score4"), F.col("face_id").isNull(), "face_id")).alias("face_id"))
     hit = (F.col("score4") >= threshold) & F.col("face_id").isNotNull()
     return best.select("probe_id", F.when(hit, F.col("face_id")).alias("face_id"), F.round("score4", 2).alias("score"))
 
@@ -112,15 +116,24 @@ def genuine_pairs(references: DataFrame, selfies: DataFrame) -> DataFrame:
     return r.join(s, "identity").select(F.lit("genuine").alias("pair"), "ref_id", "selfie_id", match_score(F.col("ref_vector"), F.col("selfie_vector")).alias("score"))
 
 
+def _numbered(rows: DataFrame, *order) -> DataFrame:
+    """rows with `place`, from 0 in order: counted inside range partitions, whose offsets are a row each."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    inside = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    inside = written(inside, "ordered").withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = inside.groupBy("part").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return inside.join(F.broadcast(offsets), "part").select(*rows.columns, (F.col("before") + F.col("nth")).alias("place"))
+
+
 def impostor_pairs(references: DataFrame, selfies: DataFrame, most: int = 8) -> DataFrame:
     """Scores of each reference with at most `most` selfies of other identities, whole identities first.
 
     Identities stand in a circle by the hash of their names; a reference meets the `most` that follow it, one or more
     selfies each, so no pairs beyond most * identities are made. Repeatable.
     """
-    ring = references.select("identity").distinct()
-    order = Window.orderBy(F.md5(F.col("identity").cast("string")), "identity")
-    ring = ring.withColumn("place", F.row_number().over(order) - 1)
+    ring = _numbered(references.select("identity").distinct(), F.md5(F.col("identity").cast("string")), "identity")
     n = ring.agg(F.count("*").alias("n"))
     steps = ring.crossJoin(F.broadcast(n)).select("identity", "n", "place", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("j")).where("j < n")
     meets = steps.withColumn("other_place", (F.col("place") + F.col("j")) % F.col("n"))

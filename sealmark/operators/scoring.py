@@ -106,6 +106,29 @@ def adapter_scores(metrics: DataFrame) -> DataFrame:
     })
 
 
+def portrait_scores(regions: DataFrame) -> DataFrame:
+    """regions with portrait_model and portrait_confidence: how far a passport's photo differs from its body.
+
+    Columns: photo and body (structs of contrast, noise, saturation, dark_ratio, and skin_ratio of the photo),
+    document_type, mrz_valid, pixels. Other documents score 0 with no confidence. Numbers are fixed values.
+    """
+    p, b = (lambda k: _c(f"photo.{k}")), (lambda k: _c(f"body.{k}"))
+    contrast, noise = p("contrast") / F.greatest(b("contrast"), F.lit(1.0)), p("noise") / F.greatest(b("noise"), F.lit(0.1))
+    gap = F.abs(p("saturation") - b("saturation"))
+    texture = F.when((p("contrast") > 42) & (b("contrast") < 38), 1.0).otherwise(0.0)
+    unlike = (
+        clamp((contrast - 1.55) / 1.2) * 0.4 + clamp(F.abs(noise - 1.0) / 0.85) * 0.2 + clamp(gap / 75) * 0.14
+        + clamp((p("dark_ratio") - b("dark_ratio") - 0.04) / 0.14) * 0.14 + texture * 0.12
+    )
+    score = clamp(clamp((p("skin_ratio") - 0.16) / 0.26) * unlike)
+    calm = _c("mrz_valid") & (gap < 22) & noise.between(0.45, 0.9)
+    passport = F.coalesce(_c("document_type") == "passport", F.lit(False))
+    return regions.withColumns({
+        "portrait_model": F.when(~passport, 0.0).when(F.coalesce(calm, F.lit(False)), F.least(score, F.lit(0.32))).otherwise(score),
+        "portrait_confidence": F.when(passport, clamp(F.least(_c("pixels") / 3_200_000, F.lit(0.28)) + 0.62)).otherwise(0.0),
+    })
+
+
 def document_risk(docs: DataFrame) -> DataFrame:
     """docs (scores, `signals` and ensemble columns) with status and the rounded fraud_risk_score."""
     pressure = sg.total(_c("signals"), lambda s: F.when(s["severity"] == "high", sg.WEIGHTS["high"]).when(s["severity"] == "medium", sg.WEIGHTS["medium"]).otherwise(sg.WEIGHTS["low"]) * s["score"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +108,10 @@ def interleaved(rows: DataFrame, group: str, order: list) -> DataFrame:
 
 
 def resumed(items: DataFrame, done: DataFrame, key: str, wanted: Column, target: int, order: list) -> DataFrame:
-    """Items to do next: not done ones in order until `target` is produced, the last one cut to what is missing."""
+    """Items to do next: not done ones that want something, in order until `target` is produced, the last one cut to
+    what is missing. Each produces one at least, so the first `target` of them are enough to look at."""
     left = items.join(done.select(key).distinct(), key, "left_anti").withColumn("wanted", wanted)
+    left = left.where("wanted > 0").orderBy(*order).limit(max(0, target))
     before = F.coalesce(F.sum("wanted").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return left.withColumn("before", before).where(F.col("before") < target).withColumn("take", F.least(F.col("wanted"), F.lit(target) - F.col("before"))).drop("before")
 
@@ -125,11 +130,9 @@ def enrol(stored: DataFrame, batch: DataFrame) -> DataFrame:
     has_template. Enrolments that don't pass or lack a template are ignored. A passport that is active under
     another user is a conflict and writes nothing; else the row of the same user, passport or session is updated
     and keeps its face_id. Rows (stored or new) that share a user, a passport or a session with each other form
-    components; each is folded alone, so groups stay small and independent ones run in parallel.
+    components; a component's rows stream through one task in order, which holds its live rows alone.
     Returns face_id, user_id, passport_number, session_id, active, outcome (stored, enrolled, updated, conflict).
     """
-    import pandas as pd
-
     cols = ["user_id", "passport_number", "session_id"]
     new = batch.where("decision = 'passed' and has_template")
     rows = stored.select(F.lit(-1).cast("long").alias("seq"), "face_id", *cols, "active").unionByName(
@@ -141,22 +144,67 @@ def enrol(stored: DataFrame, batch: DataFrame) -> DataFrame:
     links = keys.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     rows = rows.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        table: list[dict] = []
-        conflicts: list[dict] = []
-        for r in pdf.sort_values(["seq", "face_id"]).to_dict("records"):
-            if r["seq"] < 0:
-                table.append(r | {"outcome": "stored"})
-                continue
-            if any(t["active"] and t["passport_number"] is not None and t["passport_number"] == r["passport_number"] and t["user_id"] != r["user_id"] for t in table):
-                conflicts.append(r | {"outcome": "conflict"})
-                continue
-            same = next((t for c in cols for t in table if t[c] is not None and t[c] == r[c]), None)
-            face, outcome = (same["face_id"], "updated") if same else (r["face_id"], "enrolled")
-            clash = lambda t: any(t[c] is not None and t[c] == r[c] for c in cols[:2])
-            table = [t for t in table if t is not same and not clash(t)]
-            table.append(r | {"face_id": face, "outcome": outcome})
-        out = pd.DataFrame(table + conflicts)
-        return out[["face_id", *cols, "active", "outcome"]]
-
-    return rows.drop("node").groupBy("component").applyInPandas(fold, "face_id string, user_id string, passport_number string, session_id string, active boolean, outcome string")
+    schema = "face_id string, user_id string, passport_number string, session_id string, active boolean, outcome string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = None, _Profiles()
+        for batch in batches:
+            done: list[tuple] = []
+            for component, seq, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if component != now:
+                    done += table.rows()
+                    now, table = component, _Profiles()
+                conflict = table.take(seq < 0, *row)
+                if conflict:
+                    done.append(conflict)
+            yield _profile_batch(done)
+        yield _profile_batch(table.rows())
+
+    ordered = rows.select("component", "seq", "face_id", *cols, "active").repartition("component").sortWithinPartitions("component", "seq", "face_id")
+    return ordered.mapInArrow(fold, schema)
+
+
+def _profile_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 4 + [pa.bool_(), pa.string()]
+    columns = list(zip(*rows)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["face_id", "user_id", "passport_number", "session_id", "active", "outcome"])
+
+
+class _Profiles:
+    """The live rows of a component, found by user, passport or session. A row: face_id, user, passport, session, active, outcome."""
+
+    def __init__(self):
+        self.live: dict[int, tuple] = {}
+        self.by = ({}, {}, {})
+        self.n = 0
+
+    def rows(self) -> list[tuple]:
+        return list(self.live.values())
+
+    def _holders(self, k: int, value) -> list[int]:
+        return [] if value is None else list(self.by[k].get(value, ()))
+
+    def _drop(self, nr: int) -> None:
+        row = self.live.pop(nr)
+        for k in range(3):
+            if row[k + 1] is not None:
+                self.by[k][row[k + 1]].pop(nr)
+
+    def take(self, stored: bool, face, user, passport, session, active) -> tuple | None:
+        """Add a stored row or enrol a new one; a conflict is given back."""
+        values, outcome = (user, passport, session), "stored"
+        if not stored:
+            if any(self.live[i][4] and self.live[i][1] != user for i in self._holders(1, passport)):
+                return face, *values, True, "conflict"
+            same = next((min(found) for k, v in enumerate(values) if (found := self._holders(k, v))), None)
+            outcome = "enrolled"
+            if same is not None:
+                face, outcome = self.live[same][0], "updated"
+            for i in {*self._holders(0, user), *self._holders(1, passport), *([] if same is None else [same])}:
+                self._drop(i)
+        self.live[self.n] = (face, *values, active, outcome)
+        for k, v in enumerate(values):
+            if v is not None:
+                self.by[k].setdefault(v, {})[self.n] = True
+        self.n += 1
+        return None

@@ -64,15 +64,15 @@ def d6_active_liveness(spark, sf):
     return out.select("session_id", F.col("best.idx").alias("idx"), sg.codes(F.col("signals")).alias("codes"), F.round("top_risk", 6).alias("top_risk"), F.round("mean_risk", 6).alias("mean_risk"), "passed")
 
 
-def _retries(spark, sf):
-    s = bind(spark, sf, "steps")
+def retries(s):
+    """Liveness attempts from steps."""
     k = F.col("k")
     clean = F.when(k % 3 == 0, 0.1).when(k % 3 == 1, 0.5)
     return s.select(F.col("user_id").alias("session_id"), "seq", (k % 4 != 0).alias("passed"), (k % 9 == 0).alias("replay"), F.when(k % 5 == 0, 1).otherwise(0).alias("other_signals"), *(clean.alias(c) for c in ("frame", "display", "paper", "heuristic")))
 
 
 def d7_replay_lock(spark, sf):
-    return bursts.replay_locked(_retries(spark, sf))
+    return bursts.replay_locked(retries(bind(spark, sf, "steps")))
 
 
 def d8_challenge_rollup(spark, sf):

@@ -1,4 +1,4 @@
-"""Streaming forms: attempts, session expiry, the limiter, one-time codes, the replay lock.
+"""Streaming forms: attempts, session expiry, the limiters, one-time codes, the replay lock.
 
 Each keyed fold keeps the state that its batch form holds in a loop, per key, in a RocksDB state store. Rows of a
 micro-batch are folded in time order within their key. With ttl_seconds an idle key is forgotten after that time, by
@@ -66,6 +66,28 @@ def limit_stream(calls: DataFrame, window_seconds: float, most: int, key: str =
     return _folded(rows, "key", "key string, call_id long, admitted boolean", "log array<long>", ["us", "call_id"], ([],), step, ttl_seconds)
 
 
+def two_level_stream(calls: DataFrame, window_seconds: float, most_global: int, most_client: int, client: str = "client_ip", ts: str = "ts", call_id: str = "call_id", ttl_seconds: float | None = None) -> DataFrame:
+    """Streaming two-level limiter: (call_id, outcome), GLOBAL or CLIENT limited, or OK.
+
+    All calls count against one number, so they pass one key; its state holds the at most most_global calls that took
+    a global slot within the window, each with its client and whether that let it through.
+    """
+    rows = calls.select(F.lit("all").alias("key"), F.coalesce(F.col(client).cast("string"), F.lit("")).alias("client"), F.col(call_id).alias("call_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    window = int(window_seconds * 1e6)
+
+    def step(state, row):
+        log = [x for x in zip(*(part or [] for part in state)) if x[0] >= row.us - window]
+        outcome = "GLOBAL"
+        if len(log) < most_global:
+            free = sum(own == row.client and ok for _, own, ok in log) < most_client
+            log.append((int(row.us), row.client, free))
+            outcome = "OK" if free else "CLIENT"
+        return tuple([x[k] for x in log] for k in range(3)), (row.call_id, outcome)
+
+    out = _folded(rows, "key", "key string, call_id long, outcome string", "times array<long>, clients array<string>, passed array<boolean>", ["us", "call_id"], ([], [], []), step, ttl_seconds)
+    return out.select("call_id", "outcome")
+
+
 def code_stream(events: DataFrame, ttl_seconds: float, most_attempts: int, key: str = "session_id", state_ttl_seconds: float | None = None) -> DataFrame:
     """Streaming one-time codes: (session_id, seq, outcome) of confirm events."""
     rows = events.select(F.col(key).cast("string").alias("session_id"), "seq", "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.sha2(F.concat_ws(":", F.col(key), F.col("code")), 256).alias("code_hash"))
@@ -110,11 +132,55 @@ def attempt_stream(steps: DataFrame) -> DataFrame:
     return attempt_upsert(steps)
 
 
-def session_expiry_stream(steps: DataFrame, idle: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
-    """(session_id, started_at, ended_at, n_steps) once a session was idle for so long; steps later than `lateness` are dropped."""
-    rows = steps.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    out = rows.groupBy("session_id", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("n_steps"))
-    return out.select("session_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n_steps")
+class _Expiry(StatefulProcessor):
+    """Open session of a key: first and last time and number of steps. It closes by a later step, or by a timer."""
+
+    def __init__(self, idle: int, absolute: int):
+        self.idle, self.absolute = idle, absolute
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "first long, last long, n long")
+
+    def _closed(self, key: Any, first: int, last: int, n: int) -> tuple:
+        return key[0], first, min(last + self.idle, first + self.absolute), n
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now, out = tuple(self.state.get()) if self.state.exists() else None, []
+        for us in sorted(int(x) for part in rows for x in part["us"]):
+            if now is not None and (us - now[1] > self.idle or us - now[0] > self.absolute):
+                out.append(self._closed(key, *now))
+                now = None
+            now = (us, us, 1) if now is None else (now[0], us, now[2] + 1)
+        self.state.update(now)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(min(now[1] + self.idle, now[0] + self.absolute) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["session_id", "first", "end", "n_steps"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            out.append(self._closed(key, *self.state.get()))
+            self.state.clear()
+        yield pd.DataFrame(out, columns=["session_id", "first", "end", "n_steps"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_expiry_stream(steps: DataFrame, idle_seconds: float = 1800, absolute_seconds: float = 7200, lateness: str = "10 minutes") -> DataFrame:
+    """(session_id, started_at, ended_at, n_steps) once a session was idle, or open, for longer than allowed.
+
+    A session kept busy beyond its absolute age ends too; the next step starts another. Steps later than `lateness`
+    are dropped. Times are of event time.
+    """
+    rows = steps.select(F.col("session_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = rows.withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness)
+    processor = _Expiry(int(idle_seconds * 1e6), int(absolute_seconds * 1e6))
+    out = rows.groupBy("session_id").transformWithStateInPandas(processor, outputStructType="session_id string, first long, end long, n_steps long", outputMode="Append", timeMode="EventTime")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return out.select("session_id", at("first").alias("started_at"), at("end").alias("ended_at"), "n_steps")
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -129,3 +195,12 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.parquet(path)
+
+
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what the source holds now; path holds the whole result after every micro-batch."""
+    write = lambda rows, nr: rows.write.mode("overwrite").parquet(f"{path}/{nr % 2}")  # noqa: E731 (the one before stays readable)
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    return stream.sparkSession.read.parquet(f"{path}/{last % 2}")
