@@ -128,7 +128,48 @@ T = """, th AS (SELECT session_id, idx, [CAST(100 + (event_id * (i + 3)) % (CASE
  tc AS (SELECT session_id, count(*) AS readable, coalesce(avg(list_sum([abs(t[i] - p[i]) for i in range(1, 9)]) / 8) FILTER (p IS NOT NULL), 0) AS mean_delta, stddev_pop(grey) AS grey_spread FROM dl GROUP BY session_id),
  tt AS (SELECT *, readable >= 4 AND mean_delta < 0.55::DOUBLE AND grey_spread < 0.28::DOUBLE AS is_static FROM tc)
 """
+
+
+def login_sql(frames: str, key: str) -> str:
+    """CTE `login` (session, reasons as a list, frame_idx, free) of the bursts in `frames`."""
+    return f"""lf AS (SELECT *, {key} AS session, screen_frame >= 0.62::DOUBLE OR held_phone >= 0.52::DOUBLE OR display_surface >= 0.58::DOUBLE OR paper_photo >= 0.56::DOUBLE OR risk >= 0.88::DOUBLE AS hard FROM {frames}),
+ lc AS (SELECT *, has_face AND face_confidence >= 0.82::DOUBLE AND face_count <= 1 AND NOT hard AND CASE WHEN heuristic_risk = 0 THEN risk ELSE heuristic_risk END < 0.62::DOUBLE AS good FROM lf),
+ la AS (SELECT session, arg_max(idx, (face_confidence, -idx)) AS best, max(face_confidence) AS conf, count(*) FILTER (has_face) AS usable, max(face_count) AS faces, count(*) AS n, count(*) FILTER (hard) AS n_hard,
+  arg_max(idx, (risk, -idx)) AS worst, arg_min(idx, (risk, -face_confidence, idx)) FILTER (good) AS live, arg_min(idx, (risk, -face_confidence, idx)) AS calm FROM lc GROUP BY session),
+ lb AS (SELECT *, list_filter([CASE WHEN usable = 0 THEN 'FACE_LOGIN_FACE_NOT_FOUND' END, CASE WHEN conf <> 0 AND conf < 0.82::DOUBLE THEN 'FACE_LOGIN_FACE_CONFIDENCE_LOW' END, CASE WHEN faces > 1 THEN 'FACE_LOGIN_MULTIPLE_FACES' END], lambda x: x IS NOT NULL) AS basic,
+  n_hard * 2 > n AS replay FROM la),
+ li AS (SELECT *, CASE WHEN len(basic) > 0 THEN best WHEN replay THEN worst WHEN live IS NOT NULL THEN live ELSE calm END AS frame_idx FROM lb),
+ login AS (SELECT li.session, li.frame_idx, lc.event_id, CASE WHEN len(basic) > 0 THEN basic ELSE list_filter([CASE WHEN replay OR live IS NULL THEN 'FACE_LOGIN_LIVENESS_FAILED' END, CASE WHEN risk >= 0.62::DOUBLE THEN 'PASSIVE_SPOOF_RISK_HIGH' END,
+  CASE WHEN screen_frame >= 0.62::DOUBLE THEN 'SELFIE_PHONE_SCREEN_FRAME' END, CASE WHEN held_phone >= 0.52::DOUBLE THEN 'SELFIE_HELD_PHONE_SCREEN' END, CASE WHEN display_surface >= 0.58::DOUBLE THEN 'SELFIE_TABLET_SCREEN_SURFACE' END,
+  CASE WHEN paper_photo >= 0.56::DOUBLE THEN 'SELFIE_PRINTED_PHOTO_PAPER' END, CASE WHEN model_risk >= 0.72::DOUBLE THEN 'PAD_MODEL_SPOOF_HIGH' END], lambda x: x IS NOT NULL) END AS reasons FROM li JOIN lc ON lc.session = li.session AND lc.idx = li.frame_idx)"""
+
+
+def _points(x: str, y: str, which) -> str:
+    """Columns x0, y0 .. of the landmarks that a query looks at; texts with {i} give a point's numbers modulo 101 and 97."""
+    return ", ".join(f"CAST(({x.format(i=i)}) % 101 AS DOUBLE) / 100 AS x{i}, CAST(({y.format(i=i)}) % 97 AS DOUBLE) / 100 AS y{i}" for i in which)
+
+
+def _apart(a: int, b: int) -> str:
+    return f"sqrt((x{a} - x{b}) * (x{a} - x{b}) + (y{a} - y{b}) * (y{a} - y{b}))"
+
+
+_PALM = f"greatest({_apart(5, 17)}, 0.001::DOUBLE)"
+_UP = ", ".join(f"y{tip} < y{mid} - 0.02::DOUBLE AS {n}" for n, tip, mid in (("f1", 8, 6), ("f2", 12, 10), ("f3", 16, 14), ("f4", 20, 18)))
+_NEAR = " AND ".join(f"{_apart(k, 4)} < {_PALM} * 0.55::DOUBLE" for k in (8, 12, 16, 20))
+GESTURES = f"""WITH p AS (SELECT event_id, {_points("event_id * ({i} * 7 + 3)", "event_id * ({i} * 5 + 11)", range(21))} FROM events), f AS (SELECT *, {_apart(4, 9)} > {_apart(5, 17)} * 0.72::DOUBLE AS f0, {_UP} FROM p),
+ n AS (SELECT *, f0::INT + f1::INT + f2::INT + f3::INT + f4::INT AS n, concat(f0::INT, f1::INT, f2::INT, f3::INT, f4::INT) AS m FROM f),
+ g AS (SELECT *, CASE WHEN n >= 2 AND {_NEAR} THEN 'pinched_fingers' WHEN {_apart(4, 8)} < {_PALM} * 0.38::DOUBLE THEN 'ok' WHEN substr(m, 2) = '1100' AND {_apart(8, 12)} < {_PALM} * 0.3::DOUBLE THEN 'crossed_fingers' WHEN m = '11000' THEN 'l_shape'
+  WHEN m = '10000' AND y4 < y0 - 0.03::DOUBLE THEN 'thumb_up' WHEN m = '10000' AND y4 > y0 + 0.05::DOUBLE THEN 'thumb_down' WHEN m = '11001' THEN 'i_love_you' WHEN m = '10001' THEN 'call_me' WHEN m = '01001' THEN 'rock_on' WHEN n > 0 THEN n::VARCHAR ELSE 'fist' END AS g,
+  {list(CHALLENGES)}[event_id % {len(CHALLENGES)} + 1] AS c FROM n)
+"""
+_EYE = "{} / greatest({}, 0.001::DOUBLE)"
 SQL = {
+    "d9_login_burst": oracle(USERS.format(3) + ", " + login_sql("b", "session_id") + " SELECT session AS session_id, array_to_string(reasons, '|') AS reasons, frame_idx FROM login", "frames"),
+    "d10_gestures": GESTURES + """SELECT event_id, n AS finger_count, g AS gesture, CASE c WHEN 'one' THEN n = 1 WHEN 'peace' THEN n = 2 WHEN 'three' THEN n = 3 WHEN 'four' THEN n = 4 WHEN 'stop' THEN n >= 4 WHEN 'fist' THEN n = 0 OR g = 'fist' WHEN 'ok' THEN g = 'ok'
+ WHEN 'thumb_up' THEN g = c OR (f0 AND n <= 1) WHEN 'rock_on' THEN g IN ('rock_on', 'i_love_you') OR (f1 AND f4) WHEN 'call_me' THEN g = 'call_me' OR (f0 AND f4) WHEN 'l_shape' THEN g = 'l_shape' OR (f0 AND f1 AND NOT f2 AND NOT f3 AND NOT f4) ELSE g = c END AS matches FROM g""",
+    "d11_face_actions": f"""WITH p AS (SELECT event_id, {_points("event_id * ({i} % 13 + 3) + {i}", "event_id * ({i} % 11 + 5) + {i}", (1, 13, 14, 33, 61, 133, 145, 159, 234, 263, 291, 362, 374, 386, 454))} FROM events),
+ m AS (SELECT event_id, ({_EYE.format(_apart(159, 145), _apart(33, 133))} + {_EYE.format(_apart(386, 374), _apart(362, 263))}) / 2 AS e, {_EYE.format(_apart(13, 14), _apart(61, 291))} AS o, (x1 - (x234 + x454) / 2) / greatest({_apart(234, 454)}, 0.001::DOUBLE) AS w FROM p)
+ SELECT event_id, round(e, 6) AS eye_ratio, round(o, 6) AS mouth_ratio, round(w, 6) AS yaw, e < 0.18::DOUBLE AS blink, o > 0.23::DOUBLE AS mouth_open, w < -0.05::DOUBLE AS turn_left, w > 0.05::DOUBLE AS turn_right FROM m""",
     "d1_frame_cap": oracle("SELECT session_id, idx, event_id FROM frames WHERE idx < 3", "frames"),
     "d2_representative_frame": oracle(V + "SELECT session_id, best AS idx, round(best_quality, 4) AS quality, round(best_risk, 4) AS risk FROM v", "frames"),
     "d3_burst_votes": oracle(V + "SELECT session_id, n, display_like, held, small_faces, voters, model_high, model_very, round(display_ratio, 6) AS display_ratio, round(held_ratio, 6) AS held_ratio, round(top_model, 6) AS top_model, model_recurring, too_bright FROM v", "frames"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sealmark.functions.scalars import mask_document_number, name_tokens
 from sealmark.operators import bursts, matching, metrics
 from sealmark.plans.bindings import bind, oracle, table
+from sealmark.plans.burst_queries import login_sql
 
 
 def _people(spark, sf):
@@ -118,10 +119,13 @@ def g16_genuine_rates(spark, sf):
 
 
 def _readings(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 44).alias("line"), "lang", "source", "n_chars")
-    return d.select(
-        "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("line")).alias("name"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("number"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("nationality"),
-        F.when(F.col("doc_id") % 4 == 0, F.substring("line", 1, 30)).otherwise(F.col("line")).alias("read_name"), F.when(F.col("doc_id") % 6 == 0, F.lit(None)).otherwise(F.upper("source")).alias("read_number"), F.when(F.col("doc_id") % 8 == 0, "xx").otherwise(F.col("lang")).alias("read_nationality"),
+    """Parts as labelled documents and readings of them: names lose a word or change their order, other fields are missing."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    name = F.col("p_name")
+    return p.select(
+        k.alias("doc_id"), F.when(k % 5 != 0, name).alias("name"), F.when(k % 7 != 0, F.col("p_brand")).alias("number"), F.when(k % 3 != 0, F.col("p_type")).alias("nationality"),
+        F.when(k % 4 == 0, F.regexp_replace(name, r" \S+$", "")).when(k % 4 == 1, F.concat_ws("<", F.reverse(F.split(name, " ")))).otherwise(name).alias("read_name"),
+        F.when(k % 6 == 0, F.lit(None)).otherwise(F.upper("p_brand")).alias("read_number"), F.when(k % 8 == 0, "xx").otherwise(F.col("p_type")).alias("read_nationality"),
     )
 
 
@@ -174,13 +178,18 @@ PRED = """WITH p AS (SELECT doc_id, source AS folder, CASE WHEN quality = 0 THEN
 _CONF = """c AS (SELECT count(*) AS n, count(*) FILTER (expected = '{0}' AND predicted = '{0}') AS tp, count(*) FILTER (expected <> '{0}' AND predicted = '{0}') AS fp, count(*) FILTER (expected = '{0}' AND predicted <> '{0}') AS fn, count(*) FILTER (expected <> '{0}' AND predicted <> '{0}') AS tn FROM p)
  SELECT n, tp, fp, fn, tn, round((tp + tn) / greatest(n, 1), 6) AS accuracy, round(fp / greatest(fp + tn, 1), 6) AS false_reject, round(fn / greatest(fn + tp, 1), 6) AS false_accept, round(tp / greatest(tp + fp, 1), 6) AS precision_share, round(tp / greatest(tp + fn, 1), 6) AS recall_share FROM c"""
 _TOK = "list_sort(list_distinct(list_filter(regexp_split_to_array(replace(regexp_replace(upper({0}), '[^A-Z<\\s]', '', 'g'), '<', ' '), '\\s+'), lambda x: x <> '')))"
-READ = """WITH d AS (SELECT doc_id, substr(text, 1, 44) AS line, lang, source FROM documents), r AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN line END AS name, CASE WHEN doc_id % 7 <> 0 THEN source END AS number, CASE WHEN doc_id % 3 <> 0 THEN lang END AS nationality,
- CASE WHEN doc_id % 4 = 0 THEN substr(line, 1, 30) ELSE line END AS read_name, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE upper(source) END AS read_number, CASE WHEN doc_id % 8 = 0 THEN 'xx' ELSE lang END AS read_nationality FROM d)
+READ = """WITH r AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS number, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS nationality,
+ CASE p_partkey % 4 WHEN 0 THEN regexp_replace(p_name, ' \\S+$', '') WHEN 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), '<') ELSE p_name END AS read_name,
+ CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE upper(p_brand) END AS read_number, CASE WHEN p_partkey % 8 = 0 THEN 'xx' ELSE p_type END AS read_nationality FROM part)
 """
 
 SQL = {
     "g1_match_scores": PEOPLE + "SELECT ref_id, selfie_id, score FROM gen",
     "g2_identify": oracle(f"--with s AS (SELECT p.vec_id AS probe_id, g.face_id, {_SCORE.format('p.embedding', 'g.embedding')} AS score FROM embedded p, embedded g WHERE p.is_probe AND NOT g.is_probe AND g.active), b AS (SELECT probe_id, max(score) AS top FROM s GROUP BY probe_id) SELECT b.probe_id, CASE WHEN top >= 0.6::DOUBLE THEN min(face_id) END AS face_id, round(top, 2) AS score FROM b JOIN s ON s.probe_id = b.probe_id AND s.score = b.top GROUP BY b.probe_id, top", "embedded"),
+    "g3_face_login": oracle("--with " + login_sql("frames", "session_id") + f""", s AS (SELECT p.vec_id AS probe_id, g.face_id, {_SCORE.format('p.embedding', 'g.embedding')} AS score FROM embedded p, embedded g WHERE p.is_probe AND NOT g.is_probe AND g.active),
+ t AS (SELECT probe_id, max(score) AS top FROM s GROUP BY probe_id), i AS (SELECT t.probe_id, CASE WHEN top >= 0.6::DOUBLE THEN min(face_id) END AS face FROM t JOIN s ON s.probe_id = t.probe_id AND s.score = t.top GROUP BY t.probe_id, top)
+ SELECT session AS session_id, CASE WHEN len(reasons) = 0 AND face IS NOT NULL THEN 'passed' ELSE 'rejected' END AS decision, CASE WHEN len(reasons) = 0 AND face IS NULL THEN 'FACE_LOGIN_NO_MATCH' ELSE array_to_string(reasons, '|') END AS reasons,
+ CASE WHEN len(reasons) = 0 THEN substr(face, 1, 2) || repeat('•', length(face) - 4) || right(face, 2) END AS face FROM login LEFT JOIN i ON i.probe_id = event_id % 50 * 10""", "frames", "embedded"),
     "g4_template_protection": PEOPLE + f"SELECT selfie_id AS vec_id, round({_DOT.format('sv', 'rv')}, 5) AS product FROM selfies JOIN refs USING (identity)",
     "g5_reference_split": """WITH f AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS identity, url || '#' || page_id AS name FROM pages) SELECT identity, name, CASE WHEN count(*) OVER (PARTITION BY identity) < 2 THEN 'skipped' WHEN row_number() OVER (PARTITION BY identity ORDER BY regexp_matches(lower(name), 'page=2|fr/') DESC, name) = 1 THEN 'reference' ELSE 'selfie' END AS role FROM f""",
     "g6_genuine_pairs": PEOPLE + "SELECT pair, count(*) AS n, round(avg(score), 4) AS mean_score FROM gen GROUP BY pair",
@@ -197,6 +206,8 @@ SQL = {
     "g17_field_accuracy": READ + f""", o AS (SELECT *, {_TOK.format('name')} = {_TOK.format('read_name')} AS a, upper(number) = read_number AS b, nationality = read_nationality AS c FROM r),
  l AS (SELECT 'name' AS field, count(name) AS considered, count(*) FILTER (name IS NOT NULL AND coalesce(a, false)) AS correct FROM o UNION ALL SELECT 'number', count(number), count(*) FILTER (number IS NOT NULL AND coalesce(b, false)) FROM o UNION ALL SELECT 'nationality', count(nationality), count(*) FILTER (nationality IS NOT NULL AND coalesce(c, false)) FROM o)
  SELECT field, considered, correct, round(correct / greatest(considered, 1), 6) AS share FROM l""",
+    "g18_char_accuracy": """WITH r AS (SELECT p_partkey AS doc_id, coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_name END, '') AS a, coalesce(CASE WHEN p_partkey % 4 = 0 THEN translate(p_name, 'oil', '011') ELSE p_name END, '') AS b FROM part)
+ SELECT doc_id, a = b AS is_exact, round(CASE WHEN a = '' AND b = '' THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS accuracy FROM r""",
     "g19_negative_control": "SELECT count(*) AS n, round(avg(CASE WHEN regexp_matches(upper(text), 'P<[A-Z]{3}') THEN 0 ELSE 1.0 END), 6) AS clean_share FROM documents WHERE lang <> 'en'",
     "g20_seeded_sample": "SELECT doc_id, source FROM documents ORDER BY md5('seed:' || doc_id), doc_id LIMIT 100",
 }

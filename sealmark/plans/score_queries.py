@@ -59,6 +59,17 @@ def c6_model_adapters(spark, sf):
     return scoring.adapter_scores(_scored(spark, sf)).select("doc_id", F.round("liveness_model", 6).alias("liveness"), F.round("tamper_model", 6).alias("tamper"))
 
 
+def c6_portrait(spark, sf):
+    """Region measures from arithmetic on the order's key."""
+    k = F.col("o_orderkey")
+    region = lambda a, top, *more: F.struct((k * a % 80).cast("double").alias("contrast"), (k * (a + 4) % 61 / 10.0).alias("noise"), (k * (a + 10) % 160).cast("double").alias("saturation"), (k * (a + 16) % 50 / 100.0).alias("dark_ratio"), *more)
+    rows = table(spark, sf, "orders").select(
+        k.alias("doc_id"), region(7, 80, (k * 31 % 70 / 100.0).alias("skin_ratio")).alias("photo"), region(13, 60).alias("body"),
+        F.when(k % 6 == 0, "id_card").otherwise("passport").alias("document_type"), (k % 3 == 0).alias("mrz_valid"), (k * 7919 % 1200000).alias("pixels"),
+    )
+    return scoring.portrait_scores(rows).select("doc_id", F.round("portrait_model", 6).alias("score"), F.round("portrait_confidence", 10).alias("confidence"))
+
+
 def _risk(spark, sf):
     models = scoring.document_ensemble(bind(spark, sf, "findings")).select("doc_id", "fraud", F.col("recapture").alias("model_recapture"), F.col("tamper").alias("model_tamper"), "confidence")
     docs = _scored(spark, sf).join(models, "doc_id").join(_packed(spark, sf), "doc_id")
@@ -130,7 +141,7 @@ def c13_top_signals(spark, sf):
     return scoring.top_signals(_packed(spark, sf), "signals", 10)
 
 
-QUERIES = [b10_clamp_scores, b16_signal_dedupe, b17_keyword_hits, c1_document_quality, c2_document_likeness, c3_forensic_risk, c4_model_ensemble, c5_model_signals, c6_model_adapters, c7_document_risk,
+QUERIES = [b10_clamp_scores, b16_signal_dedupe, b17_keyword_hits, c1_document_quality, c2_document_likeness, c3_forensic_risk, c4_model_ensemble, c5_model_signals, c6_model_adapters, c6_portrait, c7_document_risk,
            c8_face_required, c9_pad_frames, c10_pad_models, c10_softmax, c11_selfie_frames, c12_decision, c13_top_signals]
 
 
@@ -208,6 +219,12 @@ SQL = {
     "c4_model_ensemble": oracle("--with " + ENSEMBLE + "SELECT doc_id, round(recapture, 6) AS recapture, round(tamper, 6) AS tamper, round(fraud, 6) AS fraud, round(confidence, 6) AS confidence FROM ens", "findings"),
     "c5_model_signals": oracle("--with " + ENSEMBLE + f"SELECT doc_id, {M_CODES} AS codes FROM ens", "findings"),
     "c6_model_adapters": oracle(SCORED + f"SELECT doc_id, round({_clamp('blockiness * 0.34::DOUBLE + border_score * 0.28::DOUBLE + glare_ratio * 1.1::DOUBLE * 0.18::DOUBLE + saturation * 0.9::DOUBLE * 0.1::DOUBLE + ' + _clamp('(26 - contrast) / 26') + ' * 0.06::DOUBLE + ' + _clamp('(0.55::DOUBLE - likeness) / 0.55::DOUBLE') + ' * 0.04::DOUBLE')}, 6) AS liveness, round({_clamp('ela_score * 0.55::DOUBLE + blockiness * 0.24::DOUBLE + saturation * 0.11::DOUBLE + ' + _clamp('(0.55::DOUBLE - least(likeness, quality)) / 0.55::DOUBLE') + ' * 0.1::DOUBLE')}, 6) AS tamper FROM sc", "metrics"),
+    "c6_portrait": f"""WITH m AS (SELECT o_orderkey AS doc_id, o_orderkey * 7 % 80 AS pc, o_orderkey * 11 % 61 / 10.0::DOUBLE AS pn, o_orderkey * 17 % 160 AS ps, o_orderkey * 23 % 50 / 100.0::DOUBLE AS pd, o_orderkey * 31 % 70 / 100.0::DOUBLE AS skin,
+ o_orderkey * 13 % 80 AS bc, o_orderkey * 17 % 61 / 10.0::DOUBLE AS bn, o_orderkey * 23 % 160 AS bs, o_orderkey * 29 % 50 / 100.0::DOUBLE AS bd, o_orderkey % 6 <> 0 AS passport, o_orderkey % 3 = 0 AS valid, o_orderkey * 7919 % 1200000 AS pixels FROM orders),
+ r AS (SELECT *, pn / greatest(bn, 0.1::DOUBLE) AS noise, abs(ps - bs)::DOUBLE AS gap FROM m),
+ s AS (SELECT *, {_clamp(_clamp("(skin - 0.16::DOUBLE) / 0.26::DOUBLE") + " * (" + _clamp("(pc / greatest(bc, 1.0::DOUBLE) - 1.55::DOUBLE) / 1.2::DOUBLE") + " * 0.4::DOUBLE + " + _clamp("abs(noise - 1) / 0.85::DOUBLE") + " * 0.2::DOUBLE + " + _clamp("gap / 75") + " * 0.14::DOUBLE + " + _clamp("(pd - bd - 0.04::DOUBLE) / 0.14::DOUBLE") + " * 0.14::DOUBLE + CASE WHEN pc > 42 AND bc < 38 THEN 0.12::DOUBLE ELSE 0 END)")} AS score FROM r)
+ SELECT doc_id, round(CASE WHEN NOT passport THEN 0.0::DOUBLE WHEN valid AND gap < 22 AND noise BETWEEN 0.45::DOUBLE AND 0.9::DOUBLE THEN least(score, 0.32::DOUBLE) ELSE score END, 6) AS score,
+ round(CASE WHEN passport THEN 0.62::DOUBLE + least(pixels / 3200000.0::DOUBLE, 0.28::DOUBLE) ELSE 0.0::DOUBLE END, 10) AS confidence FROM s""",
     "c7_document_risk": oracle(RISK + "SELECT doc_id, status, round(risk, 2) AS fraud_risk_score FROM st", "metrics", "findings", "signals"),
     "c8_face_required": oracle(RISK + "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'rejected' ELSE status END AS status, n + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS n_signals FROM st", "metrics", "findings", "signals"),
     "c9_pad_frames": oracle(PAD + f"SELECT event_id, round(pad_risk, 6) AS risk, {PASSED} AS pad_passed, {_codes(*PAD_RUNGS)} AS codes FROM pad", "frames"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -65,6 +66,38 @@ def test_enrolment(spark):
     assert got == {("f1", "u1", "P5", "updated"), ("n2", "u3", "P1", "enrolled"), ("n3", "u4", "P5", "conflict"), ("f2", "u5", "P2", "updated"), ("f9", "u9", "P9", "stored")}
 
 
+def plain_enrolment(stored, batch):
+    table = [dict(zip(("face", "user", "passport", "session", "active"), r), outcome="stored") for r in sorted(stored)]
+    out = []
+    for seq, user, passport, session, decision, has in sorted(batch, key=lambda r: (r[0], f"n{r[0]}")):
+        if decision != "passed" or not has:
+            continue
+        new = {"face": f"n{seq}", "user": user, "passport": passport, "session": session, "active": True, "outcome": "enrolled"}
+        if passport is not None and any(t["active"] and t["passport"] == passport and t["user"] != user for t in table):
+            out.append(new | {"outcome": "conflict"})
+            continue
+        for k in ("user", "passport", "session"):
+            same = next((t for t in table if t[k] is not None and t[k] == new[k]), None)
+            if same:
+                new |= {"face": same["face"], "outcome": "updated"}
+                break
+        gone = lambda t: t is same or any(t[k] is not None and t[k] == new[k] for k in ("user", "passport"))
+        table = [t for t in table if not gone(t)] + [new]
+    return sorted((t["face"], t["user"], t["passport"], t["session"], t["active"], t["outcome"]) for t in table + out)
+
+
+def test_enrolment_against_plain_fold(spark):
+    rnd = random.Random(3)
+    name = lambda k, n: f"{k}{rnd.randrange(n)}"
+    stored = [(f"f{i:02d}", f"u{i}", f"p{i}", f"s{i}", rnd.random() < 0.7) for i in range(30)]
+    batch = [(i, name("u", 60), name("p", 60) if rnd.random() < 0.9 else "none" + str(i), name("s", 200), rnd.choice(["passed", "passed", "pending"]), rnd.random() < 0.9) for i in range(150)]
+    got = stores.enrol(
+        spark.createDataFrame(stored, "face_id string, user_id string, passport_number string, session_id string, active boolean"),
+        spark.createDataFrame(batch, "seq long, user_id string, passport_number string, session_id string, decision string, has_template boolean"),
+    )
+    assert sorted(tuple(r) for r in got.collect()) == plain_enrolment(stored, batch)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (None, 1), (9, 8), (8, 3)] + [(i, i + 1) for i in range(100, 160)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
