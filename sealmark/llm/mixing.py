@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from sealmark.scratch import written
 
 GAP = r"[\x20\x09-\x0D]+"
-#: About so many rows of one source are summed in one window; more get more windows.
-WINDOW_ROWS = 4096
+#: At most about so many rows of one source are summed in one window; a larger source gets more windows.
+WINDOW_ROWS = 1024
+#: Rows in a slice of the global order, on average.
+SLICE_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -23,17 +25,18 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, passes: int) -> DataFrame:
-    """(source, nr, source_size, target): the budget, share * all sizes, dealt by weight.
+    """(source, nr, source_size, target, digits): the budget, share * all sizes, dealt by weight; hash digits of a window.
 
     Sources in code point order, null last, take the weights in turn. No target is above passes * the source's
     size; what a source can't take is dealt again to the others by weight. With sources ordered by the level at
     which they fill up, those that do are a prefix, so one ordered pass finds them. One row per source is held.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    digits = F.greatest(F.ceil(F.log(F.count("*") / WINDOW_ROWS) / F.log(F.lit(16.0))), F.lit(1)).cast("int")
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), digits.alias("digits"))
     everything = Window.orderBy(F.col("source").asc_nulls_last())
     nr = F.row_number().over(everything)
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((nr - 1) % len(weights) + 1).cast("int"))
-    per = per.select("source", "source_size", nr.alias("nr"), w.alias("weight"))
+    per = per.select("source", "source_size", "digits", nr.alias("nr"), w.alias("weight"))
     per = per.withColumn("cap", F.col("source_size") * F.lit(float(passes)))
     order = Window.orderBy(F.col("cap") / F.col("weight"), "nr")
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
@@ -42,15 +45,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, pas
     per = per.withColumn("level", level).withColumn("full", F.col("level") >= F.col("cap") / F.col("weight"))
     rest = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "nr", "level"))).over(whole)["level"]
     target = F.when(F.col("full"), F.col("cap")).otherwise(rest * F.col("weight"))
-    return per.select("source", "nr", "source_size", target.alias("target"))
+    return per.select("source", "nr", "source_size", target.alias("target"), "digits")
 
 
-def _queued(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, digits: int, seed: str) -> DataFrame:
+def _queued(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, seed: str) -> DataFrame:
     """docs with `mix`: struct(size, source_size, target, nr, h, id, cum); cum is the words of the source up to and with the row."""
-    t = targets.select(F.col("source").alias("mix_source"), F.struct("nr", "source_size", "target").alias("mix_of"))
+    t = targets.select(F.col("source").alias("mix_source"), F.struct("nr", "source_size", "target", "digits").alias("mix_of"))
     rows = docs.join(t, docs[source_col].eqNullSafe(t["mix_source"])).drop("mix_source")
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = rows.withColumn("mix_h", h).withColumn("mix_part", F.substring(h, 1, digits))
+    rows = rows.withColumn("mix_h", h).withColumn("mix_part", F.substring("mix_h", F.lit(1), F.col("mix_of.digits")))
     own = Window.partitionBy(F.col("mix_of.nr"), "mix_part").orderBy("mix_h", F.col(id_col), F.col("mix_size"))
     inside = rows.withColumn("mix_in", F.sum("mix_size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     # each window's words, then the words of the windows before it: a small table
@@ -81,22 +84,20 @@ def mix(
     taken is a multiple of size, at most passes * size; the finish times of the copies taken are in `finish`.
     The order within a source is that of a hash of seed and id, so reruns agree. Null text: size 0, nothing
     taken. Null source: a source of its own. Null ids come first among equal hashes; rows that repeat an id
-    follow one another by size. A column of docs named `mix` is replaced, others pass through. A source's sums
-    are made per part of its hash range, so a large source is not one task's work.
+    follow one another by size. A column of docs named `mix` is replaced, others pass through. Very long texts are
+    counted whole; an empty table gives no rows. A source's sums are made per part of its hash range, as many parts
+    as its rows ask for, so a large source is not one task's work.
     """
     docs = docs.drop("mix")
     sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
     narrow = written(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("mix_size").alias("size")), "sizes")
     n = narrow.count()
-    digits = 1
-    while n > WINDOW_ROWS * 16**digits and digits < 12:
-        digits += 1
     targets = written(source_targets(narrow, weights, share, passes), "targets")
-    thin = _queued(narrow.withColumnRenamed("size", "mix_size"), targets, "id", "source", digits, seed)
+    thin = _queued(narrow.withColumnRenamed("size", "mix_size"), targets, "id", "source", seed)
     turns = thin.where("mix.size > 0 and mix.target > 0").select(F.explode(F.array(*map(_turn, range(passes)))).alias("t"))
     turns = written(turns.select("t"), "turns")
     # the order is cut into slices of finish time; only the slice in which the budget ends is put in order whole
-    slices = max(64, n // WINDOW_ROWS)
+    slices = max(64, n // SLICE_ROWS)
     piece = F.floor(F.col("t.finish") * slices)
     budget = targets.agg(F.sum("target").alias("budget"))
     cut = turns.groupBy(piece.alias("slice")).agg(F.sum("t.size").alias("words"))
@@ -107,7 +108,7 @@ def mix(
     last = last.withColumn("upto", F.col("before") + F.sum("t.size").over(Window.partitionBy("slice").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
     last = last.where("upto <= budget").agg(F.max("t").alias("last_turn"))
     ends = written(cut.agg(F.max("cut").alias("cut")).crossJoin(last), "cut")  # one row; null cut: all is taken
-    rows = _queued(sized, targets, id_col, source_col, digits, seed).crossJoin(F.broadcast(ends))
+    rows = _queued(sized, targets, id_col, source_col, seed).crossJoin(F.broadcast(ends))
 
     def is_in(k: int) -> Column:
         t = _turn(k)
