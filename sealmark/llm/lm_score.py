@@ -32,8 +32,8 @@ U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
 #: Tokens per block of documents; a longer document is a block of its own.
 BLOCK_TOKENS = 500_000
-#: Blocks that pass between Spark and a Python worker at once; a block has some megabytes.
-BLOCKS_AT_ONCE = "2"
+#: Blocks, and texts, that pass between Spark and a Python worker at once; a block has some megabytes.
+BLOCKS_AT_ONCE, TEXTS_AT_ONCE = 2, 1000
 #: Tokens of text for each part that the exact counts of single tokens are dealt to.
 PART_TOKENS = 4_000_000
 #: Pairs a filter segment is meant to hold, bits for each entry, probes for each.
@@ -125,11 +125,11 @@ def _counts(packed: bytes) -> np.ndarray:
 
 
 @contextmanager
-def _few_at_once(spark: SparkSession):
-    """Small Arrow batches while blocks are read."""
+def _few_at_once(spark: SparkSession, rows: int = BLOCKS_AT_ONCE):
+    """Small Arrow batches, for as long as the work inside takes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, BLOCKS_AT_ONCE)
+    spark.conf.set(name, rows)
     try:
         yield
     finally:
@@ -294,7 +294,8 @@ def score(
     which costs one more pass over the token blocks; beyond most_slices it is probed in place.
     """
     spark = docs.sparkSession
-    blocks = written(token_blocks(docs, id_col, text_col), "blocks")
+    with _few_at_once(spark, TEXTS_AT_ONCE):
+        blocks = written(token_blocks(docs, id_col, text_col), "blocks")
     size = blocks.agg(F.sum(F.octet_length("codes") / 4)).first()[0] or 0
     with _few_at_once(spark):
         known = written(token_counts(blocks, max(1, round(size / PART_TOKENS))), "counts")

@@ -78,11 +78,24 @@ def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes (A-Z lower-cased if folded) wherever they stand."""
+    """A 64-bit hash of each span of bytes, equal for equal bytes (A-Z lower-cased if folded) wherever they stand.
+
+    Spans are in order; a long text is worked off about CHUNK_BYTES at a time.
+    """
+    out, at = np.empty(len(starts), U64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, side="right")))
+        lo, hi = starts[at], ends[to - 1]
+        out[at:to] = _hashes(data[lo:hi], starts[at:to] - lo, ends[at:to] - lo, _FOLDED if folded else _EXACT)
+        at = to
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((_FOLDED if folded else _EXACT)[data] * up[: len(data)], out=sums[1:])
+        np.cumsum(values[data] * up[: len(data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
