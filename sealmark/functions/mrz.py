@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 #: Weights of the check digit, in turn.
 WEIGHTS = (7, 3, 1)
-_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def check_digit(text: Column) -> Column:
     """Sum of character values (0-9, A-Z as 10-35, else 0) by the weights, modulo 10."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    value = lambda i: F.greatest(F.instr(F.lit(_DIGITS), F.substring(text, i, F.lit(1))) - 1, F.lit(0))
-    worth = lambda i: F.when(i % 3 == 1, WEIGHTS[0]).when(i % 3 == 2, WEIGHTS[1]).otherwise(WEIGHTS[2])
-    own = F.aggregate(F.transform(places, lambda i: F.when(F.substring(text, i, F.lit(1)) == "", 0).otherwise(value(i)) * worth(i)), F.lit(0), lambda a, x: a + x)
-    return F.when(text == "", "0").otherwise((own % 10).cast("string"))
+
+    def worth(c: Column, i: Column) -> Column:
+        code = F.ascii(c)
+        value = F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0)
+        return value * F.when(i % 3 == 0, WEIGHTS[0]).when(i % 3 == 1, WEIGHTS[1]).otherwise(WEIGHTS[2])
+
+    return (F.aggregate(F.transform(F.split(text, ""), worth), F.lit(0), lambda a, x: a + x) % 10).cast("string")
 
 
 def _date(text: Column, century: Column) -> Column:

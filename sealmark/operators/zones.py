@@ -24,7 +24,7 @@ FIELDS = ((0, 9), (13, 19), (21, 27))
 #: Second lines of one issuer of which the first characters, or the issuer, were lost.
 SHIFTED = r"^[0-9A-Z]{2}([0-9]{8})(?:00|0O|O0|OO)([0-9]{6})([0-9])([MF<])([0-9]{6})([0-9])"
 SQUEEZED = r"^([0-9]{9})(?:LA0|LAO|A09)([0-9]{6})([0-9])([A-Z<])([A-Z0-9][0-9]{5})([0-9])"
-WIDTH, ROUNDS = 44, 6
+WIDTH, ROUNDS, MOST_FOR_NAMES = 44, 6, 5.0
 _LETTERS = [chr(65 + i) for i in range(26)]
 ISLAND = r"(?<=<<)[A-Z]{1,2}(?=<)|(?<=<)[A-Z]{1,2}(?=<<)"
 
@@ -154,9 +154,12 @@ def names(line1: Column, nation: Column) -> Column:
         tail = _tail_letters(line1)
         lone = let(tail, lambda t: F.when(F.get(t, F.lit(0))["n"] > F.coalesce(F.get(t, F.lit(1))["n"], F.lit(0)), F.get(t, F.lit(0))["letter"]).otherwise(""))
         sure = F.concat(F.coalesce(lone, F.lit("")), _islands(field))
-        return F.struct(field.alias("field"), sure.alias("sure"), F.concat(sure, F.array_join(tail["letter"], "")).alias("filler"))
+        return let(F.concat(sure, F.array_join(tail["letter"], "")), lambda filler: F.struct(field.alias("field"), sure.alias("sure"), filler.alias("filler"), (filler == "").alias("done")))
 
     def grown(s: Column, _) -> Column:
+        return F.when(s["done"], s).otherwise(let(round_of(s), lambda t: F.struct(t["field"].alias("field"), t["sure"].alias("sure"), t["filler"].alias("filler"), (t["field"] == s["field"]).alias("done"))))
+
+    def round_of(s: Column) -> Column:
         enclosed = F.array_join(F.regexp_extract_all(s["field"], F.concat(F.lit("(?=("), any_of(s["filler"]), F.lit(r")(?!\1)([A-Z])(?!\2)(?:[<!"), s["filler"], F.lit("]|$))")), F.lit(2)), "")
         return let(F.struct(s["field"].alias("field"), F.concat(s["sure"], enclosed).alias("sure"), F.concat(s["filler"], enclosed).alias("filler"), s["filler"].alias("before")), lambda t: F.struct(
             F.regexp_replace(
@@ -189,35 +192,45 @@ def names(line1: Column, nation: Column) -> Column:
 
 
 def best_pair(lines: Column, as_of: Column) -> Column:
-    """The pair of lines that reads best as a zone, with its fields; null if none does."""
+    """The pair of lines that reads best as a zone, with its fields; null if none does.
+
+    A pair's names add MOST_FOR_NAMES to its score at most, so they are looked for only where they can decide.
+    """
     firsts = F.filter(
         F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))),
         lambda s: s["line"].rlike("^P[A-Z<]") & s["line"].contains("<<") & (_digits_in(s["line"]) <= 5),
     )
     firsts = F.transform(firsts, lambda s: let(aligned(s["line"]), lambda x: F.struct(s["i"].alias("i"), x.alias("line"), n_filler_letters(x).alias("filler"))))
-    seconds = F.transform(lines, lambda x, j: F.struct(j.alias("j"), x.alias("line"), repaired(x).alias("repaired")))
-
-    def judged(a: Column, b: Column) -> Column:
-        def scored(z: Column) -> Column:
-            def with_names(n: Column) -> Column:
-                full = F.concat_ws(" ", F.nullif(n["given_names"], F.lit("")), F.nullif(n["surname"], F.lit("")))
-                worth = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
-                score = (
-                    worth(z["valid"], 10.0) + worth(z["format_valid"], 4.0) + worth(z["check_digits_valid"], 3.0) + worth(z["expiry_date"].isNotNull(), 1.0) + worth(b["j"] > a["i"], 0.4)
-                    + F.greatest(F.lit(0.0), 1.0 - F.abs(b["j"] - a["i"] - 1) * 0.18) + F.least(F.length(full) / 5.0, F.lit(5.0)) - a["filler"] * 0.75
-                )
-                kept = ("nationality", "date_of_birth", "sex", "expiry_date", "format_valid", "check_digits_valid", "valid")
-                return F.struct(
-                    score.alias("score"), a["i"].alias("i"), b["j"].alias("j"), z["passport_number"].alias("passport_number"), n["surname"].alias("surname"), n["given_names"].alias("given_names"),
-                    *(z[c].alias(c) for c in kept), F.concat(a["line"], F.lit("\n"), b["line"]).alias("mrz_text"),
-                )
-
-            return let(names(a["line"], z["nationality"]), with_names)
-
-        return let(mrz.td3(a["line"], b["repaired"], as_of), scored)
-
-    pairs = let(seconds, lambda s: F.flatten(F.transform(firsts, lambda a: F.transform(F.filter(s, lambda b: b["j"] != a["i"]), lambda b: judged(a, b)))))
-    return let(F.array_max(pairs), lambda p: F.when(p["score"] > 0, p.dropFields("score", "i", "j")))
+    no_issuer = F.lit("P".ljust(WIDTH, "<"))
+    seconds = F.transform(lines, lambda x, j: F.struct(j.alias("j"), x.alias("line"), let(repaired(x), lambda r: mrz.td3(no_issuer, r, as_of)).alias("z")))
+    worth = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
+
+    def met(a: Column, b: Column) -> Column:
+        z, issuer = b["z"], cut(a["line"], 2, 5)
+        sound = (
+            worth(z["valid"], 10.0) + worth(z["format_valid"], 4.0) + worth(z["check_digits_valid"], 3.0) + worth(z["expiry_date"].isNotNull(), 1.0) + worth(b["j"] > a["i"], 0.4)
+            + F.greatest(F.lit(0.0), 1.0 - F.abs(b["j"] - a["i"] - 1) * 0.18)
+        )
+        nation = F.when(~z["nationality"].rlike("^[A-Z]+$") & issuer.rlike("^[A-Z]{3}$"), issuer).otherwise(z["nationality"])
+        return F.struct(a.alias("a"), b.alias("b"), sound.alias("sound"), (sound - a["filler"] * 0.75).alias("before"), nation.alias("nation"))
+
+    def judged(p: Column) -> Column:
+        a, b, z = p["a"], p["b"], p["b"]["z"]
+
+        def with_names(n: Column) -> Column:
+            full = F.concat_ws(" ", F.nullif(n["given_names"], F.lit("")), F.nullif(n["surname"], F.lit("")))
+            score = p["sound"] + F.least(F.length(full) / 5.0, F.lit(MOST_FOR_NAMES)) - a["filler"] * 0.75
+            kept = ("date_of_birth", "sex", "expiry_date", "format_valid", "check_digits_valid", "valid")
+            return F.struct(
+                score.alias("score"), a["i"].alias("i"), b["j"].alias("j"), z["passport_number"].alias("passport_number"), n["surname"].alias("surname"), n["given_names"].alias("given_names"),
+                p["nation"].alias("nationality"), *(z[c].alias(c) for c in kept), F.concat(a["line"], F.lit("\n"), b["line"]).alias("mrz_text"),
+            )
+
+        return let(names(a["line"], p["nation"]), with_names)
+
+    pairs = let(seconds, lambda s: F.flatten(F.transform(firsts, lambda a: F.transform(F.filter(s, lambda b: b["j"] != a["i"]), lambda b: met(a, b)))))
+    hopeful = let(pairs, lambda p: let(F.array_max(F.transform(p, lambda x: x["before"])), lambda top: F.filter(p, lambda x: x["before"] + MOST_FOR_NAMES + 1e-6 >= top)))
+    return let(F.array_max(F.transform(hopeful, judged)), lambda p: F.when(p["score"] > 0, p.dropFields("score", "i", "j")))
 
 
 def evidence(text: Column) -> Column:
@@ -237,7 +250,10 @@ def read_passports(texts: DataFrame, as_of: Column, text: str = "text") -> DataF
     """texts with `zone` (null where none was read), `signals` and `confidence`. Null text: nothing read."""
     value = F.col(text)
     maybe = F.coalesce(value.contains("<<"), F.lit(False))
-    out = texts.withColumn("zone", F.when(maybe, let(candidate_lines(value), lambda x: best_pair(x, as_of))))
+    zone = F.when(maybe, let(candidate_lines(value), lambda x: best_pair(x, as_of)))
+    # a generated row keeps the many uses of the zone from taking its expression along
+    kept = [c for c in texts.columns if c != "zone"]
+    out = texts.select(*kept, F.explode(F.array(F.struct(zone.alias("zone")))).alias("zone_row")).select(*kept, "zone_row.zone")
     z, none = F.col("zone"), F.col("zone").isNull()
     seen = evidence(F.coalesce(value, F.lit(""))) >= 0.65
     found = sg.ladder(
