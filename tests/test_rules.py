@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import random
 
 import numpy as np
 import pytest
@@ -196,3 +197,23 @@ def test_id_cards(spark):
     assert (r[0].number, r[0].date_of_birth, r[0].expiry_date, r[0].full_name, r[0].signals) == ("123456789012", dt.date(2001, 11, 9), dt.date(2032, 3, 14), "ANNA SAMPLE", [])
     assert (r[1].number, r[1].date_of_birth, r[1].expiry_date) == ("9876543210", dt.date(1990, 2, 1), None)
     assert [s.code for s in r[2].signals] == ["LAO_ID_EXPIRED"] and [s.code for s in r[3].signals][0] == "LAO_ID_NOT_RECOGNIZED"
+
+
+def test_identification_over_many_blocks(spark, monkeypatch):
+    """Blocks of gallery and probes give what one comparison gives; no gallery finds nobody."""
+    for name, value in (("GALLERY_BYTES", 600), ("PROBE_BYTES", 400), ("BLOCK", 3)):
+        monkeypatch.setattr(matching, name, value)
+    rnd = random.Random(5)
+    vector = lambda: [rnd.choice([-1.0, 0.0, 1.0]) for _ in range(6)]
+    faces = [(f"f{i:02d}", rnd.random() < 0.8, rnd.choice([vector(), vector(), vector(), [], None])) for i in range(60)]
+    probes = [(i, rnd.choice([vector(), vector(), vector(), [], None])) for i in range(40)]
+    gallery = spark.createDataFrame(faces, "face_id string, active boolean, embedding array<double>")
+    asked = spark.createDataFrame(probes, "probe_id long, embedding array<double>")
+    want = {}
+    for i, v in probes:
+        scores = [(round(min(1, max(0, (sum(a * b for a, b in zip(v, w)) + 1) / 2)), 4), f) for f, on, w in faces if on and w and v]
+        top = max((s for s, _ in scores), default=0.0)
+        want[i] = (min(f for s, f in scores if s == top) if top >= 0.72 else None, round(top, 2))
+    assert {r.probe_id: (r.face_id, r.score) for r in matching.identify(asked, gallery).collect()} == want
+    assert {(r.face_id, r.score) for r in matching.identify(asked, gallery.limit(0)).collect()} == {(None, 0.0)}
+    assert matching.identify(asked.limit(0), gallery).collect() == []
