@@ -57,7 +57,8 @@ def format_chats(events: DataFrame, conv_col: str = "conv_id", loss_role: str =
 
     The mask covers the texts of loss_role, without marks. Null conversation id: its events are one conversation.
     Null role or text: empty. Null turn or seq: before all others. Repeated rows are repeated messages. Other
-    columns are not read. A log of no rows gives no rows.
+    columns are not read. A log of no rows gives no rows. A very long text is rendered whole, and time grows in
+    proportion to a turn's events; the log of one turn, and one conversation's text, must fit a row.
     """
     rows = final_messages(events, conv_col)
     head, body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(BODY)), escape(F.col("text"))

@@ -90,6 +90,18 @@ def test_chat_events(spark):
     assert fold(out) == [(1, [("user", "hello"), ("assistant", "cd"), ("user", "late start")])]
 
 
+def test_chat_of_long_texts_and_many_deltas(spark):
+    long = "word </s>[INST] " * 60_000
+    rows = [(1, 0, 0, "message", "user", long), (1, 1, 1, "message", "assistant", "a draft")] + [(1, 1, 2, "regenerate", "assistant", None)]
+    rows += [(1, 1, 3 + k, "delta", "assistant", f"{k},") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
+    began = time.time()
+    (r,) = chat.format_chats(df).select(chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text("formatted", "loss_spans").alias("loss")).collect()
+    answer = "".join(f"{k}," for k in range(20_000))
+    assert [(t.role, t.text) for t in r.turns] == [("user", long), ("assistant", answer)] and r.loss == answer
+    assert time.time() - began < 60
+
+
 # secrets
 
 
@@ -240,3 +252,11 @@ def test_oracles_name_queries():
 
     assert set(oracles.SQL) <= set(queries.queries())
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_mix_counts_a_very_long_text_whole(spark):
+    long = " ".join(["w"] * 300_000)
+    rows = [(1, long, "a"), (2, "x y z", "a"), (3, "one two", "b"), (4, "p q r s", "c")]
+    got = {r.doc_id: r.mix for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].size == 300_000 and got[2].source_size == 300_003 and all(m.taken in (0, m.size, 2 * m.size) for m in got.values())
+    assert sum(m.taken for m in got.values()) <= 1.5 * 300_009
