@@ -21,6 +21,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -253,13 +254,12 @@ def segment_filters(blocks: DataFrame, segments: int) -> DataFrame:
 
 
 class FilterSlice:
-    """Segments first..last of the filter, side by side in one array."""
+    """Segments of the filter from `first` on, side by side; sizes: their bytes."""
 
-    def __init__(self, segments: int, first: int, parts: list[bytes]):
-        self.segments, self.first = segments, first
-        self.sizes = np.array([8 * len(p) for p in parts], np.int64)
+    def __init__(self, segments: int, first: int, sizes: np.ndarray, bits: bytes):
+        self.segments, self.first, self.bits = segments, first, bits
+        self.sizes = 8 * np.asarray(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bits = np.frombuffer(b"".join(parts), np.uint8)
 
     def levels(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys lie in this slice, and their quantised counts by repeated membership probes (0: absent)."""
@@ -268,14 +268,14 @@ class FilterSlice:
         out = np.zeros(len(keys), np.int64)
         at = np.flatnonzero(mine)
         at = at[self.sizes[place[at]] > 0]
-        level = 0
+        level, bits = 0, np.frombuffer(self.bits, np.uint8)
         while len(at):
             level += 1
             low, seg = _low(keys[at]), place[at]
             there = np.ones(len(at), bool)
             for bit in _bits(low, level, self.sizes[seg]):
                 bit = bit.astype(np.int64) + self.starts[seg]
-                there &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                there &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             at = at[there]
             out[at] = level
         return mine, out
@@ -331,10 +331,14 @@ def score(
 
 
 def _slice(filters: DataFrame, segments: int, lo: int, hi: int):
-    """Segments lo..hi - 1 of the filter, broadcast."""
-    own = {r.segment: bytes(r.bits) for r in filters.where(F.col("segment").between(lo, hi - 1)).collect()}
-    part = FilterSlice(segments, lo, [own.pop(s, b"") for s in range(lo, hi)])
-    return filters.sparkSession.sparkContext.broadcast(vars(part))  # arrays alone: a broadcast names its classes
+    """Segments lo..hi - 1 of the filter, broadcast as plain values: a broadcast names its classes, and copies arrays."""
+    own = filters.where(F.col("segment").between(lo, hi - 1)).select("segment", "bits").toArrow().combine_chunks()
+    order = np.argsort(own["segment"].to_numpy())
+    sizes = np.zeros(hi - lo, np.int64)
+    sizes[own["segment"].to_numpy() - lo] = pc.binary_length(own["bits"]).to_numpy()
+    bits = b"".join(own["bits"][int(i)].as_buffer() for i in order)
+    del own
+    return filters.sparkSession.sparkContext.broadcast((segments, lo, sizes, bits))
 
 
 def _of_block(left: pd.DataFrame, right: pd.DataFrame) -> dict:
@@ -354,8 +358,7 @@ def _scores_at_once(blocks: DataFrame, known: DataFrame, shared, n: int, v: int,
     """Scores by a filter that is broadcast whole, where blocks meet their counts."""
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        part = FilterSlice.__new__(FilterSlice)
-        vars(part).update(shared.value)
+        part = FilterSlice(*shared.value)
         b = _Block(_of_block(left, right))
         mine, levels = part.levels(b.pairs())
         return pd.DataFrame(_scored(b, mine, levels, True, n, v, mu))
@@ -385,8 +388,7 @@ def _slice_scores(coded: DataFrame, shared, with_base: bool, n: int, v: int, mu:
     """Scores of the tokens whose pairs lie in one broadcast slice; one of the slices also gives counts and base scores."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = FilterSlice.__new__(FilterSlice)
-        vars(part).update(shared.value)
+        part = FilterSlice(*shared.value)
         for b in _unpacked(batches):
             mine, levels = part.levels(b.pairs())
             yield pa.RecordBatch.from_pandas(pd.DataFrame(_scored(b, mine, levels, with_base, n, v, mu)), preserve_index=False)
@@ -407,7 +409,8 @@ def _scores_in_place(coded: DataFrame, filters: DataFrame, segments: int, n: int
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         levels = []
-        part = FilterSlice(segments, int(left["segment"].iat[0]) if len(left) else 0, [bytes(right["bits"].iat[0])] if len(right) else [b""])
+        bits = bytes(right["bits"].iat[0]) if len(right) else b""
+        part = FilterSlice(segments, int(left["segment"].iat[0]) if len(left) else 0, np.array([len(bits)]), bits)
         for pairs in left["pairs"]:
             levels.append(part.levels(np.frombuffer(pairs, U64))[1].astype(np.uint8).tobytes())
         return pd.DataFrame({"block": left["block"], "segment": left["segment"], "levels": levels})

@@ -92,7 +92,7 @@ def test_filter_never_forgets():
     for k in range(1, levels.max() + 1):
         for at in lm_score._bits(low[levels >= k], k, np.array(size)):
             bits[at.astype(np.int64)] = True
-    part = lm_score.FilterSlice(1, 0, [np.packbits(bits, bitorder="little").tobytes()])
+    part = lm_score.FilterSlice(1, 0, np.array([size // 8]), np.packbits(bits, bitorder="little").tobytes())
     _, got = part.levels(low)
     assert (got >= levels).all() and (got == levels).mean() > 0.98
     _, other = part.levels(rng.integers(0, 1 << 40, 3000).astype(np.uint64))
