@@ -25,7 +25,6 @@ FIELDS = ((0, 9), (13, 19), (21, 27))
 SHIFTED = r"^[0-9A-Z]{2}([0-9]{8})(?:00|0O|O0|OO)([0-9]{6})([0-9])([MF<])([0-9]{6})([0-9])"
 SQUEEZED = r"^([0-9]{9})(?:LA0|LAO|A09)([0-9]{6})([0-9])([A-Z<])([A-Z0-9][0-9]{5})([0-9])"
 WIDTH, ROUNDS, MOST_FOR_NAMES = 44, 6, 5.0
-_LETTERS = [chr(65 + i) for i in range(26)]
 ISLAND = r"(?<=<<)[A-Z]{1,2}(?=<)|(?<=<)[A-Z]{1,2}(?=<<)"
 
 
@@ -121,9 +120,13 @@ def aligned(line1: Column) -> Column:
 
 def _tail_letters(line1: Column) -> Column:
     """(n, letter) of the letters found three times or more where filler is to be expected, the most frequent first."""
-    tail = cut(line1, 24, WIDTH)
-    counts = F.transform(F.array(*map(F.lit, _LETTERS)), lambda c: F.struct((F.length(tail) - F.length(F.replace(tail, c, F.lit("")))).alias("n"), c.alias("letter")))
-    return F.sort_array(F.filter(counts, lambda s: s["n"] >= 3), asc=False)
+
+    def counted(tail: Column) -> Column:
+        letters = F.filter(F.array_distinct(F.split(tail, "")), lambda c: c.between("A", "Z"))
+        counts = F.transform(letters, lambda c: F.struct((F.length(tail) - F.length(F.replace(tail, c, F.lit("")))).alias("n"), c.alias("letter")))
+        return F.sort_array(F.filter(counts, lambda s: s["n"] >= 3), asc=False)
+
+    return let(cut(line1, 24, WIDTH), counted)
 
 
 def _islands(field: Column) -> Column:
@@ -194,7 +197,8 @@ def names(line1: Column, nation: Column) -> Column:
 def best_pair(lines: Column, as_of: Column) -> Column:
     """The pair of lines that reads best as a zone, with its fields; null if none does.
 
-    A pair's names add MOST_FOR_NAMES to its score at most, so they are looked for only where they can decide.
+    A pair's names add MOST_FOR_NAMES to its score at most, so they are looked for only where they can decide, and
+    once for pairs that would read the same names.
     """
     firsts = F.filter(
         F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))),
@@ -230,6 +234,9 @@ def best_pair(lines: Column, as_of: Column) -> Column:
 
     pairs = let(seconds, lambda s: F.flatten(F.transform(firsts, lambda a: F.transform(F.filter(s, lambda b: b["j"] != a["i"]), lambda b: met(a, b)))))
     hopeful = let(pairs, lambda p: let(F.array_max(F.transform(p, lambda x: x["before"])), lambda top: F.filter(p, lambda x: x["before"] + MOST_FOR_NAMES + 1e-6 >= top)))
+    place = lambda x: F.struct(x["before"].alias("s"), x["a"]["i"].alias("i"), x["b"]["j"].alias("j"))
+    beaten = lambda x, y: (y["a"]["line"] == x["a"]["line"]) & (y["nation"] == x["nation"]) & (place(y) > place(x))
+    hopeful = let(hopeful, lambda p: F.filter(p, lambda x: ~F.exists(p, lambda y: beaten(x, y))))
     return let(F.array_max(F.transform(hopeful, judged)), lambda p: F.when(p["score"] > 0, p.dropFields("score", "i", "j")))
 
 
