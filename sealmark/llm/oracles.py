@@ -82,6 +82,97 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 """
 
 
+_NEAR = r"regexp_matches(near, '(?:^|[^a-z])(?:{0})(?:[^a-z]|$)')::INT"
+_LENGTHS = (
+    "MAP {'AD': 24, 'AE': 23, 'AT': 20, 'BE': 16, 'BG': 22, 'CH': 21, 'CY': 28, 'CZ': 24, 'DE': 22, 'DK': 18, 'EE': 20, 'ES': 24, 'FI': 18, 'FR': 27, 'GB': 22, 'GR': 27, 'HR': 21, 'HU': 28, "
+    "'IE': 22, 'IS': 26, 'IT': 27, 'LI': 21, 'LT': 20, 'LU': 20, 'LV': 21, 'MC': 27, 'MT': 31, 'NL': 18, 'NO': 15, 'PL': 28, 'PT': 25, 'RO': 24, 'SA': 24, 'SE': 24, 'SI': 19, 'SK': 24, 'SM': 27, 'TR': 26}"
+)
+
+
+def _proposed(nr: int, kind: str, pattern: str, stop: str, score: int, good: str, bad: str, where: str) -> str:
+    return rf"""SELECT doc_id, {nr} AS nr, '{kind}' AS kind, start, {stop} AS stop, {score} + 20 * ({_NEAR.format(good)} - {_NEAR.format(bad)}) AS score
+  FROM (SELECT *, lower(before) || ' ' || lower(after) AS near, regexp_replace(m, '[^0-9]', '', 'g') AS digits, start + length(m) AS upto FROM (
+    SELECT doc_id, ms[i] AS m, right(gaps[i], 48) AS before, left(gaps[i + 1], 24) AS after,
+      (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS start
+    FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d) WHERE len(ms) > 0))) WHERE {where}"""
+
+
+def _pii() -> str:
+    luhn = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: (CASE WHEN i % 2 = 0 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][digits[-i]::INT + 1] ELSE digits[-i]::INT END))) % 10 = 0"
+    turned = "(bare[5:] || bare[1:4])"
+    number = f"list_reduce(list_transform(range(1, length(bare) + 1), lambda i: {turned}[i]), lambda a, c: CASE WHEN c BETWEEN '0' AND '9' THEN (a::INT * 10 + c::INT) % 97 ELSE (a::INT * 100 + ascii(c) - 55) % 97 END::VARCHAR, '0')::INT"
+    kinds = [
+        _proposed(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "upto", 90, "mail|email|contact|write", "path|handle", "true"),
+        _proposed(1, "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "upto", 60, "ip|address|host|server|login", "version|release|section|build", "len(list_filter(string_split(m, '.'), lambda p: p::HUGEINT > 255)) = 0"),
+        _proposed(2, "card", r"[0-9]([\x20-]?[0-9])+", "upto", 80, "card|visa|credit|debit|payment", "order|tracking|serial|invoice|isbn", f"length(digits) BETWEEN 13 AND 19 AND {luhn}"),
+        _proposed(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "upto", 70, "phone|tel|call|mobile|fax", "score|offset|version", "length(digits) BETWEEN 9 AND 15"),
+        _proposed(5, "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "upto", 40, "ssn|social|security", "serial|part|order",
+                  "NOT regexp_matches(m, '^(000|666|9)|-00-|0000$') AND NOT regexp_matches(before, '[A-Za-z0-9-]$') AND NOT regexp_matches(after, '^[A-Za-z0-9-]')"),
+    ]
+    # an account number: the shortest head of the proposal with as many characters as its country has
+    head = f"list_filter(list_transform(range(1, length(m) + 1), lambda k: m[1:k]), lambda h: length(replace(h, ' ', '')) = ({_LENGTHS})[m[1:2]])[1]"
+    iban = _proposed(4, "iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", f"start + length({head})", 90, "iban|account|bank", "serial|part", "true")
+    iban = iban.replace(" AS upto FROM (", f" AS upto, {head} AS head, replace({head}, ' ', '') AS bare FROM (").replace("WHERE true", rf"""WHERE head IS NOT NULL AND NOT regexp_matches(before, '[A-Za-z0-9]$')
+  AND NOT regexp_matches((m || left(after, 1))[length(head) + 1:], '^[A-Za-z0-9]') AND {number} = 1""")
+    digest = "kind || ':' || start || ':' || stop, ',' ORDER BY nr, start"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "iban", "ssn"))
+    zeros = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in ("email", "ip", "card", "phone", "iban", "ssn"))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT * FROM ({' UNION ALL '.join([*kinds, iban])}) WHERE nr < 4 OR score >= 50),
+a AS (SELECT doc_id, {counts}, coalesce(string_agg({digest}) FILTER (nr < 4), '') AS base, string_agg({digest}) AS spans, sum(score) AS score_sum FROM m GROUP BY doc_id)
+SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(score_sum, 0)::BIGINT AS score_sum FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+
+def _merkle(levels: int = 7) -> str:
+    """Every level of the tree written out, for up to 8 ** levels leaves and as many groups."""
+    said = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(said, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bit = "lambda c, k: xor(c >> 1, 3988292384 * (c & 1))"
+    crc = f"xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], {bit}, xor(a, x)), 4294967295::BIGINT), 4294967295::BIGINT)"
+    bare = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"""leaves AS (SELECT doc_id, lang, {leaf('text')} AS h, CASE WHEN {crc} % 3 = 0 THEN {leaf(bare)} END AS changed FROM documents),
+t0 AS (SELECT lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS nr, count(*) OVER (PARTITION BY lang) AS n, h FROM leaves)"""]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            below = f"{name}{k}"
+            steps.append(f"""{name}{k + 1} AS (SELECT g, nr // 8 AS nr, max((n + 7) // 8) AS n, sha256(string_agg(h, '' ORDER BY nr)) AS h FROM {below} WHERE n > 1 GROUP BY g, nr // 8
+  UNION ALL SELECT g, nr, n, h FROM {below} WHERE n = 1)""")
+
+    climb("t")
+    steps.append(f"u0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS nr, count(*) OVER () AS n, h, g AS lang FROM t{levels})")
+    climb("u")
+    # from a leaf to the root: its proof and the folded digest, level by level
+    steps.append(f"""p0 AS (SELECT l.doc_id, l.h AS leaf, l.lang, l.rn AS nr, '' AS proof, coalesce(l.changed, l.h) AS now FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS rn FROM leaves) l)""")
+
+    def fold(name: str, start: str, tree: str, g: str) -> str:
+        at = start
+        for k in range(levels):
+            here = f"{name}{k + 1}"
+            steps.append(f"""{tree}{k}r AS (SELECT g, nr // 8 AS up, list(h ORDER BY nr) AS run FROM {tree}{k} WHERE n > 1 GROUP BY g, nr // 8),
+{here} AS (SELECT p.* EXCLUDE (nr, proof, now), CASE WHEN run IS NULL THEN p.nr ELSE p.nr // 8 END AS nr,
+  CASE WHEN run IS NULL THEN proof ELSE proof || array_to_string(run[1:p.nr % 8] || run[p.nr % 8 + 2:], '') END AS proof,
+  CASE WHEN run IS NULL THEN now ELSE sha256(array_to_string(run[1:p.nr % 8] || [now] || run[p.nr % 8 + 2:], '')) END AS now
+  FROM {at} p LEFT JOIN {tree}{k}r r ON r.g IS NOT DISTINCT FROM {g} AND r.up = p.nr // 8)""")
+            at = here
+        return at
+
+    last = fold("p", "p0", "t", "p.lang")
+    steps.append(f"q0 AS (SELECT p.* EXCLUDE (nr), u.nr, u.h AS subroot FROM {last} p JOIN u0 u ON u.lang IS NOT DISTINCT FROM p.lang)")
+    last = fold("q", "q0", "u", "0")
+    copied = "CASE WHEN changed THEN 1 + depth ELSE 0 END"
+    steps.append(f"""depths AS (SELECT lang AS of, CASE WHEN count(*) = 1 THEN 0 ELSE ceil(round(log2(count(*)) / 3, 9)) END + (SELECT CASE WHEN max(n) = 1 THEN 0 ELSE ceil(round(log2(max(n)) / 3, 9)) END FROM u0) AS depth FROM leaves GROUP BY lang)""")
+    return f"""
+WITH {', '.join(steps)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, now AS folded_root, now = root AS verified, ({copied})::BIGINT AS copied
+FROM (SELECT f.*, (SELECT max(h) FROM u{levels}) AS root, coalesce({crc} % 3 = 0, false) AS changed, depth FROM {last} f JOIN depths ON depths.of IS NOT DISTINCT FROM f.lang)
+"""
+
+
 SQL = {
     "op1_line_dedup": LINES, "op2_chat_format": CHAT, "op6_secret_scan": _secrets(), "op7_source_mix": MIX, "op9_quality_rules": QUALITY,
+    "op11_pii": _pii(), "op13_merkle_manifest": _merkle(),
 }

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealmark.llm import chat, embedding_dup, line_dedup, lm_score, mixing, near_dup, oracles, packing, quality, secrets, toxicity
+from sealmark.llm import chat, embedding_dup, line_dedup, lm_score, merkle, mixing, near_dup, oracles, packing, pii, quality, secrets, token_align, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,30 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return embedding_dup.embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["nr"] < 4)
+    return rows.select(
+        "doc_id", *map(of, ("email", "ip", "card", "phone", "iban", "ssn")), F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"),
+        F.coalesce(F.aggregate("pii", F.lit(0), lambda n, s: n + s["score"]), F.lit(0)).cast("long").alias("score_sum"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    rows = token_align.align(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), show=shown)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(F.col("siblings")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"), "copied",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
