@@ -108,10 +108,19 @@ def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
     return F.array_sort(F.filter(F.array(*map(F.lit, sorted(set(keywords)))), lambda k: F.contains(text, k)))
 
 
-def name_tokens(name: Column) -> Column:
-    """The sorted set of a name's upper-case Latin words; other scripts and marks fall out."""
-    latin = F.regexp_replace(F.upper(name), r"[^A-Z<\s]", "")
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(latin, "<", " "), r"\s+"), lambda t: t != "")))
+def romanized(name: Column) -> Column:
+    """The Latin words of a name in two scripts, upper-case: what follows its last slash, without what stands in
+    brackets; other characters but `<` part words. Null where no word is left."""
+    side = F.substring_index(name, "/", -1)
+    after = F.substring_index(side, ")", -1)  # no bracket closes in it
+    before = F.left(side, F.length(side) - F.length(after))
+    plain = F.concat(F.regexp_replace(before, r"\([^)]*+\)", " "), after)
+    return F.nullif(F.trim(F.regexp_replace(F.upper(F.regexp_replace(plain, "[^A-Za-z<]", " ")), " +", " ")), F.lit(""))
+
+
+def name_tokens(*names: Column) -> Column:
+    """The sorted set of the names' upper-case words; null names have none."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.upper(F.concat_ws(" ", *names)), r"(?U)\s+"), lambda t: t != "")))
 
 
 def loose_date(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sealmark.functions import mrz
 from sealmark.functions import signals as sg
+from sealmark.functions.columns import fresh, held
 from sealmark.functions.scalars import clamp
 
 #: What a letter in a numeric place is read as.
@@ -256,11 +257,11 @@ def evidence(text: Column) -> Column:
 def read_passports(texts: DataFrame, as_of: Column, text: str = "text") -> DataFrame:
     """texts with `zone` (null where none was read), `signals` and `confidence`. Null text: nothing read."""
     value = F.col(text)
-    maybe = F.coalesce(value.contains("<<"), F.lit(False))
+    # two marks of the filler side by side, once what no zone has is taken out
+    maybe = F.coalesce(F.upper(value).rlike("<[^A-Z0-9<]*+<"), F.lit(False))
     zone = F.when(maybe, let(candidate_lines(value), lambda x: best_pair(x, as_of)))
-    # a generated row keeps the many uses of the zone from taking its expression along
-    kept = [c for c in texts.columns if c != "zone"]
-    out = texts.select(*kept, F.explode(F.array(F.struct(zone.alias("zone")))).alias("zone_row")).select(*kept, "zone_row.zone")
+    kept, name = [c for c in texts.columns if c not in ("zone", "signals", "confidence")], fresh("zone_row", texts)
+    out = held(texts, name, kept, zone=zone).select(*kept, f"{name}.zone")
     z, none = F.col("zone"), F.col("zone").isNull()
     seen = evidence(F.coalesce(value, F.lit(""))) >= 0.65
     found = sg.ladder(

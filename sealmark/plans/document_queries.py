@@ -83,20 +83,46 @@ def k8_mrz_outcome(spark, sf):
     return out.select("c_custkey", *(f"zone.{f}" for f in fields), sg.codes(F.col("signals")).alias("codes"), "confidence")
 
 
+def truth_files(spark, sf):
+    """Truth files of customers: two in three with zone lines (and printed fields that say otherwise), others printed alone, in two scripts."""
+    k = F.col("c_custkey")
+    word = F.regexp_replace(F.upper(F.col("c_mktsegment")), "[^A-Z]", "")
+    printed = F.concat(
+        F.lit("Passport Number: x 12"), k.cast("string"), F.lit("\nSurname/Family Name: 张 (alias) / "), word, F.lit("-LEE,TAN\nGiven Name/First Name: "), F.when(k % 2 == 0, "").otherwise("An Na"),
+        F.lit("\nCountry Code: uto \nDate of Birth: 0"), (k % 9 + 1).cast("string"), F.lit(" Mar / 1990\nGender/Sex: "), F.when(k % 4 == 1, "女 / F").when(k % 4 == 3, "Male").otherwise("?"), F.lit("\nExpired Date: 2031-12-2"), (k % 10).cast("string"), F.lit("\n"),
+    )
+    zone = F.concat(F.lit("MRZ Lines:\n P<SHORT \n  "), "line1", F.lit("  \n"), "line2", F.lit("\n"))
+    z = _zones(spark, sf).join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    return z.select("c_custkey", F.concat(printed, F.when(k % 3 != 0, zone).otherwise("MRZ Lines:\nP<UTO\n")).alias("text"))
+
+
 def k9_truth_fields(spark, sf):
-    z = _zones(spark, sf)
-    text = F.concat(F.lit("Passport No: X"), F.col("c_custkey").cast("string"), F.lit("\nSurname: Sample\nDate of birth: 03 MAR 1990\n"), F.when(F.col("c_custkey") % 3 != 0, F.concat("line1", F.lit("\n"), "line2", F.lit("\n"))).otherwise(""))
-    return documents.truth_fields(z.select("c_custkey", text.alias("text")), F.lit(AS_OF)).drop("text", "given_names")
+    return documents.truth_fields(truth_files(spark, sf), F.lit(AS_OF)).drop("text")
 
 
 def k10_id_cards(spark, sf):
+    """ID cards of eight kinds, by the key: labelled, names under labels, Lao script, no number, spaced dates with letters, month names, numbers alone, hardly anything."""
     k = F.col("c_custkey")
-    text = F.concat(
-        F.lit("IDENTITY CARD\nNAME "), F.translate(F.upper("c_mktsegment"), "#0123456789", ""), F.when(k % 4 != 0, F.concat(F.lit("\nID NO "), F.lpad((k * 104729).cast("string"), 12, "1"))).otherwise(""),
-        F.lit("\nDATE OF BIRTH "), F.date_format(F.date_add(F.lit("1960-01-01").cast("date"), (k % 15000).cast("int")), "dd/MM/yyyy"), F.when(k % 5 != 0, F.concat(F.lit("\nEXPIRY "), F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k * 13 % 5000).cast("int")), "dd-MM-yyyy"))).otherwise(""),
-    )
+    word = F.regexp_replace(F.upper(F.col("c_mktsegment")), "[^A-Z]", "")
+    day, expires = F.date_add(F.lit("1960-01-01").cast("date"), (k % 15000).cast("int")), F.date_add(F.lit("2020-01-01").cast("date"), (k * 13 % 5000).cast("int"))
+    as_text = lambda d, form: F.date_format(d, form)
+    nr9 = F.lpad((k * 104729 % 1000000000).cast("string"), 9, "3")
+    rows = lambda *x: F.concat_ws("\n", *(F.lit(y) if isinstance(y, str) else y for y in x))
+    say = lambda head, x: F.concat(F.lit(head), x)
+    letters = lambda c: F.translate(c, "015", "OIS")
+    kinds = [
+        rows("LAO NATIONAL ID CARD", say("ID NO ", F.concat(F.lit("123"), nr9)), F.concat(F.lit("NAME "), word, F.lit(" TESTER")), "NATIONALITY LAO", say("DATE OF BIRTH ", as_text(day, "dd/MM/yyyy")), say("EXPIRY ", as_text(expires, "dd-MM-yyyy"))),
+        rows("Nom / Surname", word, "Prenoms / Given names", "Anna-Lu", say("NO ", nr9), say("Date of birth ", as_text(day, "d/M/yyyy")), say("Valid to ", as_text(expires, "yyyy.MM.dd"))),
+        rows(say("ເລກທີ 10-", F.substring(nr9, 1, 7)), "ຊື່ແລະນາມສະກຸນ ສົມໄຊ  ສີສຸວັນ", say("ວັນເກີດ ", as_text(day, "dd/MM/yyyy")), say("ບັດໝົດອາຍຸ ", as_text(F.lit("2031-05-24").cast("date"), "dd/MM/yyyy"))),
+        rows("LAO NATIONAL ID CARD", say("FAMILY NAME ", word), "FIRST NAME", "BOUN"),
+        rows(say("NO ", F.concat(nr9, F.lit("123456"))), say("CARD ", F.lit("1234567")), say("", letters(as_text(day, "dd / MM / yyyy"))), say("", letters(as_text(F.lit("2032-10-15").cast("date"), "dd / MM / yyyy")))),
+        rows("IDENTITY CARD", "MR", word, "SOMPHET", say("NUMBER ", F.concat(F.substring(nr9, 1, 3), F.lit(" "), F.substring(nr9, 4, 3), F.lit("-"), F.substring(nr9, 7, 3))), say("DOB ", F.upper(as_text(day, "d MMM yyyy"))), say("EXPIRE ", as_text(expires, "yyyy-MM-dd"))),
+        rows(nr9, as_text(day, "dd.MM.yyyy"), as_text(F.lit("2023-05-24").cast("date"), "dd.MM.yyyy"), "31/02/2030"),
+        F.when(k % 16 == 7, F.lit("12/3 q")).otherwise("card 12/3"),
+    ]
+    text = F.element_at(F.array(*kinds), (k % 8 + 1).cast("int"))
     out = documents.read_id_cards(table(spark, sf, "customer").select("c_custkey", text.alias("text")), AS_OF)
-    return out.select("c_custkey", "number", "date_of_birth", "expiry_date", "full_name", F.round("confidence", 4).alias("confidence"), sg.codes(F.col("signals")).alias("codes"))
+    return out.select("c_custkey", "number", "date_of_birth", "expiry_date", "full_name", "nationality", F.concat_ws(",", "keywords").alias("keywords"), F.round("confidence", 4).alias("confidence"), sg.codes(F.col("signals")).alias("codes"))
 
 
 QUERIES = [k1_check_digits, k2_candidate_lines, k3_td3_fields, k4_repaired_lines, k5_names, k6_mrz_dates, k8_mrz_outcome, k9_truth_fields, k10_id_cards]
@@ -130,14 +156,23 @@ SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1)::I
  CASE WHEN NOT blank THEN 'UTO' END AS nationality, CASE WHEN NOT blank THEN sex END AS sex, CASE WHEN NOT blank THEN born END AS date_of_birth, CASE WHEN NOT blank THEN expires END AS expiry_date, CASE WHEN NOT blank THEN m7 <> 2 END AS valid,
  CASE WHEN blank THEN 'MRZ_NOT_READ' ELSE concat_ws('|', CASE WHEN m7 = 2 THEN 'MRZ_CHECK_DIGIT_MISMATCH' END, CASE WHEN expires <= DATE '2024-06-01' THEN 'PASSPORT_EXPIRED' END) END AS codes,
  CASE WHEN blank THEN 0.0 WHEN m7 = 2 THEN 0.4 ELSE 0.92 END::DOUBLE AS confidence FROM z""",
-    "k9_truth_fields": ZONES + f""", b AS (SELECT *, strftime(born, '%y%m%d') AS b6, strftime(expires, '%y%m%d') AS e6, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex FROM a),
+    "k9_truth_fields": ZONES + f""", b AS (SELECT a.*, strftime(born, '%y%m%d') AS b6, strftime(expires, '%y%m%d') AS e6, CASE WHEN a.c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, a.c_custkey % 3 <> 0 AS zone, substr(surname, 4) AS word FROM a),
 c AS (SELECT *, number || {_CD.format("number")} AS head, b6 || {_CD.format("b6")} AS mid, e6 || {_CD.format("e6")} || repeat('<', 15) AS tail FROM b)
-SELECT c_custkey, 'X' || c_custkey AS number, 'Sample' AS surname, DATE '1990-03-03' AS date_of_birth, CASE WHEN c_custkey % 3 <> 0 THEN rpad('P<UTO' || surname || '<<' || replace(given, ' ', '<'), 44, '<') END AS mrz_line1,
- CASE WHEN c_custkey % 3 <> 0 THEN head || 'UTO' || mid || sex || tail || {_CD.format("(head || mid || tail)")} END AS mrz_line2, CASE WHEN c_custkey % 3 <> 0 THEN born END AS mrz_birth FROM c""",
-    "k10_id_cards": """WITH c AS (SELECT c_custkey, trim(regexp_replace(upper(c_mktsegment), '[0-9#]', '', 'g')) AS full_name, CASE WHEN c_custkey % 4 <> 0 THEN lpad((c_custkey * 104729)::VARCHAR, 12, '1') END AS number,
- DATE '1960-01-01' + (c_custkey % 15000)::INT AS date_of_birth, CASE WHEN c_custkey % 5 <> 0 THEN DATE '2020-01-01' + (c_custkey * 13 % 5000)::INT END AS expiry_date FROM customer)
-SELECT *, round(CASE WHEN number IS NULL THEN 0.0 ELSE 0.35 END + 0.2 + CASE WHEN expiry_date IS NULL THEN 0.0 ELSE 0.15 END + 0.2 + 0.1, 4)::DOUBLE AS confidence,
- concat_ws('|', CASE WHEN number IS NULL THEN 'LAO_ID_NUMBER_NOT_READ' END, CASE WHEN expiry_date IS NULL THEN 'LAO_ID_EXPIRY_UNKNOWN' WHEN expiry_date <= DATE '2024-06-01' THEN 'LAO_ID_EXPIRED' END) AS codes FROM c""",
+SELECT c_custkey, CASE WHEN zone THEN rtrim(number, '<') ELSE 'X12' || c_custkey END AS passport_number, CASE WHEN zone THEN surname ELSE word || ' LEE TAN' END AS surname,
+ CASE WHEN zone THEN given WHEN c_custkey % 2 = 1 THEN 'AN NA' ELSE 'COUNTRY CODE UTO' END AS given_names, 'UTO' AS nationality, CASE WHEN zone THEN born ELSE make_date(1990, 3, c_custkey % 9 + 1) END AS date_of_birth,
+ CASE WHEN zone THEN sex WHEN c_custkey % 4 = 1 THEN 'F' WHEN c_custkey % 4 = 3 THEN 'M' END AS sex, CASE WHEN zone THEN expires ELSE make_date(2031, 12, 20 + c_custkey % 10) END AS expiry_date,
+ CASE WHEN zone THEN rpad('P<UTO' || surname || '<<' || replace(given, ' ', '<'), 44, '<') END AS mrz_line1, CASE WHEN zone THEN head || 'UTO' || mid || sex || tail || {_CD.format("(head || mid || tail)")} END AS mrz_line2 FROM c""",
+    # what each kind of card says, and the confidence that follows from the fields that it has
+    "k10_id_cards": """WITH c AS (SELECT c_custkey, c_custkey % 8 AS kind, regexp_replace(upper(c_mktsegment), '[^A-Z]', '', 'g') AS word, DATE '1960-01-01' + (c_custkey % 15000)::INT AS born, DATE '2020-01-01' + (c_custkey * 13 % 5000)::INT AS expires,
+ lpad((c_custkey * 104729 % 1000000000)::VARCHAR, 9, '3') AS nr9 FROM customer),
+r AS (SELECT c_custkey, kind, CASE kind WHEN 0 THEN '123' || nr9 WHEN 1 THEN nr9 WHEN 2 THEN '10' || substr(nr9, 1, 7) WHEN 4 THEN nr9 || '123456' WHEN 5 THEN nr9 WHEN 6 THEN nr9 END AS number,
+ CASE WHEN kind IN (0, 1, 2, 4, 5, 6) THEN born END AS date_of_birth, CASE WHEN kind IN (0, 1, 5) THEN expires WHEN kind = 2 THEN DATE '2031-05-24' WHEN kind = 4 THEN DATE '2032-10-15' END AS expiry_date,
+ CASE kind WHEN 0 THEN word || ' TESTER' WHEN 1 THEN word || ' ANNA-LU' WHEN 2 THEN 'ສົມໄຊ ສີສຸວັນ' WHEN 3 THEN word || ' BOUN' WHEN 4 THEN trim(regexp_replace(translate(strftime(born, '%d / %m / %Y'), '015', 'OIS'), '[^A-Z]+', ' ', 'g')) WHEN 5 THEN word || ' SOMPHET' END AS full_name,
+ CASE WHEN kind IN (0, 3) THEN 'LAO' END AS nationality,
+ CASE kind WHEN 0 THEN 'BIRTH,CARD,DATE,EXPIRY,ID,LAO,NAME,NATIONAL' WHEN 1 THEN 'BIRTH,DATE,GIVEN,ID,NAME,SURNAME' WHEN 3 THEN 'CARD,ID,LAO,NAME,NATIONAL' WHEN 4 THEN 'CARD' WHEN 5 THEN 'CARD,DOB,EXPIRE,ID,IDENTITY'
+  WHEN 7 THEN CASE WHEN c_custkey % 16 = 7 THEN '' ELSE 'CARD' END ELSE '' END AS keywords FROM c)
+SELECT c_custkey, number, date_of_birth, expiry_date, full_name, nationality, keywords, [1.0, 1.0, 0.81, 0.62, 0.88, 1.0, 0.59, CASE WHEN keywords = '' THEN 0.15 ELSE 0.22 END][kind + 1]::DOUBLE AS confidence,
+ CASE WHEN kind = 3 THEN 'LAO_ID_NUMBER_NOT_READ' WHEN kind = 7 THEN CASE WHEN keywords = '' THEN 'LAO_ID_NOT_RECOGNIZED' ELSE 'LAO_ID_TEXT_WEAK' END || '|LAO_ID_NUMBER_NOT_READ' WHEN expiry_date <= DATE '2024-06-01' THEN 'LAO_ID_EXPIRED' ELSE '' END AS codes FROM r""",
     "k1_check_digits": "SELECT c_custkey, " + _CD.format("n") + " AS digit FROM (SELECT c_custkey, upper(replace(c_name, '#', '<')) AS n FROM customer)",
     "k3_td3_fields": ZONES + """SELECT c_custkey, replace(number, '<', '') AS passport_number, surname, given AS given_names, 'UTO' AS nationality, CASE WHEN year(born) >= 2025 - 1 AND born > DATE '2024-06-01' THEN born - INTERVAL 100 YEAR ELSE born END::DATE AS date_of_birth,
  CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, expires AS expiry_date, true AS check_digits_valid, true AS all_check_digits_valid, true AS valid FROM a""",

@@ -77,7 +77,7 @@ def b15_sample_frames(spark, sf):
 
 
 def b18_name_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", scalars.name_tokens(F.col("text"))).alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", scalars.name_tokens(scalars.romanized(F.col("text")))).alias("tokens"))
 
 
 def b19_loose_date(spark, sf):
@@ -108,7 +108,7 @@ SQL = {
     "b13_attack_class": "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'spoof_unknown' ELSE CASE page_id % 6 WHEN 0 THEN 'spoof_screen_replay' WHEN 1 THEN 'spoof_print_paper' WHEN 3 THEN 'spoof_unknown' ELSE 'spoof_mask_cutout' END END AS attack FROM pages",
     "b14_document_type": "SELECT page_id, CASE WHEN contains(p, 'fr') THEN 'passport' WHEN contains(p, 'de') THEN 'id_card' WHEN contains(p, 'es') THEN 'licence' ELSE 'other' END AS kind FROM (SELECT page_id, url, translate(lower(url), '-/', '__') AS p FROM pages) WHERE NOT regexp_matches(lower(url), 'annot|label|mask|ref=x')",
     "b15_sample_frames": "WITH f AS (SELECT doc_id, (n_chars - 200) AS c, doc_id % 7 AS n FROM documents) SELECT doc_id, CASE WHEN c <= 0 THEN '0' WHEN n <= 1 THEN floor(c * 0.5::DOUBLE)::BIGINT::VARCHAR ELSE array_to_string([floor(c * (0.2::DOUBLE + i * 0.6::DOUBLE / (n - 1)))::BIGINT for i in range(n)], ',') END AS frames FROM f",
-    "b18_name_tokens": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(replace(regexp_replace(upper(replace(text, 'ß', 'SS')), '[^A-Z<\\s]', '', 'g'), '<', ' '), '\\s+'), lambda x: x <> ''))), ' ') AS tokens FROM documents",
+    "b18_name_tokens": r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(upper(regexp_replace(regexp_replace(string_split(text, '/')[-1], '\([^)]*\)', ' ', 'g'), '[^A-Za-z<]', ' ', 'g')), ' '), lambda x: x <> ''))), ' ') AS tokens FROM documents""",
     "b19_loose_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_orderdate::DATE END AS parsed FROM orders",
     "b20_lighting": "WITH l AS (SELECT event_id, [((event_id * (i + 7)) % (event_id % 90 + 10)) / 100.0::DOUBLE + CASE WHEN event_id % 4 = 0 THEN 0.6::DOUBLE ELSE 0 END for i in range(16)] AS l FROM events), m AS (SELECT event_id, list_sum(l) / 16 AS mean, sqrt(greatest(list_sum([x * x for x in l]) / 16 - (list_sum(l) / 16) ** 2, 0)) AS sd, len([x for x in l if x > 0.92::DOUBLE]) / 16 AS hi, len([x for x in l if x < 0.08::DOUBLE]) / 16 AS lo FROM l) SELECT event_id, CASE WHEN mean < 0.2::DOUBLE OR lo > 0.42::DOUBLE THEN 'dark' WHEN mean > 0.82::DOUBLE OR hi > 0.36::DOUBLE THEN 'bright' WHEN sd < 0.09::DOUBLE THEN 'flat' ELSE 'good' END AS status FROM m",
 }
