@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealmark.llm import line_dedup, mixing, near_dup, packing, quality
-from sealmark.llm.columns import computed_once
+from sealmark.llm.columns import computed_once, numbered, restored
 from sealmark.llm.queries import tokenizer_path
 from sealmark.scratch import written
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and blank texts have too few words and go. Very long texts are measured whole. Null ids, null sources
     and repeated rows are judged like others, each row alone. An empty table stays empty.
     """
-    book = quality.ledger(docs)
-    return book.where(quality.verdict(max(quality.POLICIES))).select(*docs.columns)
+    bare, names = numbered(docs)
+    return restored(quality.ledger(bare, names["text"]).where(quality.verdict(max(quality.POLICIES))), names)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     a null id is never a line's first, so it loses the line to one with an id. Rows that repeat an id keep or lose a
     line alike. Very long texts are cut line by line. An empty table stays empty.
     """
-    rows = line_dedup.remove_boilerplate(docs)
-    rows = computed_once(rows, text=F.col("text"), n_removed=F.col("n_removed"))
-    rows = rows.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumn("n_chars", n_chars).select(*docs.columns)
+    bare, names = numbered(docs)
+    text, size = names["text"], names["n_chars"]
+    rows = line_dedup.remove_boilerplate(bare, names["doc_id"], text, names["source"])
+    rows = computed_once(rows, **{text: F.col(text), "n_removed": F.col("n_removed")})
+    rows = rows.where((F.col("n_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(size)).cast(docs.schema["n_chars"].dataType)
+    return restored(rows.withColumn(size, n_chars), names)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     equal hashes; rows that repeat an id are drawn each. Very long texts count whole, and aren't cut at the budget's
     end: a copy that would exceed it is left out. An empty table stays empty.
     """
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sealmark.functions.columns import fresh
 
-def fresh(name: str, *frames: DataFrame) -> str:
-    """A column name that none of the frames has: `name`, with underscores added where it is taken."""
-    taken = {c.lower() for df in frames for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns called c0, c1, … and the new name of each: no column that is added then meets one of them."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str], *more: Column | str) -> DataFrame:
+    """The columns of docs under their own names, and more of df's."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()), *more)
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -287,7 +287,8 @@ def score(
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the single-token model's log10 probability, from exact counts; score is the pair model's. Null
-    text: the end alone. Null id: doc_id null, learnt from. Repeated rows and ids are learnt from and scored each. A
+    text: the end alone. Null id: doc_id null, learnt from. Repeated rows and ids are learnt from and scored each;
+    counts and sums don't depend on an order, so ties can't matter. A
     very long text is a block of its own, scored whole. With no training tokens N and V are 0 and the formulas hold
     as they stand; an empty table gives no rows. Other columns are not read. The corpus is counted at the call; the
     scores are lazy. The filter grows with the corpus: beyond slice_bytes it is broadcast in several slices, each of

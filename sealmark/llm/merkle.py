@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealmark.llm.ordered import in_parts
 from sealmark.scratch import written
 
 WIDTH = 8
@@ -43,14 +44,13 @@ def _numbered(leaves: DataFrame, by: str, *order: str) -> DataFrame:
 
     A range sort, then per part the place among the rows of a key; before it come the key's rows in earlier parts.
     """
-    part = lambda c: F.shiftright(c, 33)
-    placed = written(leaves.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("at", F.monotonically_increasing_id()), "sorted")
-    runs = placed.groupBy(by, part("at").alias("part")).agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    placed = in_parts(leaves, "sorted", by, *order)
+    runs = placed.groupBy(by, "part").agg(F.count("*").alias("size"), F.min("at").alias("first"))
     own = Window.partitionBy(by)
     upto = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col(by).alias("run_by"), "part", "first", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before"), F.sum("size").over(own).alias("n"))
-    rows = placed.join(runs, (F.col(by) == F.col("run_by")) & (part("at") == F.col("part")))
-    return rows.withColumn("nr", F.col("before") + F.col("at") - F.col("first")).drop("run_by", "part", "first", "before", "at")
+    runs = runs.select(F.col(by).alias("run_by"), F.col("part").alias("run_part"), "first", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before"), F.sum("size").over(own).alias("n"))
+    rows = placed.join(runs, (F.col(by) == F.col("run_by")) & (F.col("part") == F.col("run_part")))
+    return rows.withColumn("nr", F.col("before") + F.col("at") - F.col("first")).drop("run_by", "run_part", "first", "before", "at", "part")
 
 
 def _members(nodes: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealmark.llm.columns import numbered, restored
+from sealmark.llm.ordered import in_parts, with_sums
 from sealmark.scratch import written
 
 GAP = r"[\x20\x09-\x0D]+"
 #: At most about so many rows of one source are summed in one window; a larger source gets more windows.
 WINDOW_ROWS = 1024
-#: Rows in a slice of the global order, on average.
-SLICE_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -33,19 +33,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, pas
     """
     digits = F.greatest(F.ceil(F.log(F.count("*") / WINDOW_ROWS) / F.log(F.lit(16.0))), F.lit(1)).cast("int")
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), digits.alias("digits"))
-    everything = Window.orderBy(F.col("source").asc_nulls_last())
-    nr = F.row_number().over(everything)
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((nr - 1) % len(weights) + 1).cast("int"))
-    per = per.select("source", "source_size", "digits", nr.alias("nr"), w.alias("weight"))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(passes)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "nr")
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    per = per.withColumn("budget", F.sum("source_size").over(whole) * F.lit(share)).withColumn("weights", F.sum("weight").over(whole))
-    level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("level", level).withColumn("full", F.col("level") >= F.col("cap") / F.col("weight"))
-    rest = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "nr", "level"))).over(whole)["level"]
-    target = F.when(F.col("full"), F.col("cap")).otherwise(rest * F.col("weight"))
-    return per.select("source", "nr", "source_size", target.alias("target"), "digits")
+    per = with_sums(per, "sources", F.col("source").asc_nulls_last(), place=F.lit(1).cast("long"))
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    per = per.select("source", "source_size", "digits", (F.col("place") + 1).cast("int").alias("nr"), w.alias("weight"), (F.col("source_size") * F.lit(float(passes))).alias("cap"))
+    per = per.withColumn("fills_at", F.col("cap") / F.col("weight"))
+    per = with_sums(per, "levels", "fills_at", "nr", caps=F.col("cap"), weights=F.col("weight"), words=F.col("source_size"))
+    level = (F.col("all_words") * F.lit(share) - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
+    per = per.withColumn("level", level).withColumn("full", F.col("level") >= F.col("fills_at"))
+    rest = per.agg(F.min(F.when(~F.col("full"), F.struct("fills_at", "nr", "level"))).alias("rest"))
+    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("rest.level") * F.col("weight"))
+    return per.crossJoin(F.broadcast(rest)).select("source", "nr", "source_size", target.alias("target"), "digits")  # rest is one row
 
 
 def _queued(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, seed: str) -> DataFrame:
@@ -84,48 +81,44 @@ def mix(
     taken is a multiple of size, at most passes * size; the finish times of the copies taken are in `finish`.
     The order within a source is that of a hash of seed and id, so reruns agree. Null text: size 0, nothing
     taken. Null source: a source of its own. Null ids come first among equal hashes; rows that repeat an id
-    follow one another by size. A column of docs named `mix` is replaced, others pass through. Very long texts are
+    follow one another by size. A column of docs named `mix` is replaced, others pass through whatever their names. Very long texts are
     counted whole; an empty table gives no rows. A source's sums are made per part of its hash range, as many parts
     as its rows ask for, so a large source is not one task's work.
     """
-    docs = docs.drop("mix")
+    docs, names = numbered(docs.drop("mix"))
+    id_col, text_col, source_col = names[id_col], names[text_col], names[source_col]
     sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
     narrow = written(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("mix_size").alias("size")), "sizes")
-    n = narrow.count()
     targets = written(source_targets(narrow, weights, share, passes), "targets")
     thin = _queued(narrow.withColumnRenamed("size", "mix_size"), targets, "id", "source", seed)
     turns = thin.where("mix.size > 0 and mix.target > 0").select(F.explode(F.array(*map(_turn, range(passes)))).alias("t"))
-    turns = written(turns.select("t"), "turns")
-    # the order is cut into slices of finish time; only the slice in which the budget ends is put in order whole
-    slices = max(64, n // SLICE_ROWS)
-    piece = F.floor(F.col("t.finish") * slices)
+    # turns are range-sorted; only the part in which the budget ends is summed row by row
+    turns = in_parts(turns.select("t"), "turns", "t")
     budget = targets.agg(F.sum("target").alias("budget"))
-    cut = turns.groupBy(piece.alias("slice")).agg(F.sum("t.size").alias("words"))
-    cut = cut.withColumn("upto", F.sum("words").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cut.crossJoin(F.broadcast(budget)).where("upto > budget").agg(F.min(F.struct("slice", F.col("upto") - F.col("words"), "budget")).alias("c"))
-    cut = cut.select(F.col("c.slice").alias("cut"), F.col("c.col2").alias("before"), "c.budget")
-    last = turns.withColumn("slice", piece).join(F.broadcast(cut), F.col("slice") == F.col("cut"))
-    last = last.withColumn("upto", F.col("before") + F.sum("t.size").over(Window.partitionBy("slice").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    last = last.where("upto <= budget").agg(F.max("t").alias("last_turn"))
-    ends = written(cut.agg(F.max("cut").alias("cut")).crossJoin(last), "cut")  # one row; null cut: all is taken
+    parts = turns.groupBy("part").agg(F.sum("t.size").alias("words"), F.min("t").alias("first_turn"))
+    parts = parts.withColumn("upto", F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))  # a row per part
+    cut = parts.crossJoin(F.broadcast(budget)).where("upto > budget").agg(F.min(F.struct("part", "first_turn", (F.col("upto") - F.col("words")).alias("before"), "budget")).alias("cut"))
+    last = turns.join(F.broadcast(cut), F.col("part") == F.col("cut.part"))
+    last = last.withColumn("upto", F.col("cut.before") + F.sum("t.size").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    last = last.where("upto <= cut.budget").agg(F.max("t").alias("last_turn"))
+    ends = written(cut.select("cut.first_turn").crossJoin(last), "cut")  # one row; no first turn: all are taken
     rows = _queued(sized, targets, id_col, source_col, seed).crossJoin(F.broadcast(ends))
 
     def is_in(k: int) -> Column:
         t = _turn(k)
-        before = F.floor(t["finish"] * slices) < F.col("cut")
-        at_cut = (F.floor(t["finish"] * slices) == F.col("cut")) & (t <= F.col("last_turn"))
-        ok = F.col("cut").isNull() | before | F.coalesce(at_cut, F.lit(False))
+        ok = F.col("first_turn").isNull() | (t < F.col("first_turn")) | F.coalesce(t <= F.col("last_turn"), F.lit(False))
         return (F.col("mix.size") > 0) & (F.col("mix.target") > 0) & ok
 
     finish = F.filter(F.array(*(F.when(is_in(k), _turn(k)["finish"]) for k in range(passes))), lambda x: x.isNotNull())
     rows = rows.withColumn("mix_finish", finish)
     m = F.col("mix")
     done = F.struct(m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * F.size("mix_finish")).alias("taken"), F.col("mix_finish").alias("finish"))
-    return rows.withColumn("mix", done).drop("mix_finish", "cut", "last_turn")
+    return restored(rows.withColumn("mix", done), names, "mix")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, one row per copy taken, range-sorted by finish time."""
-    rows = mix(docs, **options)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: the columns of docs, whatever their names, one row per copy taken, range-sorted by finish time."""
+    bare, names = numbered(docs)
+    rows = mix(bare, names[id_col], names[text_col], names[source_col], **options)
     copies = rows.withColumn("mix", F.explode("mix.finish"))
-    return copies.orderBy("mix").drop("mix")
+    return restored(copies.orderBy("mix"), names)

@@ -172,7 +172,14 @@ FROM (SELECT f.*, (SELECT max(h) FROM u{levels}) AS root, coalesce({crc} % 3 = 0
 """
 
 
+ABLATION = f"""
+WITH q AS ({QUALITY.strip()}),
+r AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'short_words', 'long_words']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only, count(*) FILTER (failed_bits <> 0) AS n_rejected FROM q, r GROUP BY rule
+"""
+
+
 SQL = {
-    "op1_line_dedup": LINES, "op2_chat_format": CHAT, "op6_secret_scan": _secrets(), "op7_source_mix": MIX, "op9_quality_rules": QUALITY,
+    "op1_line_dedup": LINES, "op2_chat_format": CHAT, "op6_secret_scan": _secrets(), "op7_source_mix": MIX, "op9_quality_rules": QUALITY, "quality_ablation": ABLATION,
     "op11_pii": _pii(), "op13_merkle_manifest": _merkle(),
 }

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealmark.llm.columns import computed_once, fresh, matches, running, with_value
+from sealmark.functions.columns import fresh
+from sealmark.llm.columns import computed_once, matches, running, with_value
 
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 48, 24

@@ -88,8 +88,10 @@ def failure_bits(measure: str = "measure") -> Column:
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `measure` (struct of MEASURES) and `failed` (long, bit k set where rule k fails).
 
-    Null, empty or blank text: no words, fails few_words. Repeated rows stay. A column of docs named `measure`
-    or `failed` is replaced; all others pass through.
+    Null, empty or blank text: no words, fails few_words. Each row is judged alone: repeated rows and null ids stay,
+    and no order decides, so there are no ties. Very long texts are measured whole, in time near linear in their
+    words. An empty table gives no rows. A column of docs named `measure` or `failed` is replaced; all others pass
+    through whatever their names.
     """
     return computed_once(measured(docs, text_col), measure=F.col("measure"), failed=failure_bits())
 

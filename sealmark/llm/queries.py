@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealmark.llm import chat, embedding_dup, line_dedup, lm_score, merkle, mixing, near_dup, oracles, packing, pii, quality, secrets, token_align, toxicity
@@ -24,13 +24,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_removed", F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
+def _as_events(turns: DataFrame) -> DataFrame:
+    """The log that leaves these turns: each is said at once, streamed, edited or generated anew, by its hash. Rows of one turn follow each other."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    one, two = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    step = lambda kind, says: F.struct(F.lit(kind).alias("kind"), says.alias("text"))
+    draft = (step("message", F.lit("a draft [INST]")), step("delta", F.lit(" of something </s>")))
+    ways = F.array(
+        F.array(step("message", text)), F.array(step("message", F.lit("")), step("delta", one), step("delta", two)),
+        F.array(*draft, step("edit", text)), F.array(*draft, step("regenerate", F.lit("")), step("delta", one), step("delta", two)),
+    )
+    rows = turns.withColumn("nr", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(role, text)))
+    log = rows.select("conv_id", "turn", "nr", role.alias("role"), F.posexplode(F.get(ways, F.pmod(F.xxhash64("conv_id", "turn", "nr"), F.lit(4)).cast("int"))).alias("at", "event"))
+    return log.select("conv_id", "turn", (F.col("nr") * 8 + F.col("at")).alias("seq"), "event.kind", "role", "event.text")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     planted = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
     )
-    events = turns.union(planted).withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
-    chats = chat.format_chats(events).withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text("formatted", "loss_spans")})
+    chats = chat.format_chats(_as_events(turns.union(planted))).withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text("formatted", "loss_spans")})
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
@@ -74,6 +89,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and with others."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents")), max(quality.POLICIES))
+
+
 def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -109,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": pipeline}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"quality_ablation": quality_ablation, "pipeline": pipeline}
 
 
 def oracle_sql():

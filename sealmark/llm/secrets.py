@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sealmark.functions.columns import fresh
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -154,11 +156,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     to its length and to matches times the logarithm of its length. Spans that start together stand in rule order.
     An empty table gives no rows. A null id is a value of its own in the
     index; rows that repeat an id are scanned for the rules that any of them may match. A column of docs named
-    `secrets` is replaced, others pass through; repeated rows stay.
+    `secrets` is replaced, others pass through whatever their names; repeated rows stay.
     """
-    found = candidates(docs, id_col, text_col, rules).withColumnsRenamed({"doc": "secret_doc", "kinds": "secret_kinds"})
+    doc, kinds = fresh("secret_doc", docs), fresh("secret_kinds", docs)
+    found = candidates(docs, id_col, text_col, rules).withColumnsRenamed({"doc": doc, "kinds": kinds})
     base = docs.drop("secrets")
-    rows = base.join(found, base[id_col].eqNullSafe(found["secret_doc"]), "left")
+    rows = base.join(found, base[id_col].eqNullSafe(found[doc]), "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,nr:int,kind:string>>")
     all_spans = []
@@ -166,7 +169,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         of_rule = (F.lit(nr).alias("nr"), F.lit(rule.kind).alias("kind"))
         named = F.transform(_spans(text, rule), _named(of_rule))
         if trigram_query(rule):
-            ask = F.coalesce(F.array_contains("secret_kinds", rule.kind), F.lit(False))
+            ask = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False))
         elif rule.group == 0 and rule.least:
             # a run of the least length: most documents have none, and need no list of all their short runs
             ask = text.rlike(rule.pattern[:-1] + f"{{{rule.least}}}") if rule.pattern.endswith("]+") else F.lit(True)
@@ -174,7 +177,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
             ask = F.lit(True)
         all_spans.append(F.when(ask, named).otherwise(none))
     rows = rows.withColumn("secrets", F.sort_array(F.concat(*all_spans)))
-    return rows.drop("secret_doc", "secret_kinds")
+    return rows.drop(doc, kinds)
 
 
 def joined(spans: Column) -> Column:

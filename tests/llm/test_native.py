@@ -243,7 +243,7 @@ def test_mixing(spark):
         assert abs(taken[s] - want[s]) <= 60
     assert sum(taken.values()) <= 1.5 * sum(sizes.values())
     drawn = mixing.mixed_documents(df)
-    assert drawn.count() == sum(r.mix.taken // r.mix["size"] for r in first if r.mix["size"]) and drawn.columns == [c for c in df.columns if c != "mix"]
+    assert drawn.count() == sum(r.mix.taken // r.mix["size"] for r in first if r.mix["size"]) and drawn.columns == df.columns
     assert mixing.mix(df.limit(0)).collect() == []
 
 
@@ -260,3 +260,62 @@ def test_mix_counts_a_very_long_text_whole(spark):
     got = {r.doc_id: r.mix for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[1].size == 300_000 and got[2].source_size == 300_003 and all(m.taken in (0, m.size, 2 * m.size) for m in got.values())
     assert sum(m.taken for m in got.values()) <= 1.5 * 300_009
+
+
+def test_clashing_names(spark):
+    """Columns of a table that are called as the operators' own stay, in the operators and over the stages."""
+    import corpus_pipeline as cp
+
+    taken = ["mix", "mix_size", "mix_h", "mix_of", "cut", "last_turn", "first_turn", "part_nr", "part", "at", "t", "computed_row", "failed", "measure", "n_removed", "doc", "places", "secret_doc", "secret_kinds", "gone_id", "c0", "c1", "id", "h"]
+    rnd = random.Random(1)
+    texts = ["\n".join(" ".join(rnd.choice(["some", "more", "words", "about", "things", f"w{k}{j}"]) for j in range(30)) for _ in range(4)) + "\nshared" for k in range(40)]
+    rows = [(i, t, "en", f"s{i % 12}", len(t), *(f"{c}{i}" for c in taken)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in taken))
+
+    def kept(df, but=()):
+        for r in df.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in taken if c not in but)
+
+    kept(quality.ledger(docs), ("measure", "failed"))
+    kept(secrets.scan(docs))
+    kept(mixing.mix(docs), ("mix",))
+    kept(line_dedup.remove_boilerplate(docs), ("n_removed",))
+    now, plain = docs, docs.drop(*taken)
+    for _, stage in cp.STAGES[:4]:
+        now, plain = stage(spark, now, ""), stage(spark, plain, "")
+        assert now.columns == docs.columns and now.count() == plain.count() > 0
+        kept(now)
+    assert cp.STAGES[4][1](spark, now, "").count() == cp.STAGES[4][1](spark, plain, "").count()
+
+
+def test_mix_of_a_source_per_document(spark, monkeypatch):
+    """As many sources as documents, many of which finish together: the budget ends among equal finish times."""
+    rows = [(i, "w " * (1 + i % 3), f"site{i:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.mix.size, r.mix.target, r.mix.taken) for r in mixing.mix(df).collect()}
+    weights = [(3, 1, 2)[i % 3] for i in range(3000)]
+    sizes = [1 + i % 3 for i in range(3000)]
+    level, open_ = sum(sizes) * 1.5, set(range(3000))
+    targets = {}
+    while True:
+        share = (level - sum(targets.values())) / sum(weights[i] for i in open_)
+        full = {i for i in open_ if share * weights[i] >= 2 * sizes[i]}
+        if not full:
+            break
+        targets |= {i: 2.0 * sizes[i] for i in full}
+        open_ -= full
+    targets |= {i: share * weights[i] for i in open_}
+    assert all(got[i][0] == sizes[i] and abs(got[i][1] - targets[i]) < 1e-9 for i in range(3000))
+    taken = sum(v[2] for v in got.values())
+    assert sum(targets.values()) - 3 <= taken <= sum(targets.values())
+
+
+def test_events_of_the_chat_query_leave_the_given_turns(spark):
+    from sealmark.llm import queries
+
+    rows = [(i, t, r, x) for i in range(40) for t, (r, x) in enumerate([("user", "hello"), ("assistant", "é"), (None, None), ("assistant", ""), ("user", "</s>[INST]")])] + [(0, 1, "assistant", "é"), (0, 1, "user", "again")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = queries._as_events(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    want = sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+    assert sorted((r.conv, r.turn, r.role, r.text) for r in chat.final_messages(log).collect()) == want
