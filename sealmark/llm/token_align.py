@@ -21,8 +21,8 @@ from sealmark.scratch import written
 
 #: A worker keeps what it learned of so many distinct units of text, or bytes of them; beyond that it starts anew.
 KEPT_UNITS, KEPT_BYTES = 400_000, 64 << 20
-#: Units encoded in one call: an encoding is far larger than its ids.
-ENCODED_AT_ONCE = 4096
+#: Units encoded in one call (an encoding is far larger than its ids), and characters of units that are encoded as one text.
+ENCODED_AT_ONCE, JOINED = 16384, 16384
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -41,7 +41,9 @@ class _Bytes:
         self.sizes = np.fromiter(map(len, entries), np.int64, len(entries))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
-        self.names = [str(i) for i in range(len(entries))]
+
+    def __len__(self) -> int:
+        return len(self.sizes)
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         sizes = self.sizes[ids]
@@ -82,15 +84,33 @@ class Aligner:
         self.spans_in_bytes = list(self.b.encode("é", return_type="proto").pieces)[-1].end == 2
         split = json.loads(self.a.to_str())["pre_tokenizer"]
         self.by_units = split is not None and split["type"] == "ByteLevel" and split.get("use_regex", True) and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.decimals = _Bytes([b"%d," % i for i in range(max(len(self.bytes_a), len(self.bytes_b)))])
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.n_a = self.n_b = self.starts = self.sizes = self.pairs = np.zeros(0, np.int64)
+        self.n_a = self.n_b = self.starts = self.sizes = self.pairs = self.met = np.zeros(0, np.int64)
         self.whole = np.zeros(0, bool)
         self.groups: list[bytes] = []
         self.kept = 0
 
+    def _forget(self) -> None:
+        """Keep the units that were met in more than one call, if they are few enough."""
+        old = np.flatnonzero(self.met > 1)
+        if len(old) > KEPT_UNITS // 2 or self.kept > 2 * KEPT_BYTES:
+            return self.clear()
+        nr = np.full(len(self.met), -1)
+        nr[old] = np.arange(len(old))
+        stay = nr[self.where] >= 0
+        self.keys, self.where = self.keys[stay], nr[self.where[stay]]
+        sizes = self.sizes[old]
+        upto = np.cumsum(sizes)
+        self.pairs = self.pairs[np.repeat(self.starts[old] - (upto - sizes), sizes) + np.arange(upto[-1] if len(old) else 0)]
+        self.n_a, self.n_b, self.whole, self.sizes, self.starts = self.n_a[old], self.n_b[old], self.whole[old], sizes, upto - sizes
+        self.met = np.zeros(len(old), np.int64)
+        self.groups = [self.groups[i] for i in old.tolist()]
+        self.kept = sum(map(len, self.groups))
+
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start (of what follows the blank, if it is one), end and row of every unit."""
         first = offsets[:-1][np.diff(offsets) > 0]
@@ -115,32 +135,47 @@ class Aligner:
         self.keys = np.insert(self.keys, at, keys)
         self.starts = np.concatenate((self.starts, len(self.pairs) + np.cumsum(sizes) - sizes))
         self.n_a, self.n_b, self.sizes = np.concatenate((self.n_a, n_a)), np.concatenate((self.n_b, n_b)), np.concatenate((self.sizes, sizes))
-        self.whole, self.pairs = np.concatenate((self.whole, whole)), np.concatenate((self.pairs, pairs))
+        self.whole, self.pairs, self.met = np.concatenate((self.whole, whole)), np.concatenate((self.pairs, pairs)), np.concatenate((self.met, np.zeros(len(keys), np.int64)))
         for p in parts:
             self.groups += p[5]
             self.kept += sum(map(len, p[5]))
 
-    def _aligned(self, units: list[str]):
+    def _texts(self, units: list[str], alone: bool) -> list[tuple[int, int]]:
+        """Runs of units that are encoded as one text, first and end: as in a text, a blank after white space is no bound."""
+        runs, first, size = [], 0, 0
+        for i, unit in enumerate(units):
+            size += len(unit) + 1
+            last = unit[-1:]
+            bound = last.isascii() and last > " " or "\x80" < last < "\u0800" and last.isalpha()
+            if alone or size >= JOINED or not bound or not self.by_units:
+                runs.append((first, i + 1))
+                first, size = i + 1, 0
+        return runs if first == len(units) else [*runs, (first, len(units))]
+
+    def _aligned(self, units: list[str], alone: bool = False):
         """(n_a, n_b, whole, n_groups, pairs, groups) of each unit; pairs of all units in turn."""
-        texts = [" " + u for u in units]
-        encoded = self.a.encode_batch(texts, add_special_tokens=False)
-        pieces = [list(p.pieces) for p in self.b.encode(units, return_type="proto", num_threads=1)]
+        runs = self._texts(units, alone)
+        texts = [" ".join(units[i:j]) for i, j in runs]
+        encoded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        pieces = [list(p.pieces) for p in self.b.encode(texts, return_type="proto", num_threads=1)]
         n_a, n_b = np.array([len(e.ids) for e in encoded]), np.array([len(p) for p in pieces])
-        ids_a = np.fromiter((i for e in encoded for i in e.ids), np.int64, n_a.sum())
-        ids_b = np.fromiter((p.id for ps in pieces for p in ps), np.int64, n_b.sum())
-        # characters of all texts in a row, and the byte at which each begins
-        chars = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        ids_a = np.array([i for e in encoded for i in e.ids], np.int64)
+        ids_b = np.array([p.id for ps in pieces for p in ps], np.int64)
+        # bytes of all texts in a row, each after a blank; where its characters and units begin
+        data = np.frombuffer((" " + " ".join(units)).encode(), np.uint8)
         byte_at = np.concatenate((np.flatnonzero((data & 0xC0) != 0x80), [len(data)]))
-        char_base = np.cumsum(chars) - chars
-        base = byte_at[char_base]
-        size = byte_at[char_base + chars] - base
-        coarse_a = byte_at[np.repeat(char_base, n_a) + np.fromiter((o[1] for e in encoded for o in e.offsets), np.int64, n_a.sum())]
-        ends_b = np.fromiter((p.end for ps in pieces for p in ps), np.int64, n_b.sum()) + 1  # after the blank that the model adds
+        chars = np.fromiter(map(len, units), np.int64, len(units)) + 1
+        unit_ends = byte_at[np.cumsum(chars)]
+        first, after = np.array(runs, np.int64).reshape(-1, 2).T
+        size = unit_ends[after - 1] - np.where(first > 0, unit_ends[first - 1], 0)
+        base = unit_ends[after - 1] - size
+        char_base = (np.cumsum(chars) - chars)[first]
+        coarse_a = byte_at[np.repeat(char_base, n_a) + np.array([o[1] for e in encoded for o in e.offsets], np.int64)]
+        ends_b = np.array([p.end for ps in pieces for p in ps], np.int64) + 1  # after the blank that the model adds
         coarse_b = np.repeat(base, n_b) + ends_b if self.spans_in_bytes else byte_at[np.repeat(char_base, n_b) + ends_b]
         # texts that both tokenizers give back whole
         bounds_a, bounds_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
-        whole = np.ones(len(units), bool)
+        whole = np.ones(len(texts), bool)
         for ids, vocabulary, bounds, n in ((ids_a, self.bytes_a, bounds_a, n_a), (ids_b, self.bytes_b, bounds_b, n_b)):
             whole &= _sums(vocabulary.sizes[ids], bounds) == size
             fits = np.repeat(whole, size)
@@ -160,18 +195,49 @@ class Aligner:
         by_bytes_a, by_bytes_b = ends
         # coarse cuts where both have a span's end that their bytes confirm; then those inside characters
         sound_a, sound_b = coarse_a == by_bytes_a, coarse_b == by_bytes_b
-        cuts = np.intersect1d(coarse_a[sound_a], coarse_b[sound_b])
+        cuts = np.intersect1d(coarse_a[sound_a], coarse_b[sound_b], assume_unique=True)
         if not (sound_a.all() and sound_b.all()):
             cuts = np.union1d(cuts, np.union1d(np.intersect1d(by_bytes_a[~sound_a], by_bytes_b), np.intersect1d(by_bytes_a, by_bytes_b[~sound_b])))
         to_a, to_b = np.searchsorted(by_bytes_a, cuts) + 1, np.searchsorted(by_bytes_b, cuts) + 1
-        pairs = ids_a[to_a - 1] * len(self.bytes_b.names) + ids_b[to_b - 1]
-        name_a, name_b = [self.bytes_a.names[i] for i in ids_a.tolist()], [self.bytes_b.names[i] for i in ids_b.tolist()]
-        from_a, from_b = np.concatenate(([0], to_a[:-1])).tolist(), np.concatenate(([0], to_b[:-1])).tolist()
-        shown = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in zip(from_a, to_a.tolist(), from_b, to_b.tolist())]
-        n_groups = np.searchsorted(cuts, base + size, side="right") - np.searchsorted(cuts, base, side="right")
-        upto = np.cumsum(n_groups)
-        groups = [";".join(shown[i:j]).encode() for i, j in zip((upto - n_groups).tolist(), upto.tolist())]
-        return n_a, n_b, whole, n_groups, pairs, groups
+        pairs = ids_a[to_a - 1] * len(self.bytes_b) + ids_b[to_b - 1]
+        blob, item_ends = self._shown(ids_a, ids_b, to_a, to_b)
+        # cut back into units: both tokenizers end a token where one ends
+        upto = np.searchsorted(cuts, unit_ends, side="right")
+        met = np.zeros(len(units), bool)
+        met[upto > 0] = cuts[upto[upto > 0] - 1] == unit_ends[upto > 0]
+        of_text = np.repeat(np.arange(len(texts)), after - first)
+        fine = whole & (np.bincount(of_text, weights=~met, minlength=len(texts)) == 0)
+        before = np.concatenate(([0], upto[:-1]))
+        tokens = lambda to: np.concatenate(([0], to))[upto] - np.concatenate(([0], to))[before]
+        edges = np.concatenate(([0], item_ends))
+        shown = [blob[i : max(i, j - 1)] for i, j in zip(edges[before].tolist(), edges[upto].tolist())]
+        out = [tokens(to_a), tokens(to_b), fine[of_text], upto - before, pairs, shown]
+        again = np.flatnonzero(~fine & (after - first > 1))
+        if not len(again):
+            return out
+        # a unit that isn't given back whole spoils its neighbours: those texts are encoded unit by unit
+        at = np.concatenate([np.arange(first[t], after[t]) for t in again])
+        own = self._aligned([units[i] for i in at], alone=True)
+        parts, mine = np.split(out[4], np.cumsum(out[3])[:-1]), np.split(own[4], np.cumsum(own[3])[:-1])
+        for i, k in enumerate(at.tolist()):
+            parts[k], out[5][k] = mine[i], own[5][i]
+        for k in range(4):
+            out[k] = out[k].copy()
+            out[k][at] = own[k]
+        out[4] = np.concatenate(parts)
+        return out
+
+    def _shown(self, ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups as text, each with a semicolon after it, and where each ends; to_a, to_b: tokens up to each group's end."""
+        before_b = np.concatenate(([0], to_b))[:-1]
+        at_a = np.arange(to_a[-1] if len(to_a) else 0) + np.repeat(before_b, np.diff(np.concatenate(([0], to_a))))
+        at_b = np.arange(to_b[-1] if len(to_b) else 0) + np.repeat(to_a, np.diff(np.concatenate(([0], to_b))))
+        item = np.empty(len(at_a) + len(at_b), np.int64)
+        item[at_a], item[at_b] = ids_a[: len(at_a)], ids_b[: len(at_b)]
+        text, upto = self.decimals.of(item), np.cumsum(self.decimals.sizes[item])
+        text[upto[to_a + before_b - 1] - 1] = ord("|")
+        text[upto[to_a + to_b - 1] - 1] = ord(";")
+        return text.tobytes(), upto[to_a + to_b - 1]
 
     def align(self, texts: pa.Array):
         """(n_a, n_b, groups, pair bounds, pairs, how often) of each text."""
@@ -180,7 +246,7 @@ class Aligner:
         starts, ends, rows = self._units(data, offsets)
         keys, first, code = np.unique(tx.span_hashes(data, starts, ends, folded=False), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT_UNITS or self.kept > KEPT_BYTES:
-            self.clear()
+            self._forget()
         fresh = np.ones(len(keys), bool)
         at = np.searchsorted(self.keys, keys)
         inside = at < len(self.keys)
@@ -188,7 +254,9 @@ class Aligner:
         if fresh.any():
             held = data.tobytes()
             self._learn(keys[fresh], [held[starts[i] : ends[i]].decode() for i in first[fresh]])
-        spot = self.where[np.searchsorted(self.keys, keys)][code] if len(keys) else np.zeros(0, np.int64)
+        known = self.where[np.searchsorted(self.keys, keys)] if len(keys) else np.zeros(0, np.int64)
+        self.met[known] += 1
+        spot = known[code]
         per_row = lambda x: np.bincount(rows, weights=x[spot], minlength=n).astype(np.int64)
         sound = per_row(~self.whole) == 0
         n_a, n_b = (np.where(sound, per_row(x), 0) for x in (self.n_a, self.n_b))
@@ -200,7 +268,7 @@ class Aligner:
         sizes = self.sizes[spot]
         upto = np.cumsum(sizes)
         pairs = self.pairs[np.repeat(self.starts[spot] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
-        most = len(self.bytes_a.names) * len(self.bytes_b.names)
+        most = len(self.bytes_a) * len(self.bytes_b)
         both, times = np.unique(np.repeat(rows, sizes) * most + pairs, return_counts=True)
         return n_a, n_b, groups, tx.runs(both // most, n), both % most, times
 
@@ -223,7 +291,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
-        base = len(aligner.bytes_b.names)
+        base = len(aligner.bytes_b)
         for batch in batches:
             for at, to, texts in tx.slices(batch.column(1)):
                 n_a, n_b, groups, bounds, pairs, times = aligner.align(texts)
