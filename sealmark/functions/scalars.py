@@ -103,6 +103,12 @@ def sample_frames(count: Column, n: Column) -> Column:
     return F.when(count <= 0, F.array(F.lit(0))).otherwise(F.transform(sample_fractions(n), lambda f: F.floor(count * f).cast("int")))
 
 
+def even_frames(count: Column, n: Column) -> Column:
+    """The frame numbers that cut a video into n + 1 equal parts, each once, rising; none without a frame count."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda r: F.floor(count * r / (n + 1)).cast("int"))
+    return F.when((count > 0) & (n > 0), F.array_sort(F.array_distinct(at))).otherwise(F.array().cast("array<int>"))
+
+
 def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
     """The keywords that the text holds, sorted."""
     return F.array_sort(F.filter(F.array(*map(F.lit, sorted(set(keywords)))), lambda k: F.contains(text, k)))

@@ -91,7 +91,7 @@ def burst_verdict(votes: DataFrame, temporal: DataFrame, frame_signals: DataFram
     return rows.select(key, "signals", F.round("risk", 2).alias("risk"), "passed")
 
 
-def active_liveness(frames: DataFrame, max_spoof_risk: float = 0.62, key: str = "session_id") -> DataFrame:
+def active_liveness(frames: DataFrame, max_spoof_risk: float = 0.82, key: str = "session_id") -> DataFrame:
     """Per burst of an active challenge: representative frame, high codes in order, and whether it passed."""
     r, sf, ds, pp, mr, hr = map(_c, ("risk", "screen_frame", "display_surface", "paper_photo", "model_risk", "heuristic_risk"))
     replay = (
@@ -197,6 +197,12 @@ def gestures(hands: DataFrame, landmarks: str = "landmarks") -> DataFrame:
     return out.withColumn("gesture", gesture)
 
 
+def inside_target(landmarks: str, left: Column, top: Column, size: Column) -> Column:
+    """Does the middle of a hand's landmarks lie in the circle, given in percent of the picture by its centre and width?"""
+    middle = lambda k: F.aggregate(_c(landmarks), F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(landmarks)
+    return F.hypot(middle("x") - left / 100, middle("y") - top / 100) <= size / 200
+
+
 def gesture_matches(challenge: Column) -> Column:
     """Does a row of gestures() meet the challenge?"""
     n, g, f = _c("finger_count"), _c("gesture"), lambda k: _c(f"fingers.{k}")
@@ -217,6 +223,15 @@ def face_actions(faces: DataFrame, landmarks: str = "landmarks") -> DataFrame:
     return out.withColumns({"blink": _c("eye_ratio") < 0.18, "mouth_open": _c("mouth_ratio") > 0.23, "turn_left": _c("yaw") < -0.05, "turn_right": _c("yaw") > 0.05})
 
 
+def action_matches(challenge: Column) -> Column:
+    """Does a row of face_actions() meet the challenge? Others than the four are never met."""
+    flags = {"blink": "blink", "open_mouth": "mouth_open", "turn_left": "turn_left", "turn_right": "turn_right"}
+    met = F.lit(False)
+    for name, flag in flags.items():
+        met = F.when(challenge == name, _c(flag)).otherwise(met)
+    return F.coalesce(met, F.lit(False))
+
+
 def held_challenges(ticks: DataFrame, needed: int = 9, key: str = "session_id", order: str = "idx", match: str = "matches") -> DataFrame:
     """Per session: whether, and at which tick, the challenge was held for `needed` matching ticks in a row."""
     w = Window.partitionBy(key).orderBy(order)

@@ -96,13 +96,25 @@ def document_ensemble(findings: DataFrame) -> DataFrame:
     return out.withColumn("model_signals", found)
 
 
+def screen_pattern(edge_mean: Column, edge_spread: Column) -> Column:
+    """How much an image looks like a screen: the mean of its edges, and the spread of those of its sharpened form, both from 0 to 255."""
+    return clamp(edge_mean / 255 * 0.55 + edge_spread / 128 * 0.45)
+
+
 def adapter_scores(metrics: DataFrame) -> DataFrame:
-    """metrics with the built-in models' liveness_model and tamper_model scores."""
+    """metrics with the scores and confidences of the built-in liveness and tamper models. Numbers are fixed values.
+
+    Columns: blockiness, glare_ratio, saturation, contrast, likeness_score, quality_score, ela_score, pixels, and
+    edge_mean, edge_spread of the grey image (see screen_pattern).
+    """
     contrast_risk, structure = clamp((26 - _c("contrast")) / 26), clamp((0.55 - _c("likeness_score")) / 0.55)
     weak = clamp((0.55 - F.least("likeness_score", "quality_score")) / 0.55)
+    screen = screen_pattern(_c("edge_mean"), _c("edge_spread"))
     return metrics.withColumns({
-        "liveness_model": clamp(_c("blockiness") * 0.34 + _c("border_score") * 0.28 + _c("glare_ratio") * 1.1 * 0.18 + _c("saturation") * 0.9 * 0.1 + contrast_risk * 0.06 + structure * 0.04),
+        "liveness_model": clamp(_c("blockiness") * 0.34 + screen * 0.28 + _c("glare_ratio") * 1.1 * 0.18 + _c("saturation") * 0.9 * 0.1 + contrast_risk * 0.06 + structure * 0.04),
+        "liveness_confidence": clamp(F.least(_c("pixels") / 3_000_000, F.lit(0.32)) + 0.58),
         "tamper_model": clamp(_c("ela_score") * 0.55 + _c("blockiness") * 0.24 + _c("saturation") * 0.11 + weak * 0.1),
+        "tamper_confidence": clamp(F.least(_c("pixels") / 3_400_000, F.lit(0.35)) + 0.52),
     })
 
 

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealmark.functions.scalars import mask_document_number
+from sealmark.functions.scalars import blind_index, mask_document_number
+from sealmark.operators import audit
 from sealmark.operators.components import connected_components
 from sealmark.scratch import written
 
@@ -47,6 +48,18 @@ def attempt_page(attempts: DataFrame, decision: str | None = None, user_id: str
     return attempts.orderBy(F.desc("updated_at"), "session_id").offset(max(0, offset)).limit(max(1, min(200, limit)))
 
 
+def attempt_page_after(attempts: DataFrame, last: tuple | None = None, decision: str | None = None, user_id: str | None = None, limit: int = 50) -> DataFrame:
+    """The page after `last`, the (updated_at, session_id) of the row where the page before it ended; without it the first.
+
+    The order is that of attempt_page. However deep the page, only its rows are sorted out: the time of `last` is a
+    plain comparison, which reaches the scan, so files and row groups of newer attempts aren't read.
+    """
+    if last is not None:
+        at, session = F.lit(last[0]).cast(attempts.schema["updated_at"].dataType), F.lit(last[1])
+        attempts = attempts.where((F.col("updated_at") <= at) & ((F.col("updated_at") < at) | (F.col("session_id") > session)))
+    return attempt_page(attempts, decision, user_id, limit)
+
+
 def decision_summary(attempts: DataFrame) -> DataFrame:
     """One row: a count per decision, 0 where there is none, and the total."""
     return attempts.agg(*(F.count_if(F.col("decision") == d).alias(d) for d in DECISIONS), F.count("*").alias("total"))
@@ -123,29 +136,71 @@ def manifest_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn", "source_rank", "pos").orderBy("path")
 
 
-def enrol(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def admin_overview(attempts: DataFrame, profiles: DataFrame, log: DataFrame, profile_days: int, attempt_days: int, key: bytes | None = None, log_enabled: bool = True) -> DataFrame:
+    """One row: attempts per decision, enrolled faces, whether every chain of the audit log holds and how many entries
+    they have, and the settings. log: chain, seq, canonical, prev_hash, entry_hash."""
+    faces = profiles.agg(F.count_if("active").alias("enrolled_face_ids"))
+    chains = audit.verify(log, key).agg(F.coalesce(F.bool_and("is_ok"), F.lit(True)).alias("audit_chain_ok"), F.coalesce(F.sum("entries"), F.lit(0)).alias("audit_entries"))
+    row = decision_summary(attempts).crossJoin(faces).crossJoin(chains)  # one row each
+    return row.withColumns({"audit_log_enabled": F.lit(log_enabled), "profile_retention_days": F.lit(profile_days), "attempt_retention_days": F.lit(attempt_days)})
+
+
+def subject_export(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """What the owner of a face gets: request_id, verified, reason_codes, match_score, profile (a struct, as stored).
+
+    requests: request_id, reasons (of the login burst, in order), face_id (of the match, null below its threshold),
+    score. A request with reasons isn't matched: no score and no profile. One without that meets no active profile
+    gets NO_MATCH. Nothing of a profile is masked: it is its owner's.
+    """
+    own = profiles.where("active").select(F.col("face_id").alias("own_face"), F.struct(*profiles.columns).alias("profile"))
+    free = F.size(F.coalesce("reasons", F.array().cast("array<string>"))) == 0
+    rows = requests.withColumn("asked_face", F.when(free, F.col("face_id")))
+    rows = rows.join(own, F.col("asked_face") == F.col("own_face"), "left")
+    reasons = F.when(~free, F.col("reasons")).when(F.col("own_face").isNull(), F.array(F.lit("NO_MATCH"))).otherwise(F.array().cast("array<string>"))
+    score = F.when(free, F.round(F.coalesce("score", F.lit(0.0)), 2)).otherwise(0.0)
+    return rows.select("request_id", F.col("own_face").isNotNull().alias("verified"), reasons.alias("reason_codes"), score.alias("match_score"), "profile")
+
+
+KEPT_OF_PROFILE = ("face_id", "user_id", "passport", "session_id", "active", "enrolled_at", "consent_version", "consented_at")
+
+
+def enrol(stored: DataFrame, batch: DataFrame, index_key: bytes | None = None, consent_version: str | None = None) -> DataFrame:
     """The profile table after a batch of enrolments, in order of seq, with the outcome of each.
 
-    Both have user_id, passport_number, session_id; stored also face_id and active; batch also seq, decision and
-    has_template. Enrolments that don't pass or lack a template are ignored. A passport that is active under
-    another user is a conflict and writes nothing; else the row of the same user, passport or session is updated
-    and keeps its face_id. Rows (stored or new) that share a user, a passport or a session with each other form
-    components; a component's rows stream through one task in order, which holds its live rows alone.
-    Returns face_id, user_id, passport_number, session_id, active, outcome (stored, enrolled, updated, conflict).
+    Both have user_id, passport_number, session_id; stored also face_id, active and, if it has them, enrolled_at,
+    consent_version, consented_at; batch also seq, decision, has_template and, if it has them, enrolled_at,
+    document_number and id_number, which stand in for a missing passport_number. Enrolments that don't pass or lack
+    a template are ignored. With index_key numbers are looked up by their keyed index: stored has it as
+    passport_index, in place of the number, and so has the result.
+
+    A number active under another user is a conflict. Else the active row of the same user, or of the same number, or
+    any row of the same session is updated and keeps its face_id; without one a new face is enrolled. Other rows of
+    the user and of the number go, active or not. When another row still has the session, that is a conflict too. A
+    conflict writes nothing. An enrolment is stamped with its time and consent_version.
+
+    Rows (stored or new) that share a user, a number or a session with each other form components; a component's
+    rows stream through one task in order, which holds its live rows alone. Returns face_id, user_id,
+    passport_number (passport_index), session_id, active, outcome (stored, enrolled, updated, conflict), enrolled_at,
+    consent_version, consented_at.
     """
-    cols = ["user_id", "passport_number", "session_id"]
-    new = batch.where("decision = 'passed' and has_template")
-    rows = stored.select(F.lit(-1).cast("long").alias("seq"), "face_id", *cols, "active").unionByName(
-        new.select("seq", F.concat(F.lit("n"), F.col("seq").cast("string")).alias("face_id"), *cols, F.lit(True).alias("active"))
+    number = "passport_number" if index_key is None else "passport_index"
+    keys = ["user_id", "passport", "session_id"]
+    at = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+    given = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("passport_number", "document_number", "id_number") if c in batch.columns))
+    new = batch.where("decision = 'passed' and has_template").select(
+        "seq", F.concat(F.lit("n"), F.col("seq").cast("string")).alias("face_id"), F.trim("user_id").alias("user_id"), (given if index_key is None else blind_index(given, index_key)).alias("passport"),
+        "session_id", F.lit(True).alias("active"), at(batch, "enrolled_at", "timestamp"), F.lit(consent_version).cast("string").alias("consent_version"), at(batch, "enrolled_at", "timestamp").alias("consented_at"),
+    )
+    old = stored.select(
+        F.lit(-1).cast("long").alias("seq"), "face_id", "user_id", F.col(number).alias("passport"), "session_id", "active",
+        at(stored, "enrolled_at", "timestamp"), at(stored, "consent_version", "string"), at(stored, "consented_at", "timestamp"),
     )
-    rows = written(rows.withColumn("node", F.xxhash64("seq", "face_id")), "enrol")
-    keys = rows.select("node", F.explode(F.array(*(F.concat(F.lit(f"{c}:"), F.col(c)) for c in cols))).alias("key")).where("key is not null")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"))
-    links = keys.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    rows = written(old.unionByName(new).withColumn("node", F.xxhash64("seq", "face_id")), "enrol")
+    held = rows.select("node", F.explode(F.array(*(F.concat(F.lit(f"{c}:"), F.col(c)) for c in keys))).alias("key")).where("key is not null")
+    hubs = held.groupBy("key").agg(F.min("node").alias("hub"))
+    links = held.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     rows = rows.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    schema = "face_id string, user_id string, passport_number string, session_id string, active boolean, outcome string"
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table = None, _Profiles()
         for batch in batches:
@@ -160,18 +215,20 @@ def enrol(stored: DataFrame, batch: DataFrame) -> DataFrame:
             yield _profile_batch(done)
         yield _profile_batch(table.rows())
 
-    ordered = rows.select("component", "seq", "face_id", *cols, "active").repartition("component").sortWithinPartitions("component", "seq", "face_id")
-    return ordered.mapInArrow(fold, schema)
+    ordered = rows.select("component", "seq", *KEPT_OF_PROFILE).repartition("component").sortWithinPartitions("component", "seq", "face_id")
+    out = ordered.mapInArrow(fold, "face_id string, user_id string, passport string, session_id string, active boolean, enrolled_at timestamp, consent_version string, consented_at timestamp, outcome string")
+    return out.select("face_id", "user_id", F.col("passport").alias(number), "session_id", "active", "outcome", "enrolled_at", "consent_version", "consented_at")
 
 
 def _profile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 4 + [pa.bool_(), pa.string()]
-    columns = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["face_id", "user_id", "passport_number", "session_id", "active", "outcome"])
+    time = pa.timestamp("us", "UTC")
+    kinds = [*[pa.string()] * 4, pa.bool_(), time, pa.string(), time, pa.string()]
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*KEPT_OF_PROFILE, "outcome"])
 
 
 class _Profiles:
-    """The live rows of a component, found by user, passport or session. A row: face_id, user, passport, session, active, outcome."""
+    """The live rows of a component, found by user, passport or session. A row: KEPT_OF_PROFILE and its outcome."""
 
     def __init__(self):
         self.live: dict[int, tuple] = {}
@@ -190,19 +247,25 @@ class _Profiles:
             if row[k + 1] is not None:
                 self.by[k][row[k + 1]].pop(nr)
 
-    def take(self, stored: bool, face, user, passport, session, active) -> tuple | None:
+    def take(self, stored: bool, face, *rest) -> tuple | None:
         """Add a stored row or enrol a new one; a conflict is given back."""
-        values, outcome = (user, passport, session), "stored"
+        values, outcome = rest[:3], "stored"
         if not stored:
-            if any(self.live[i][4] and self.live[i][1] != user for i in self._holders(1, passport)):
-                return face, *values, True, "conflict"
-            same = next((min(found) for k, v in enumerate(values) if (found := self._holders(k, v))), None)
+            user, passport, session = (self._holders(k, v) for k, v in enumerate(values))
+            active = lambda found: [i for i in found if self.live[i][4]]
+            mine, document = active(user), active(passport)
+            if any(self.live[i][1] != values[0] for i in document):
+                return face, *rest, "conflict"
+            same = next((min(found) for found in (mine, document, session) if found), None)
+            gone = {*user, *passport, *([] if same is None else [same])}
+            if any(i not in gone for i in session):
+                return face, *rest, "conflict"
             outcome = "enrolled"
             if same is not None:
                 face, outcome = self.live[same][0], "updated"
-            for i in {*self._holders(0, user), *self._holders(1, passport), *([] if same is None else [same])}:
+            for i in gone:
                 self._drop(i)
-        self.live[self.n] = (face, *values, active, outcome)
+        self.live[self.n] = (face, *rest, outcome)
         for k, v in enumerate(values):
             if v is not None:
                 self.by[k].setdefault(v, {})[self.n] = True

@@ -98,14 +98,17 @@ CHALLENGES = ("one", "peace", "three", "four", "stop", "fist", "ok", "thumb_up",
 
 def d10_gestures(spark, sf):
     challenge = F.element_at(F.array(*map(F.lit, CHALLENGES)), (F.col("event_id") % len(CHALLENGES) + 1).cast("int"))
-    return bursts.gestures(_hands(spark, sf)).select("event_id", "finger_count", "gesture", bursts.gesture_matches(challenge).alias("matches"))
+    k = F.col("event_id")
+    inside = bursts.inside_target("landmarks", k % 100, k * 3 % 100, k % 80)
+    return bursts.gestures(_hands(spark, sf)).select("event_id", "finger_count", "gesture", bursts.gesture_matches(challenge).alias("matches"), inside.alias("inside"))
 
 
 def d11_face_actions(spark, sf):
     e = table(spark, sf, "events").select("event_id")
     point = lambda i: F.struct((F.pmod(F.col("event_id") * (i % 13 + 3) + i, F.lit(101)) / 100.0).alias("x"), (F.pmod(F.col("event_id") * (i % 11 + 5) + i, F.lit(97)) / 100.0).alias("y"))
     faces = e.withColumn("landmarks", F.transform(F.sequence(F.lit(0), F.lit(467)), point))
-    return bursts.face_actions(faces).select("event_id", F.round("eye_ratio", 6).alias("eye_ratio"), F.round("mouth_ratio", 6).alias("mouth_ratio"), F.round("yaw", 6).alias("yaw"), "blink", "mouth_open", "turn_left", "turn_right")
+    challenge = F.element_at(F.array(*map(F.lit, ("blink", "open_mouth", "turn_left", "turn_right", "nod"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return bursts.face_actions(faces).withColumn("matches", bursts.action_matches(challenge)).select("matches", "event_id", F.round("eye_ratio", 6).alias("eye_ratio"), F.round("mouth_ratio", 6).alias("mouth_ratio"), F.round("yaw", 6).alias("yaw"), "blink", "mouth_open", "turn_left", "turn_right")
 
 
 def d12_held_challenge(spark, sf):
@@ -166,10 +169,11 @@ _EYE = "{} / greatest({}, 0.001::DOUBLE)"
 SQL = {
     "d9_login_burst": oracle(USERS.format(3) + ", " + login_sql("b", "session_id") + " SELECT session AS session_id, array_to_string(reasons, '|') AS reasons, frame_idx FROM login", "frames"),
     "d10_gestures": GESTURES + """SELECT event_id, n AS finger_count, g AS gesture, CASE c WHEN 'one' THEN n = 1 WHEN 'peace' THEN n = 2 WHEN 'three' THEN n = 3 WHEN 'four' THEN n = 4 WHEN 'stop' THEN n >= 4 WHEN 'fist' THEN n = 0 OR g = 'fist' WHEN 'ok' THEN g = 'ok'
- WHEN 'thumb_up' THEN g = c OR (f0 AND n <= 1) WHEN 'rock_on' THEN g IN ('rock_on', 'i_love_you') OR (f1 AND f4) WHEN 'call_me' THEN g = 'call_me' OR (f0 AND f4) WHEN 'l_shape' THEN g = 'l_shape' OR (f0 AND f1 AND NOT f2 AND NOT f3 AND NOT f4) ELSE g = c END AS matches FROM g""",
+ WHEN 'thumb_up' THEN g = c OR (f0 AND n <= 1) WHEN 'rock_on' THEN g IN ('rock_on', 'i_love_you') OR (f1 AND f4) WHEN 'call_me' THEN g = 'call_me' OR (f0 AND f4) WHEN 'l_shape' THEN g = 'l_shape' OR (f0 AND f1 AND NOT f2 AND NOT f3 AND NOT f4) ELSE g = c END AS matches,
+ sqrt(pow(list_sum([(event_id * (i * 7 + 3) % 101) / 100.0::DOUBLE for i in range(21)]) / 21 - (event_id % 100) / 100.0::DOUBLE, 2) + pow(list_sum([(event_id * (i * 5 + 11) % 97) / 100.0::DOUBLE for i in range(21)]) / 21 - (event_id * 3 % 100) / 100.0::DOUBLE, 2)) <= (event_id % 80) / 200.0::DOUBLE AS inside FROM g""",
     "d11_face_actions": f"""WITH p AS (SELECT event_id, {_points("event_id * ({i} % 13 + 3) + {i}", "event_id * ({i} % 11 + 5) + {i}", (1, 13, 14, 33, 61, 133, 145, 159, 234, 263, 291, 362, 374, 386, 454))} FROM events),
  m AS (SELECT event_id, ({_EYE.format(_apart(159, 145), _apart(33, 133))} + {_EYE.format(_apart(386, 374), _apart(362, 263))}) / 2 AS e, {_EYE.format(_apart(13, 14), _apart(61, 291))} AS o, (x1 - (x234 + x454) / 2) / greatest({_apart(234, 454)}, 0.001::DOUBLE) AS w FROM p)
- SELECT event_id, round(e, 6) AS eye_ratio, round(o, 6) AS mouth_ratio, round(w, 6) AS yaw, e < 0.18::DOUBLE AS blink, o > 0.23::DOUBLE AS mouth_open, w < -0.05::DOUBLE AS turn_left, w > 0.05::DOUBLE AS turn_right FROM m""",
+ SELECT event_id, [e < 0.18::DOUBLE, o > 0.23::DOUBLE, w < -0.05::DOUBLE, w > 0.05::DOUBLE, false][event_id % 5 + 1] AS matches, round(e, 6) AS eye_ratio, round(o, 6) AS mouth_ratio, round(w, 6) AS yaw, e < 0.18::DOUBLE AS blink, o > 0.23::DOUBLE AS mouth_open, w < -0.05::DOUBLE AS turn_left, w > 0.05::DOUBLE AS turn_right FROM m""",
     "d1_frame_cap": oracle("SELECT session_id, idx, event_id FROM frames WHERE idx < 3", "frames"),
     "d2_representative_frame": oracle(V + "SELECT session_id, best AS idx, round(best_quality, 4) AS quality, round(best_risk, 4) AS risk FROM v", "frames"),
     "d3_burst_votes": oracle(V + "SELECT session_id, n, display_like, held, small_faces, voters, model_high, model_very, round(display_ratio, 6) AS display_ratio, round(held_ratio, 6) AS held_ratio, round(top_model, 6) AS top_model, model_recurring, too_bright FROM v", "frames"),
@@ -185,7 +189,7 @@ SQL = {
   round(risk, 2) AS risk, NOT high AND risk <= 0.5::DOUBLE AND best_match >= 0.68::DOUBLE AS passed FROM r""", "frames"),
     "d6_active_liveness": oracle(USERS.format(6) + """, a AS (SELECT session_id, arg_max(idx, (face_confidence, -idx)) AS idx, max(face_confidence) AS conf, count(*) AS n, count(*) FILTER (has_face) AS usable, max(face_count) AS faces, count(*) FILTER (face_width < 0.22::DOUBLE) AS small, max(risk) AS top_risk, avg(risk) AS mean_risk,
  bool_or(screen_frame >= 0.62::DOUBLE OR paper_photo >= 0.56::DOUBLE OR (risk >= 0.5::DOUBLE AND screen_frame >= 0.42::DOUBLE) OR (risk >= 0.5::DOUBLE AND paper_photo >= 0.38::DOUBLE) OR (risk >= 0.55::DOUBLE AND display_surface >= 0.58::DOUBLE AND screen_frame >= 0.28::DOUBLE)
-  OR (risk >= 0.62::DOUBLE AND model_risk >= 0.82::DOUBLE AND heuristic_risk >= 0.24::DOUBLE AND (screen_frame >= 0.28::DOUBLE OR paper_photo >= 0.24::DOUBLE OR (display_surface >= 0.62::DOUBLE AND screen_frame >= 0.22::DOUBLE)))) AS rep,
+  OR (risk >= 0.82::DOUBLE AND model_risk >= 0.82::DOUBLE AND heuristic_risk >= 0.24::DOUBLE AND (screen_frame >= 0.28::DOUBLE OR paper_photo >= 0.24::DOUBLE OR (display_surface >= 0.62::DOUBLE AND screen_frame >= 0.22::DOUBLE)))) AS rep,
  count(*) FILTER (screen_frame >= 0.45::DOUBLE OR (display_surface >= 0.58::DOUBLE AND screen_frame >= 0.28::DOUBLE) OR (display_surface >= 0.62::DOUBLE AND screen_frame >= 0.22::DOUBLE AND model_risk >= 0.82::DOUBLE AND heuristic_risk >= 0.3::DOUBLE)) AS disp FROM b GROUP BY session_id)
  SELECT session_id, idx, concat_ws('|', CASE WHEN usable = 0 THEN 'ACTIVE_LIVENESS_FACE_NOT_FOUND' END, CASE WHEN conf < 0.82::DOUBLE THEN 'ACTIVE_LIVENESS_FACE_CONFIDENCE_LOW' END, CASE WHEN faces > 1 THEN 'ACTIVE_LIVENESS_MULTIPLE_FACES' END, CASE WHEN small * 2 > n THEN 'ACTIVE_LIVENESS_FACE_TOO_SMALL' END, CASE WHEN rep OR (n >= 3 AND disp / n >= 0.67::DOUBLE) THEN 'ACTIVE_LIVENESS_REPLAY_DETECTED' END) AS codes,
  round(top_risk, 6) AS top_risk, round(mean_risk, 6) AS mean_risk, NOT (usable = 0 OR conf < 0.82::DOUBLE OR faces > 1 OR small * 2 > n OR rep OR (n >= 3 AND disp / n >= 0.67::DOUBLE)) AS passed FROM a""", "frames"),

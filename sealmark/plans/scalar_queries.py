@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sealmark.functions import scalars
-from sealmark.operators import stores
+from sealmark.operators import datasets, stores
 from sealmark.plans.bindings import bind, oracle, table
 
 
@@ -66,14 +66,17 @@ def b13_attack_class(spark, sf):
 
 
 def b14_document_type(spark, sf):
-    path = F.translate(F.lower("url"), "-/", "__")
-    kind = F.when(path.contains("fr"), "passport").when(path.contains("de"), "id_card").when(path.contains("es"), "licence").otherwise("other")
-    return table(spark, sf, "pages").where(~F.lower("url").rlike("annot|label|mask|ref=x")).select("page_id", kind.alias("kind"))
+    """A path for every page: known and unknown types, in either case, annotations and other files among them."""
+    k = F.col("page_id")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    path = F.concat(F.lit("set/"), pick(("aze_passport", "GRC-Passport", "lva-passport", "SRB_passport", "esp_id", "mask_grc_passport"), k), F.lit("/"), pick(("scan", "photo", "x_Mask", "GroundTruth", "segments", "page"), F.floor(k / 6)), k.cast("string"), pick((".jpg", ".TIFF", ".json", ".png"), F.floor(k / 36)))
+    return datasets.document_images(table(spark, sf, "pages").select("page_id", path.alias("path"))).select("page_id", "document_type")
 
 
 def b15_sample_frames(spark, sf):
-    n = (F.col("doc_id") % 7).cast("int")
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws(",", scalars.sample_frames(F.col("n_chars") - 200, n).cast("array<string>")).alias("frames"))
+    n, count = (F.col("doc_id") % 7).cast("int"), F.col("n_chars") - 200
+    text = lambda a: F.concat_ws(",", a.cast("array<string>"))
+    return table(spark, sf, "documents").select("doc_id", text(scalars.sample_frames(count, n)).alias("frames"), text(scalars.even_frames(count % 40, n)).alias("even"))
 
 
 def b18_name_tokens(spark, sf):
@@ -106,8 +109,8 @@ SQL = {
     "b11_consent_versions": oracle("SELECT consent_version, count(*) AS n FROM profiles GROUP BY consent_version", "profiles"),
     "b12_number_checks": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE regexp_extract(props, '([0-9]+)', 1)::DOUBLE END AS plain, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE regexp_extract(props, '([0-9]+)', 1)::DOUBLE END AS strict FROM events",
     "b13_attack_class": "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'spoof_unknown' ELSE CASE page_id % 6 WHEN 0 THEN 'spoof_screen_replay' WHEN 1 THEN 'spoof_print_paper' WHEN 3 THEN 'spoof_unknown' ELSE 'spoof_mask_cutout' END END AS attack FROM pages",
-    "b14_document_type": "SELECT page_id, CASE WHEN contains(p, 'fr') THEN 'passport' WHEN contains(p, 'de') THEN 'id_card' WHEN contains(p, 'es') THEN 'licence' ELSE 'other' END AS kind FROM (SELECT page_id, url, translate(lower(url), '-/', '__') AS p FROM pages) WHERE NOT regexp_matches(lower(url), 'annot|label|mask|ref=x')",
-    "b15_sample_frames": "WITH f AS (SELECT doc_id, (n_chars - 200) AS c, doc_id % 7 AS n FROM documents) SELECT doc_id, CASE WHEN c <= 0 THEN '0' WHEN n <= 1 THEN floor(c * 0.5::DOUBLE)::BIGINT::VARCHAR ELSE array_to_string([floor(c * (0.2::DOUBLE + i * 0.6::DOUBLE / (n - 1)))::BIGINT for i in range(n)], ',') END AS frames FROM f",
+    "b14_document_type": "SELECT page_id, ['aze_passport', 'grc_passport', 'lva_passport', 'srb_passport', NULL, 'grc_passport'][page_id % 6 + 1] AS document_type FROM pages WHERE page_id % 6 <> 4 AND page_id // 6 % 6 IN (0, 1, 5) AND page_id // 36 % 4 <> 2",
+    "b15_sample_frames": "WITH f AS (SELECT doc_id, (n_chars - 200) AS c, doc_id % 7 AS n FROM documents) SELECT doc_id, CASE WHEN c <= 0 THEN '0' WHEN n <= 1 THEN floor(c * 0.5::DOUBLE)::BIGINT::VARCHAR ELSE array_to_string([floor(c * (0.2::DOUBLE + i * 0.6::DOUBLE / (n - 1)))::BIGINT for i in range(n)], ',') END AS frames, CASE WHEN c % 40 > 0 THEN array_to_string(list_sort(list_distinct([(c % 40) * r // (n + 1) for r in range(1, n + 1)])), ',') ELSE '' END AS even FROM f",
     "b18_name_tokens": r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(upper(regexp_replace(regexp_replace(string_split(text, '/')[-1], '\([^)]*\)', ' ', 'g'), '[^A-Za-z<]', ' ', 'g')), ' '), lambda x: x <> ''))), ' ') AS tokens FROM documents""",
     "b19_loose_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_orderdate::DATE END AS parsed FROM orders",
     "b20_lighting": "WITH l AS (SELECT event_id, [((event_id * (i + 7)) % (event_id % 90 + 10)) / 100.0::DOUBLE + CASE WHEN event_id % 4 = 0 THEN 0.6::DOUBLE ELSE 0 END for i in range(16)] AS l FROM events), m AS (SELECT event_id, list_sum(l) / 16 AS mean, sqrt(greatest(list_sum([x * x for x in l]) / 16 - (list_sum(l) / 16) ** 2, 0)) AS sd, len([x for x in l if x > 0.92::DOUBLE]) / 16 AS hi, len([x for x in l if x < 0.08::DOUBLE]) / 16 AS lo FROM l) SELECT event_id, CASE WHEN mean < 0.2::DOUBLE OR lo > 0.42::DOUBLE THEN 'dark' WHEN mean > 0.82::DOUBLE OR hi > 0.36::DOUBLE THEN 'bright' WHEN sd < 0.09::DOUBLE THEN 'flat' ELSE 'good' END AS status FROM m",

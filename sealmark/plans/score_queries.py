@@ -56,7 +56,10 @@ def _scored(spark, sf):
 
 
 def c6_model_adapters(spark, sf):
-    return scoring.adapter_scores(_scored(spark, sf)).select("doc_id", F.round("liveness_model", 6).alias("liveness"), F.round("tamper_model", 6).alias("tamper"))
+    k = F.col("doc_id")
+    rows = _scored(spark, sf).withColumns({"edge_mean": (k * 53 % 200).cast("double"), "edge_spread": (k * 59 % 140).cast("double")})
+    places = {"liveness_model": 6, "liveness_confidence": 9, "tamper_model": 6, "tamper_confidence": 9}
+    return scoring.adapter_scores(rows).select("doc_id", *(F.round(c, n).alias(c) for c, n in places.items()))
 
 
 def c6_portrait(spark, sf):
@@ -218,7 +221,9 @@ SQL = {
     "c3_forensic_risk": oracle(SCORED + f"SELECT doc_id, round(rec, 6) AS recapture, round(tam, 6) AS tamper, {_codes([('rec >= 0.62::DOUBLE', 'RECAPTURE_RISK_HIGH'), ('rec >= 0.44::DOUBLE', 'RECAPTURE_RISK_MEDIUM')], [('tam >= 0.64::DOUBLE', 'TAMPER_RISK_HIGH'), ('tam >= 0.46::DOUBLE', 'TAMPER_RISK_MEDIUM')])} AS codes FROM sc", "metrics"),
     "c4_model_ensemble": oracle("--with " + ENSEMBLE + "SELECT doc_id, round(recapture, 6) AS recapture, round(tamper, 6) AS tamper, round(fraud, 6) AS fraud, round(confidence, 6) AS confidence FROM ens", "findings"),
     "c5_model_signals": oracle("--with " + ENSEMBLE + f"SELECT doc_id, {M_CODES} AS codes FROM ens", "findings"),
-    "c6_model_adapters": oracle(SCORED + f"SELECT doc_id, round({_clamp('blockiness * 0.34::DOUBLE + border_score * 0.28::DOUBLE + glare_ratio * 1.1::DOUBLE * 0.18::DOUBLE + saturation * 0.9::DOUBLE * 0.1::DOUBLE + ' + _clamp('(26 - contrast) / 26') + ' * 0.06::DOUBLE + ' + _clamp('(0.55::DOUBLE - likeness) / 0.55::DOUBLE') + ' * 0.04::DOUBLE')}, 6) AS liveness, round({_clamp('ela_score * 0.55::DOUBLE + blockiness * 0.24::DOUBLE + saturation * 0.11::DOUBLE + ' + _clamp('(0.55::DOUBLE - least(likeness, quality)) / 0.55::DOUBLE') + ' * 0.1::DOUBLE')}, 6) AS tamper FROM sc", "metrics"),
+    "c6_model_adapters": oracle(SCORED + f"""SELECT doc_id, round({_clamp('blockiness * 0.34::DOUBLE + ' + _clamp('(doc_id * 53 % 200)::DOUBLE / 255 * 0.55::DOUBLE + (doc_id * 59 % 140)::DOUBLE / 128 * 0.45::DOUBLE') + ' * 0.28::DOUBLE + glare_ratio * 1.1::DOUBLE * 0.18::DOUBLE + saturation * 0.9::DOUBLE * 0.1::DOUBLE + ' + _clamp('(26 - contrast) / 26') + ' * 0.06::DOUBLE + ' + _clamp('(0.55::DOUBLE - likeness) / 0.55::DOUBLE') + ' * 0.04::DOUBLE')}, 6) AS liveness_model,
+ round(least(1.0::DOUBLE, 0.58::DOUBLE + least(pixels / 3000000.0::DOUBLE, 0.32::DOUBLE)), 9) AS liveness_confidence,
+ round({_clamp('ela_score * 0.55::DOUBLE + blockiness * 0.24::DOUBLE + saturation * 0.11::DOUBLE + ' + _clamp('(0.55::DOUBLE - least(likeness, quality)) / 0.55::DOUBLE') + ' * 0.1::DOUBLE')}, 6) AS tamper_model, round(least(1.0::DOUBLE, 0.52::DOUBLE + least(pixels / 3400000.0::DOUBLE, 0.35::DOUBLE)), 9) AS tamper_confidence FROM sc""", "metrics"),
     "c6_portrait": f"""WITH m AS (SELECT o_orderkey AS doc_id, o_orderkey * 7 % 80 AS pc, o_orderkey * 11 % 61 / 10.0::DOUBLE AS pn, o_orderkey * 17 % 160 AS ps, o_orderkey * 23 % 50 / 100.0::DOUBLE AS pd, o_orderkey * 31 % 70 / 100.0::DOUBLE AS skin,
  o_orderkey * 13 % 80 AS bc, o_orderkey * 17 % 61 / 10.0::DOUBLE AS bn, o_orderkey * 23 % 160 AS bs, o_orderkey * 29 % 50 / 100.0::DOUBLE AS bd, o_orderkey % 6 <> 0 AS passport, o_orderkey % 3 = 0 AS valid, o_orderkey * 7919 % 1200000 AS pixels FROM orders),
  r AS (SELECT *, pn / greatest(bn, 0.1::DOUBLE) AS noise, abs(ps - bs)::DOUBLE AS gap FROM m),

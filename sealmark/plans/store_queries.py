@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealmark.functions.scalars import mask_document_number
-from sealmark.operators import stores
+from sealmark.functions.scalars import blind_index
+from sealmark.operators import audit, datasets, stores
 from sealmark.plans.bindings import bind, oracle, table
 
 AS_OF = "2024-01-30"
@@ -63,15 +63,20 @@ def e8_active_profiles(spark, sf):
     return bind(spark, sf, "profiles").where("active").select("face_id", "user_id", "nationality")
 
 
+INDEX_KEY = b"index-key"
+
+
 def e9_enrolment(spark, sf):
+    """Every second customer is enrolled, by the keyed index of its number; the others come in a batch, and each tenth anew with another number."""
     people = bind(spark, sf, "profiles")
-    row = people.select("face_id", "user_id", "passport_number", F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("session_id"), "active", "c_custkey")
-    stored = row.where("c_custkey % 2 = 0").drop("c_custkey")
+    row = people.select("face_id", "user_id", "passport_number", F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("session_id"), "active", "c_custkey", "enrolled_at", "consent_version")
+    stored = row.where("c_custkey % 2 = 0").withColumn("passport_index", blind_index(F.col("passport_number"), INDEX_KEY)).drop("c_custkey", "passport_number")
+    k = F.col("c_custkey")
     batch = row.where("c_custkey % 2 = 1 or c_custkey % 10 = 0").select(
-        F.col("c_custkey").alias("seq"), "user_id", F.when(F.col("c_custkey") % 10 == 0, F.concat("passport_number", F.lit("X"))).otherwise(F.col("passport_number")).alias("passport_number"),
-        "session_id", F.when(F.col("c_custkey") % 13 == 0, "pending").otherwise("passed").alias("decision"), (F.col("c_custkey") % 17 != 0).alias("has_template"),
+        k.alias("seq"), "user_id", F.when(k % 10 == 0, F.concat("passport_number", F.lit("X"))).when(k % 4 != 1, F.col("passport_number")).alias("passport_number"), F.when(k % 4 == 1, F.col("passport_number")).alias("id_number"),
+        "session_id", F.when(k % 13 == 0, "pending").otherwise("passed").alias("decision"), (k % 17 != 0).alias("has_template"), F.lit("2024-01-30").cast("timestamp").alias("enrolled_at"),
     )
-    return stores.enrol(stored, batch)
+    return stores.enrol(stored, batch, INDEX_KEY, "v9").drop("enrolled_at", "consented_at")
 
 
 def e10_shared_documents(spark, sf):
@@ -88,16 +93,21 @@ def e11_mark_login(spark, sf):
 
 
 def e12_admin_overview(spark, sf):
-    active = bind(spark, sf, "profiles").agg(F.count_if("active").alias("active_profiles"))
-    events = table(spark, sf, "events").agg(F.count("*").alias("audit_entries"))
-    return stores.decision_summary(_attempts(spark, sf)).crossJoin(active).crossJoin(events).withColumn("retention_days", F.lit(365))
+    """Sixteen chains of audit entries, one of which an entry was taken out of."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 16).alias("chain"), F.concat_ws("|", "event_id", "event_type", "props").alias("canonical"))
+    log = audit.append(e).where("seq <> 9001")
+    return stores.admin_overview(_attempts(spark, sf), bind(spark, sf, "profiles"), log, profile_days=365, attempt_days=90)
 
 
 def e13_subject_export(spark, sf):
-    probes = _matches(spark, sf).groupBy("face_id").agg(F.max("at").alias("asked_at"))
-    people = bind(spark, sf, "profiles").where("active")
-    out = probes.join(people, "face_id", "left")
-    return out.select("face_id", "asked_at", F.col("user_id").isNotNull().alias("verified"), F.when(F.col("user_id").isNull(), "NO_MATCH").otherwise("").alias("reason"), "full_name", mask_document_number(F.col("passport_number")).alias("document"))
+    """One request per matched face; every fifth is of a burst with two faces, every seventh matches nobody."""
+    k = F.substring("face_id", 2, 20).cast("long")
+    asks = _matches(spark, sf).groupBy("face_id").agg(F.max("at").alias("at")).select(
+        F.concat("face_id", F.lit("@"), F.col("at").cast("string")).alias("request_id"), F.when(k % 5 == 0, F.array(F.lit("MULTIPLE_FACES"))).alias("reasons"), F.when(k % 7 != 0, F.col("face_id")).alias("face_id"), (k % 1000 / 1000.0).alias("score"),
+    )
+    out = stores.subject_export(asks, bind(spark, sf, "profiles"))
+    kept = ("face_id", "user_id", "full_name", "passport_number", "nationality", "enrolled_at", "last_login_at", "consent_version")
+    return out.select("request_id", "verified", F.concat_ws("|", "reason_codes").alias("reason_codes"), F.round("match_score", 2).alias("match_score"), *(F.col(f"profile.{c}").alias(c) for c in kept))
 
 
 def e14_stratified_cap(spark, sf):
@@ -113,13 +123,27 @@ def e16_resume(spark, sf):
     return stores.resumed(docs, docs.where("doc_id % 3 = 0"), "doc_id", F.least(F.floor(F.col("n_chars") / 500) + 1, F.lit(8)), 400, ["doc_id"])
 
 
+def selfie_paths(spark, sf):
+    """A path for every page: folders of selfies, known and unknown, files of several sets and kinds."""
+    k = F.col("page_id")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    folder = pick(("live_user_provided", "spoof_screen_replay", "spoof_print_paper", "spoof_mask_cutout", "spoof_unknown", "other"), k)
+    name = F.concat(pick(("axon_display_replay_", "mine_", "axon_print_paper", "axon_large_", "Axon_large_"), F.floor(k / 6)), k.cast("string"), pick((".jpg", ".PNG", ".txt", ".bmp", ".webp", ".tiff", ""), F.floor(k / 30)))
+    return table(spark, sf, "pages").select("page_id", F.concat(folder, F.when(k % 11 == 0, "/sub").otherwise(""), F.lit("/"), name).alias("relative"))
+
+
 def e17_source_labels(spark, sf):
-    names = F.col("url")
-    label = F.when(names.rlike(r"//m\."), "mobile").when(names.contains(".net/"), "network").when(names.startswith("http://"), "plain").otherwise("secure")
-    return table(spark, sf, "pages").select("page_id", label.alias("origin"), F.when(names.contains("/fr/"), "spoof").otherwise("live").alias("expected"))
+    return datasets.selfie_labels(selfie_paths(spark, sf))
+
+
+def e2_next_page(spark, sf):
+    """The page after the one of e2, found by that page's last row."""
+    rows = _attempts(spark, sf)
+    last = stores.attempt_page(rows, decision="rejected", limit=50, offset=20).select("updated_at", "session_id").collect()
+    return stores.attempt_page_after(rows, tuple(last[-1]) if last else None, decision="rejected", limit=50)
 
 
-QUERIES = [e1_attempt_upsert, e2_attempt_page, e3_decision_summary, e4_attempt_retention, e5_profile_retention, e6_session_expiry, e7_erasure, e8_active_profiles, e9_enrolment, e10_shared_documents,
+QUERIES = [e1_attempt_upsert, e2_attempt_page, e2_next_page, e3_decision_summary, e4_attempt_retention, e5_profile_retention, e6_session_expiry, e7_erasure, e8_active_profiles, e9_enrolment, e10_shared_documents,
            e11_mark_login, e12_admin_overview, e13_subject_export, e14_stratified_cap, e15_interleave, e16_resume, e17_source_labels]
 
 MASKED = """CASE WHEN {0} IS NULL OR {0} = '' THEN {0} WHEN length(trim({0})) <= 4 THEN repeat('•', length(trim({0})))
@@ -129,6 +153,7 @@ MATCHES = "(SELECT 'f' || o_custkey AS face_id, max(CAST(o_orderdate AS DATE) +
 SQL = {
     "e1_attempt_upsert": oracle(ATTEMPTS + "SELECT * FROM attempts", "steps"),
     "e2_attempt_page": oracle(ATTEMPTS + "SELECT * FROM attempts WHERE decision = 'rejected' ORDER BY updated_at DESC, session_id LIMIT 50 OFFSET 20", "steps"),
+    "e2_next_page": oracle(ATTEMPTS + "SELECT * FROM attempts WHERE decision = 'rejected' ORDER BY updated_at DESC, session_id LIMIT 50 OFFSET 70", "steps"),
     "e3_decision_summary": oracle(ATTEMPTS + "SELECT count(*) FILTER (decision = 'passed') AS passed, count(*) FILTER (decision = 'pending') AS pending, count(*) FILTER (decision = 'rejected') AS rejected, count(*) AS total FROM attempts", "steps"),
     "e4_attempt_retention": oracle(ATTEMPTS + f"SELECT count(*) FILTER (updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY) AS purged, count(*) FILTER (updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY) AS kept FROM attempts", "steps"),
     "e5_profile_retention": oracle("SELECT nationality, count(*) AS kept FROM profiles WHERE coalesce(last_login_at, enrolled_at) >= DATE '2001-01-01' - 365 GROUP BY nationality", "profiles"),
@@ -137,12 +162,20 @@ SQL = {
     "e8_active_profiles": oracle("SELECT face_id, user_id, nationality FROM profiles WHERE active", "profiles"),
     "e10_shared_documents": oracle("SELECT passport_number, count(DISTINCT user_id) AS n_members, min(user_id) AS first_member FROM profiles GROUP BY passport_number HAVING count(DISTINCT user_id) > 1", "profiles"),
     "e11_mark_login": oracle(f"SELECT p.face_id, coalesce(m.at, p.last_login_at) AS last_login_at FROM profiles p LEFT JOIN {MATCHES} m ON m.face_id = p.face_id", "profiles"),
-    "e12_admin_overview": oracle(ATTEMPTS + "SELECT (SELECT count(*) FROM attempts WHERE decision = 'passed') AS passed, (SELECT count(*) FROM attempts WHERE decision = 'pending') AS pending, (SELECT count(*) FROM attempts WHERE decision = 'rejected') AS rejected, (SELECT count(*) FROM attempts) AS total, (SELECT count(*) FROM profiles WHERE active) AS active_profiles, (SELECT count(*) FROM events) AS audit_entries, 365 AS retention_days", "steps", "profiles"),
-    "e13_subject_export": oracle(f"SELECT m.face_id, m.at AS asked_at, p.user_id IS NOT NULL AS verified, CASE WHEN p.user_id IS NULL THEN 'NO_MATCH' ELSE '' END AS reason, p.full_name, {MASKED.format('p.passport_number')} AS document FROM {MATCHES} m LEFT JOIN profiles p ON p.face_id = m.face_id AND p.active", "profiles"),
+    "e12_admin_overview": oracle(ATTEMPTS + "SELECT (SELECT count(*) FROM attempts WHERE decision = 'passed') AS passed, (SELECT count(*) FROM attempts WHERE decision = 'pending') AS pending, (SELECT count(*) FROM attempts WHERE decision = 'rejected') AS rejected, (SELECT count(*) FROM attempts) AS total, (SELECT count(*) FROM profiles WHERE active) AS enrolled_face_ids, (SELECT count(*) = 0 FROM events WHERE event_id = 9001 AND (SELECT max(event_id) FROM events) >= 9017) AS audit_chain_ok, (SELECT count(*) FROM events WHERE event_id <> 9001) AS audit_entries, true AS audit_log_enabled, 365 AS profile_retention_days, 90 AS attempt_retention_days", "steps", "profiles"),
+    "e13_subject_export": oracle(f"""--with q AS (SELECT m.face_id, m.at AS asked, substr(m.face_id, 2)::BIGINT AS k FROM {MATCHES} m),
+ r AS (SELECT q.*, q.k % 5 = 0 AS crowd, p.user_id IS NOT NULL AND q.k % 5 <> 0 AND q.k % 7 <> 0 AS ok, p.* EXCLUDE (face_id) FROM q LEFT JOIN profiles p ON p.face_id = q.face_id AND p.active)
+ SELECT 'f' || k || '@' || asked AS request_id, ok AS verified, CASE WHEN crowd THEN 'MULTIPLE_FACES' WHEN NOT ok THEN 'NO_MATCH' ELSE '' END AS reason_codes, CASE WHEN crowd THEN 0 ELSE round(k % 1000 / 1000.0::DOUBLE, 2) END::DOUBLE AS match_score,
+ {', '.join(f'CASE WHEN ok THEN {c} END AS {c}' for c in ('face_id', 'user_id', 'full_name', 'passport_number', 'nationality', 'enrolled_at', 'last_login_at', 'consent_version'))} FROM r""", "profiles"),
     "e14_stratified_cap": "SELECT doc_id, source, CAST(rank AS INT) AS rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5",
     "e15_interleave": "SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INT) AS round FROM documents",
     "e16_resume": """WITH l AS (SELECT doc_id, n_chars, least(n_chars // 500 + 1, 8) AS wanted FROM documents WHERE doc_id % 3 <> 0),
  b AS (SELECT *, coalesce(sum(wanted) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
  SELECT doc_id, n_chars, CAST(wanted AS BIGINT) AS wanted, CAST(least(wanted, 400 - before) AS BIGINT) AS take FROM b WHERE before < 400""",
-    "e17_source_labels": "SELECT page_id, CASE WHEN regexp_matches(url, '//m\\.') THEN 'mobile' WHEN contains(url, '.net/') THEN 'network' WHEN starts_with(url, 'http://') THEN 'plain' ELSE 'secure' END AS origin, CASE WHEN contains(url, '/fr/') THEN 'spoof' ELSE 'live' END AS expected FROM pages",
+    # what each folder and each beginning of a name stands for
+    "e17_source_labels": """WITH p AS (SELECT page_id, ['live_user_provided', 'spoof_screen_replay', 'spoof_print_paper', 'spoof_mask_cutout', 'spoof_unknown', 'other'][page_id % 6 + 1] AS folder, page_id // 6 % 5 AS n, page_id // 30 % 7 AS e FROM pages)
+SELECT page_id, folder || CASE WHEN page_id % 11 = 0 THEN '/sub' ELSE '' END || '/' || ['axon_display_replay_', 'mine_', 'axon_print_paper', 'axon_large_', 'Axon_large_'][n + 1] || page_id || ['.jpg', '.PNG', '.txt', '.bmp', '.webp', '.tiff', ''][e + 1] AS relative,
+ CASE folder WHEN 'live_user_provided' THEN 'live' ELSE 'spoof' END AS expected,
+ CASE WHEN n = 0 THEN 'screen_replay' WHEN n = 2 THEN 'print_paper_or_cardboard_mask' ELSE MAP {'live_user_provided': 'live_selfie', 'spoof_screen_replay': 'screen_replay', 'spoof_print_paper': 'print_paper_or_cardboard_mask', 'spoof_mask_cutout': 'mask_or_cutout', 'spoof_unknown': 'unknown_spoof'}[folder] END AS attack_type,
+ CASE n WHEN 0 THEN 'AxonData/Display_replay_attacks' WHEN 2 THEN 'AxonData/print-cardboard-mask-face-spoofing' WHEN 3 THEN 'AxonData/face-anti-spoofing-dataset' ELSE 'user_provided' END AS source FROM p WHERE folder <> 'other' AND e NOT IN (2, 5, 6)""",
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sealmark.functions import crypto, scalars
 from sealmark.functions import signals as sg
-from sealmark.operators import audit, bursts, documents, matching, metrics, scoring, throttle, zones
+from sealmark.operators import audit, bursts, matching, metrics, scoring, throttle, zones
 
 SPECIMEN = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
 INVENTED = "P<UTOSAMPLESON<<ALEX<KIM<<<<<<<<<<<<<<<<<<<<\nTS00123450UTO9001158F3506307<<<<<<<<<<<<<<<2"
@@ -191,12 +191,27 @@ def test_zones(spark):
     assert codes[6] == codes[7] == codes[8] == ["MRZ_NOT_READ"] and got[6].zone is None
 
 
-def test_id_cards(spark):
-    texts = ["IDENTITY CARD\nID NO 123456789012\nNAME ANNA SAMPLE\nDATE OF BIRTH 09/11/2001\nEXPIRY 14/03/2032", "NAME X Y\n1234567 9876543210\n1.2.1990 3-4-2020", "EXPIRY 01/01/2020 ID NO 1234567", None]
-    r = documents.read_id_cards(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), dt.date(2024, 6, 1)).orderBy("i").collect()
-    assert (r[0].number, r[0].date_of_birth, r[0].expiry_date, r[0].full_name, r[0].signals) == ("123456789012", dt.date(2001, 11, 9), dt.date(2032, 3, 14), "ANNA SAMPLE", [])
-    assert (r[1].number, r[1].date_of_birth, r[1].expiry_date) == ("9876543210", dt.date(1990, 2, 1), None)
-    assert [s.code for s in r[2].signals] == ["LAO_ID_EXPIRED"] and [s.code for s in r[3].signals][0] == "LAO_ID_NOT_RECOGNIZED"
+def test_adapters_hear_the_screen_pattern(spark):
+    row = (0.5, 0.1, 0.2, 20.0, 0.4, 0.6, 0.3, 600_000, 102.0, 64.0)
+    df = spark.createDataFrame([row, (*row[:7], 9_000_000, 255.0, 255.0)], "blockiness double, glare_ratio double, saturation double, contrast double, likeness_score double, quality_score double, ela_score double, pixels long, edge_mean double, edge_spread double")
+    a, b = scoring.adapter_scores(df.withColumn("border_score", F.lit(9.0))).collect()
+    rest = 0.5 * 0.34 + 0.1 * 1.1 * 0.18 + 0.2 * 0.9 * 0.1 + 6 / 26 * 0.06 + 0.15 / 0.55 * 0.04
+    assert a.liveness_model == pytest.approx(rest + (0.4 * 0.55 + 0.5 * 0.45) * 0.28) and b.liveness_model == pytest.approx(rest + 0.28)
+    assert (a.liveness_confidence, b.liveness_confidence, a.tamper_confidence, b.tamper_confidence) == pytest.approx((0.78, 0.9, 0.52 + 600 / 3400, 0.87))
+    assert a.tamper_model == pytest.approx(0.3 * 0.55 + 0.5 * 0.24 + 0.2 * 0.11 + 0.15 / 0.55 * 0.1)
+
+
+def test_targets_and_actions(spark):
+    hand = [(0.5, 0.5)] * 20 + [(0.5, 0.92)]
+    df = spark.createDataFrame([(hand, 50.0, 50.0, 4.1), (hand, 50.0, 50.0, 3.9)], "landmarks array<struct<x double, y double>>, l double, t double, s double")
+    assert [r[0] for r in df.select(bursts.inside_target("landmarks", F.col("l"), F.col("t"), F.col("s"))).collect()] == [True, False]
+    flags = spark.createDataFrame([(c, True, False, False, True) for c in ("blink", "open_mouth", "turn_left", "turn_right", "nod", None)], "c string, blink boolean, mouth_open boolean, turn_left boolean, turn_right boolean")
+    assert [r[0] for r in flags.select(bursts.action_matches(F.col("c"))).collect()] == [True, False, False, True, False, False]
+
+
+def test_even_frames(spark):
+    df = spark.createDataFrame([(100, 3), (2, 5), (0, 3), (10, 0), (7, 1)], "c int, n int")
+    assert [r[0] for r in df.select(scalars.even_frames(F.col("c"), F.col("n"))).collect()] == [[25, 50, 75], [0, 1], [], [], [3]]
 
 
 def test_identification_over_many_blocks(spark, monkeypatch):
