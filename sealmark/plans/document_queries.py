@@ -58,7 +58,7 @@ def _damaged(spark, sf):
     return _zones(spark, sf).select("c_custkey", l1.alias("line1"), l2.alias("line2"))
 
 
-def _read(spark, sf):
+def damaged_texts(spark, sf):
     k = F.col("c_custkey")
     l1 = F.when(k % 5 == 2, F.concat(F.substring("line1", 1, 30), F.lit("\n"), F.substring("line1", 31, 14))).otherwise(F.col("line1"))
     text = F.when(k % 11 == 0, F.lit("nothing to read here")).otherwise(F.concat(F.lit("PASSPORT\n"), l1, F.lit("\n"), F.col("line2"), F.lit("\n")))
@@ -66,7 +66,7 @@ def _read(spark, sf):
 
 
 def k2_candidate_lines(spark, sf):
-    return _read(spark, sf).select("c_custkey", F.posexplode(zones.candidate_lines(F.col("text"))).alias("nr", "line"))
+    return damaged_texts(spark, sf).select("c_custkey", F.posexplode(zones.candidate_lines(F.col("text"))).alias("nr", "line"))
 
 
 def k4_repaired_lines(spark, sf):
@@ -78,12 +78,12 @@ def k5_names(spark, sf):
 
 
 def k8_mrz_outcome(spark, sf):
-    out = zones.read_passports(_read(spark, sf), F.lit(AS_OF))
+    out = zones.read_passports(damaged_texts(spark, sf), F.lit(AS_OF))
     fields = ("passport_number", "surname", "given_names", "nationality", "sex", "date_of_birth", "expiry_date", "valid")
     return out.select("c_custkey", *(f"zone.{f}" for f in fields), sg.codes(F.col("signals")).alias("codes"), "confidence")
 
 
-def truth_files(spark, sf):
+def truth_files(spark, sf, given="<<KIM<"):
     """Truth files of customers: two in three with zone lines (and printed fields that say otherwise), others printed alone, in two scripts."""
     k = F.col("c_custkey")
     word = F.regexp_replace(F.upper(F.col("c_mktsegment")), "[^A-Z]", "")
@@ -91,7 +91,7 @@ def truth_files(spark, sf):
         F.lit("Passport Number: x 12"), k.cast("string"), F.lit("\nSurname/Family Name: 张 (alias) / "), word, F.lit("-LEE,TAN\nGiven Name/First Name: "), F.when(k % 2 == 0, "").otherwise("An Na"),
         F.lit("\nCountry Code: uto \nDate of Birth: 0"), (k % 9 + 1).cast("string"), F.lit(" Mar / 1990\nGender/Sex: "), F.when(k % 4 == 1, "女 / F").when(k % 4 == 3, "Male").otherwise("?"), F.lit("\nExpired Date: 2031-12-2"), (k % 10).cast("string"), F.lit("\n"),
     )
-    zone = F.concat(F.lit("MRZ Lines:\n P<SHORT \n  "), "line1", F.lit("  \n"), "line2", F.lit("\n"))
+    zone = F.concat(F.lit("MRZ Lines:\n P<SHORT \n  "), F.rpad(F.regexp_replace(F.rtrim("line1", F.lit("<")), "<<KIM<", given), 44, "<"), F.lit("  \n"), "line2", F.lit("\n"))
     z = _zones(spark, sf).join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
     return z.select("c_custkey", F.concat(printed, F.when(k % 3 != 0, zone).otherwise("MRZ Lines:\nP<UTO\n")).alias("text"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealmark.functions.scalars import mask_document_number, name_tokens
+from sealmark.functions.scalars import mask_document_number
 from sealmark.operators import bursts, matching, metrics
 from sealmark.plans.bindings import bind, oracle, table
 from sealmark.plans.burst_queries import login_sql
@@ -112,30 +112,6 @@ def g15_mistakes(spark, sf):
     return _predictions(spark, sf).where("expected <> predicted")
 
 
-def g16_genuine_rates(spark, sf):
-    rows = table(spark, sf, "labels").where("quality = 1")
-    share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    return rows.agg(F.count("*").alias("n"), share(F.col("toxic") == 0).alias("passed_share"), share(F.col("doc_id") % 3 == 0).alias("read_share"), share(F.col("doc_id") % 9 == 0).alias("valid_share"))
-
-
-def _readings(spark, sf):
-    """Parts as labelled documents and readings of them: names lose a word or change their order, other fields are missing."""
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
-    name = F.col("p_name")
-    return p.select(
-        k.alias("doc_id"), F.when(k % 5 != 0, name).alias("name"), F.when(k % 7 != 0, F.col("p_brand")).alias("number"), F.when(k % 3 != 0, F.col("p_type")).alias("nationality"),
-        F.when(k % 4 == 0, F.regexp_replace(name, r" \S+$", "")).when(k % 4 == 1, F.concat_ws("<", F.reverse(F.split(name, " ")))).otherwise(name).alias("read_name"),
-        F.when(k % 6 == 0, F.lit(None)).otherwise(F.upper("p_brand")).alias("read_number"), F.when(k % 8 == 0, "xx").otherwise(F.col("p_type")).alias("read_nationality"),
-    )
-
-
-def g17_field_accuracy(spark, sf):
-    clean = lambda c: F.regexp_replace(F.upper(c), "<", "")
-    fields = {"name": name_tokens(F.col("name")) == name_tokens(F.col("read_name")), "number": clean("number") == clean("read_number"), "nationality": F.col("nationality") == F.col("read_nationality")}
-    out = metrics.field_accuracy(_readings(spark, sf), fields)
-    return out.select("field", "considered", "correct", F.round("share", 6).alias("share"))
-
-
 def _read_names(spark, sf):
     """Whole part names and readings of them; every 4th has letters taken for digits."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), "p_name")
@@ -147,17 +123,12 @@ def g18_char_accuracy(spark, sf):
     return r.select("doc_id", (F.coalesce("name", F.lit("")) == F.coalesce("read_name", F.lit(""))).alias("is_exact"), F.round(metrics.char_accuracy(F.col("name"), F.col("read_name")), 6).alias("accuracy"))
 
 
-def g19_negative_control(spark, sf):
-    rows = table(spark, sf, "documents").where("lang <> 'en'")
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg((~F.upper("text").rlike("P<[A-Z]{3}")).cast("double")), 6).alias("clean_share"))
-
-
 def g20_seeded_sample(spark, sf):
     return metrics.seeded_sample(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", 100, "seed")
 
 
 QUERIES = [g1_match_scores, g2_identify, g3_face_login, g4_template_protection, g5_reference_split, g6_genuine_pairs, g7_impostor_pairs, g8_error_rates, g9_threshold_sweep, g10_equal_error, g11_pair_summary,
-           g12_confusion, g13_folder_totals, g14_spoof_confusion, g15_mistakes, g16_genuine_rates, g17_field_accuracy, g18_char_accuracy, g19_negative_control, g20_seeded_sample]
+           g12_confusion, g13_folder_totals, g14_spoof_confusion, g15_mistakes, g18_char_accuracy, g20_seeded_sample]
 
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
 _SCORE = "round(greatest(0, least(1, (" + _DOT + " + 1) / 2)), 4)"
@@ -177,11 +148,6 @@ PRED = """WITH p AS (SELECT doc_id, source AS folder, CASE WHEN quality = 0 THEN
 """
 _CONF = """c AS (SELECT count(*) AS n, count(*) FILTER (expected = '{0}' AND predicted = '{0}') AS tp, count(*) FILTER (expected <> '{0}' AND predicted = '{0}') AS fp, count(*) FILTER (expected = '{0}' AND predicted <> '{0}') AS fn, count(*) FILTER (expected <> '{0}' AND predicted <> '{0}') AS tn FROM p)
  SELECT n, tp, fp, fn, tn, round((tp + tn) / greatest(n, 1), 6) AS accuracy, round(fp / greatest(fp + tn, 1), 6) AS false_reject, round(fn / greatest(fn + tp, 1), 6) AS false_accept, round(tp / greatest(tp + fp, 1), 6) AS precision_share, round(tp / greatest(tp + fn, 1), 6) AS recall_share FROM c"""
-_TOK = "list_sort(list_distinct(list_filter(regexp_split_to_array(replace(regexp_replace(upper({0}), '[^A-Z<\\s]', '', 'g'), '<', ' '), '\\s+'), lambda x: x <> '')))"
-READ = """WITH r AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS number, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS nationality,
- CASE p_partkey % 4 WHEN 0 THEN regexp_replace(p_name, ' \\S+$', '') WHEN 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), '<') ELSE p_name END AS read_name,
- CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE upper(p_brand) END AS read_number, CASE WHEN p_partkey % 8 = 0 THEN 'xx' ELSE p_type END AS read_nationality FROM part)
-"""
 
 SQL = {
     "g1_match_scores": PEOPLE + "SELECT ref_id, selfie_id, score FROM gen",
@@ -202,12 +168,7 @@ SQL = {
     "g13_folder_totals": PRED + "SELECT folder, grouping(folder)::INT AS is_total, count(*) AS total, count(*) FILTER (predicted = 'fraud') AS rejected, round(avg(CASE WHEN expected = predicted THEN 1.0 ELSE 0 END), 6) AS correct_share FROM p GROUP BY GROUPING SETS ((folder), ())",
     "g14_spoof_confusion": oracle("--with p AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'spoof' ELSE 'live' END AS expected, CASE WHEN risk >= 0.5::DOUBLE OR model_risk >= 0.72::DOUBLE OR NOT has_face OR screen_frame >= 0.62::DOUBLE THEN 'spoof' ELSE 'live' END AS predicted FROM frames), " + _CONF.format("spoof"), "frames"),
     "g15_mistakes": PRED + "SELECT * FROM p WHERE expected <> predicted",
-    "g16_genuine_rates": "SELECT count(*) AS n, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0 END), 4) AS passed_share, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0 END), 4) AS read_share, round(avg(CASE WHEN doc_id % 9 = 0 THEN 1.0 ELSE 0 END), 4) AS valid_share FROM labels WHERE quality = 1",
-    "g17_field_accuracy": READ + f""", o AS (SELECT *, {_TOK.format('name')} = {_TOK.format('read_name')} AS a, upper(number) = read_number AS b, nationality = read_nationality AS c FROM r),
- l AS (SELECT 'name' AS field, count(name) AS considered, count(*) FILTER (name IS NOT NULL AND coalesce(a, false)) AS correct FROM o UNION ALL SELECT 'number', count(number), count(*) FILTER (number IS NOT NULL AND coalesce(b, false)) FROM o UNION ALL SELECT 'nationality', count(nationality), count(*) FILTER (nationality IS NOT NULL AND coalesce(c, false)) FROM o)
- SELECT field, considered, correct, round(correct / greatest(considered, 1), 6) AS share FROM l""",
     "g18_char_accuracy": """WITH r AS (SELECT p_partkey AS doc_id, coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_name END, '') AS a, coalesce(CASE WHEN p_partkey % 4 = 0 THEN translate(p_name, 'oil', '011') ELSE p_name END, '') AS b FROM part)
  SELECT doc_id, a = b AS is_exact, round(CASE WHEN a = '' AND b = '' THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS accuracy FROM r""",
-    "g19_negative_control": "SELECT count(*) AS n, round(avg(CASE WHEN regexp_matches(upper(text), 'P<[A-Z]{3}') THEN 0 ELSE 1.0 END), 6) AS clean_share FROM documents WHERE lang <> 'en'",
     "g20_seeded_sample": "SELECT doc_id, source FROM documents ORDER BY md5('seed:' || doc_id), doc_id LIMIT 100",
 }

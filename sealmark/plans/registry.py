@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sealmark.plans import audit_queries, burst_queries, document_queries, face_queries, scalar_queries, score_queries, source_queries, store_queries, stream_queries, throttle_queries
+from sealmark.plans import audit_queries, burst_queries, document_queries, evaluation_queries, face_queries, scalar_queries, score_queries, source_queries, store_queries, stream_queries, throttle_queries
 
-MODULES = (store_queries, score_queries, burst_queries, throttle_queries, face_queries, audit_queries, scalar_queries, document_queries, source_queries, stream_queries)
+MODULES = (store_queries, score_queries, burst_queries, throttle_queries, face_queries, audit_queries, scalar_queries, document_queries, evaluation_queries, source_queries, stream_queries)
 
 
 def flagship(spark, sf_dir: str):
