@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from sealmark.scratch import written
 
-#: Bytes of vectors (as floats) in a block of the gallery and of the probes, and rows that are multiplied at once.
-GALLERY_BYTES, PROBE_BYTES = 8 << 20, 32 << 20
-BLOCK = 1024
+#: Bytes of vectors (as floats) in a block of the gallery and of the probes, and rows of each that are compared at once.
+GALLERY_BYTES, PROBE_BYTES = 64 << 20, 64 << 20
+BLOCK, GALLERY_ROWS = 1024, 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,25 +26,34 @@ def match_score(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot(a, b) + 1) / 2)), 4)).otherwise(0.0)
 
 
-def _blocks(rows: DataFrame, name: str, most_bytes: int, at_least: int) -> tuple[DataFrame, int]:
+def _blocks(rows: DataFrame, name: str, most_bytes: int, tasks: int) -> tuple[DataFrame, int]:
     """rows with `name`, the number of a block of about most_bytes of vectors or less, by a hash of the id; and how many there are."""
     size, n = rows.agg(F.coalesce(F.sum(F.size("embedding") * 4 + 64), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-size // most_bytes), min(at_least, n // BLOCK))
+    blocks = max(1, -(-size // most_bytes), min(tasks, n // BLOCK))
     return rows.withColumn(name, F.pmod(F.xxhash64(rows.columns[0]), F.lit(blocks)).cast("int")), blocks
 
 
-def identify(probes: DataFrame, gallery: DataFrame, threshold: float = 0.72) -> DataFrame:
+def unit_scores(probes: np.ndarray, gallery: np.ndarray) -> np.ndarray:
+    """Scores of unit vectors, a row of `probes` with a row of `gallery`: (a.b + 1) / 2, held to 0..1."""
+    return np.clip((probes @ gallery.T + 1) / 2, 0, 1)
+
+
+def identify(probes: DataFrame, gallery: DataFrame, threshold: float = 0.72, scorer=unit_scores) -> DataFrame:
     """(probe_id, face_id, score): per probe the best active profile, ties by face_id; face_id null below threshold.
 
-    The score is compared with 4 decimals and reported with 2. probes: probe_id, embedding; gallery: face_id,
-    active, embedding. Exact: every probe meets every template. Both are cut into blocks of bounded size; each pair
-    of blocks is one matrix product in one task, and a probe keeps one row per block. Nothing passes the driver.
+    The score is compared with 4 decimals and reported with 2; one of 0 finds nobody. probes: probe_id, embedding;
+    gallery: face_id, active, embedding. `scorer` takes two matrices of the same width, a vector in each row, and
+    gives a matrix of scores; it runs inside tasks, on at most BLOCK x GALLERY_ROWS pairs at once.
+
+    Exact: every probe meets every template of its length. Both sides are cut into blocks of bounded size, as few as
+    keep the tasks busy, since each block of one side is sent once per block of the other; each pair of blocks is one
+    task's work, and a probe keeps one row per block. Nothing passes the driver.
     """
     kind = probes.schema["probe_id"].dataType.simpleString()
     tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = lambda df, key: df.select(key, F.col("embedding").cast("array<float>").alias("embedding"))
-    own, n_own = _blocks(vectors(gallery.where("active and embedding is not null and size(embedding) > 0"), "face_id"), "own", GALLERY_BYTES, tasks)
-    asked, n_asked = _blocks(vectors(probes, "probe_id"), "asked", PROBE_BYTES, 1)
+    own, n_own = _blocks(vectors(gallery.where("active and embedding is not null and size(embedding) > 0"), "face_id"), "own", GALLERY_BYTES, round(tasks**0.5))
+    asked, n_asked = _blocks(vectors(probes, "probe_id"), "asked", PROBE_BYTES, round(tasks**0.5))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("own", every(n_own)).select("asked", "own", "probe_id", "embedding")
     right = own.withColumn("asked", every(n_asked)).select("asked", "own", "face_id", "embedding")
@@ -54,14 +63,19 @@ def identify(probes: DataFrame, gallery: DataFrame, threshold: float = 0.72) ->
         theirs = theirs.sort_values("face_id")
         sizes = mine["embedding"].map(lambda v: 0 if v is None else len(v)).to_numpy()
         for d, group in theirs.groupby(theirs["embedding"].map(len)):
-            names, matrix = group["face_id"].to_numpy(), np.stack(group["embedding"].to_numpy()).astype(np.float64)
             rows = np.flatnonzero(sizes == d)
-            for at in range(0, len(rows), BLOCK):
-                part = rows[at : at + BLOCK]
-                s = np.round(np.clip((np.stack(mine["embedding"].to_numpy()[part]).astype(np.float64) @ matrix.T + 1) / 2, 0, 1), 4)
-                j = s.argmax(1)  # the first of equals: names are sorted
-                top = s[np.arange(len(part)), j]
-                ids[part], scores[part] = np.where(top > 0, names[j], None), top
+            if not len(rows):
+                continue
+            names, asks = group["face_id"].to_numpy(), np.stack(mine["embedding"].to_numpy()[rows])
+            for start in range(0, len(names), GALLERY_ROWS):
+                matrix = np.stack(group["embedding"].to_numpy()[start : start + GALLERY_ROWS]).astype(np.float64)
+                for at in range(0, len(rows), BLOCK):
+                    part = rows[at : at + BLOCK]
+                    s = np.round(scorer(asks[at : at + BLOCK].astype(np.float64), matrix), 4)
+                    j = s.argmax(1)  # the first of equals: names are sorted
+                    top = s[np.arange(len(part)), j]
+                    better = top > scores[part]  # an equal one further on has a later name
+                    ids[part[better]], scores[part[better]] = names[start + j[better]], top[better]
         return pd.DataFrame({"probe_id": mine["probe_id"], "face_id": ids, "score4": scores})
 
     found = left.groupBy("asked", "own").cogroup(right.groupBy("asked", "own")).applyInPandas(match, f"probe_id {kind}, face_id string, score4 double")

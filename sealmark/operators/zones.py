@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sealmark.functions import mrz
 from sealmark.functions import signals as sg
 from sealmark.functions.columns import fresh, held
+from sealmark.functions.mrz import let
 from sealmark.functions.scalars import clamp
 
 #: What a letter in a numeric place is read as.
@@ -25,21 +26,18 @@ FIELDS = ((0, 9), (13, 19), (21, 27))
 #: Second lines of one issuer of which the first characters, or the issuer, were lost.
 SHIFTED = r"^[0-9A-Z]{2}([0-9]{8})(?:00|0O|O0|OO)([0-9]{6})([0-9])([MF<])([0-9]{6})([0-9])"
 SQUEEZED = r"^([0-9]{9})(?:LA0|LAO|A09)([0-9]{6})([0-9])([A-Z<])([A-Z0-9][0-9]{5})([0-9])"
+#: What a second line has where it has a date and its check digit, if it can be sound: digits, or letters read as such.
+MAY_BE_SOUND = "^.{13}" + 2 * f"[0-9{''.join(sorted({*READ_AS, *OR_ELSE}))}]{{7}}."
 WIDTH, ROUNDS, MOST_FOR_NAMES = 44, 6, 5.0
 ISLAND = r"(?<=<<)[A-Z]{1,2}(?=<)|(?<=<)[A-Z]{1,2}(?=<<)"
 
 
-def let(value: Column, use) -> Column:
-    """use(value), computed once though `use` mentions it many times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def cut(text: Column, start: int, end: int) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def _digit(text: Column) -> Column:
-    return let(text, mrz.check_digit)
+def _digit(text: Column, width: int) -> Column:
+    return let(text, lambda x: mrz.check_digit(x, width))
 
 
 def _digits_in(line: Column) -> Column:
@@ -55,11 +53,11 @@ def _rebuilt(line: Column) -> Column:
         def joined(number: Column) -> Column:
             body = F.concat(F.lit("PA"), number, F.lit("LAO"), g(2), g(3), sex(g(4)), expiry(g(5)), g(6))
             return let(body, lambda b: F.when(
-                _digit(cut(b, 0, 9)) == cut(b, 9, 10),
-                F.concat(b, F.lit("<" * 15), _digit(F.concat(cut(b, 0, 10), cut(b, 13, 20), cut(b, 21, 28), F.lit("<" * 15)))),
+                _digit(cut(b, 0, 9), 9) == cut(b, 9, 10),
+                F.concat(b, F.lit("<" * 15), _digit(F.concat(cut(b, 0, 10), cut(b, 13, 20), cut(b, 21, 28), F.lit("<" * 15)), 39)),
             ))
 
-        agree = (_digit(g(2)) == g(3)) & (_digit(expiry(g(5))) == g(6))
+        agree = (_digit(g(2), 6) == g(3)) & (_digit(expiry(g(5)), 6) == g(6))
         return F.when(line.rlike(pattern), F.when(agree, F.coalesce(*(joined(n) for n in numbers(g(1))))))
 
     shifted = from_groups(SHIFTED, lambda n: [n], lambda s: s, lambda e: e)
@@ -103,8 +101,8 @@ def repaired(line2: Column) -> Column:
         def settled(own: Column) -> Column:
             check = numeric(end, end + 1)
             tries = F.transform(F.sequence(F.lit(0), F.lit(end - start - 1)), lambda i: F.concat(F.substring(own, F.lit(1), i), other(i), F.substring(own, i + 2, F.lit(end - start))))
-            better = F.get(F.filter(tries, lambda t: t.isNotNull() & (mrz.check_digit(t) == check)), F.lit(0))
-            return F.when(~check.rlike("[0-9]") | (mrz.check_digit(own) == check), own).otherwise(F.coalesce(better, own))
+            better = F.get(F.filter(tries, lambda t: t.isNotNull() & (mrz.check_digit(t, end - start) == check)), F.lit(0))
+            return F.when(~check.rlike("[0-9]") | (mrz.check_digit(own, end - start) == check), own).otherwise(F.coalesce(better, own))
 
         # of the number, the first two places may hold letters
         return let(F.concat(cut(line2, 0, 2), numeric(2, end)) if start == 0 else numeric(start, end), settled)
@@ -155,10 +153,13 @@ def names(line1: Column, nation: Column) -> Column:
     field = F.substring(line1, start + 1, F.lit(WIDTH))
 
     def begun(field: Column) -> Column:
-        tail = _tail_letters(line1)
-        lone = let(tail, lambda t: F.when(F.get(t, F.lit(0))["n"] > F.coalesce(F.get(t, F.lit(1))["n"], F.lit(0)), F.get(t, F.lit(0))["letter"]).otherwise(""))
-        sure = F.concat(F.coalesce(lone, F.lit("")), _islands(field))
-        return let(F.concat(sure, F.array_join(tail["letter"], "")), lambda filler: F.struct(field.alias("field"), sure.alias("sure"), filler.alias("filler"), (filler == "").alias("done")))
+        def told(tail: Column) -> Column:
+            first, second = F.get(tail, F.lit(0)), F.get(tail, F.lit(1))
+            lone = F.when(first["n"] > F.coalesce(second["n"], F.lit(0)), first["letter"]).otherwise("")
+            sure = F.concat(F.coalesce(lone, F.lit("")), _islands(field))
+            return let(sure, lambda s: F.struct(field.alias("field"), s.alias("sure"), F.concat(s, F.array_join(tail["letter"], "")).alias("filler")))
+
+        return let(let(_tail_letters(line1), told), lambda t: F.struct(t["field"].alias("field"), t["sure"].alias("sure"), t["filler"].alias("filler"), (t["filler"] == "").alias("done")))
 
     def grown(s: Column, _) -> Column:
         return F.when(s["done"], s).otherwise(let(round_of(s), lambda t: F.struct(t["field"].alias("field"), t["sure"].alias("sure"), t["filler"].alias("filler"), (t["field"] == s["field"]).alias("done"))))
@@ -207,7 +208,11 @@ def best_pair(lines: Column, as_of: Column) -> Column:
     )
     firsts = F.transform(firsts, lambda s: let(aligned(s["line"]), lambda x: F.struct(s["i"].alias("i"), x.alias("line"), n_filler_letters(x).alias("filler"))))
     no_issuer = F.lit("P".ljust(WIDTH, "<"))
-    seconds = F.transform(lines, lambda x, j: F.struct(j.alias("j"), x.alias("line"), let(repaired(x), lambda r: mrz.td3(no_issuer, r, as_of)).alias("z")))
+    # a sound second line beats any other for the same first line, so others are read only where there is none
+    numbered = F.transform(lines, lambda x, j: F.struct(j.alias("j"), x.alias("line")))
+    read = lambda rows: F.transform(rows, lambda s: F.struct(s["j"].alias("j"), s["line"].alias("line"), let(repaired(s["line"]), lambda r: mrz.td3(no_issuer, r, as_of)).alias("z")))
+    sound_ones = F.filter(read(F.filter(numbered, lambda s: s["line"].rlike(MAY_BE_SOUND))), lambda s: s["z"]["valid"])
+    seconds = let(sound_ones, lambda s: F.when(F.size(s) > 0, s).otherwise(read(numbered)))
     worth = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
 
     def met(a: Column, b: Column) -> Column:

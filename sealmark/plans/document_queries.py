@@ -62,7 +62,8 @@ def damaged_texts(spark, sf):
     k = F.col("c_custkey")
     l1 = F.when(k % 5 == 2, F.concat(F.substring("line1", 1, 30), F.lit("\n"), F.substring("line1", 31, 14))).otherwise(F.col("line1"))
     text = F.when(k % 11 == 0, F.lit("nothing to read here")).otherwise(F.concat(F.lit("PASSPORT\n"), l1, F.lit("\n"), F.col("line2"), F.lit("\n")))
-    return _damaged(spark, sf).select("c_custkey", F.explode(F.array(text)).alias("text"))  # made once, read often
+    rows = _damaged(spark, sf).repartition(spark.sparkContext.defaultParallelism)  # few files, but much work on each row
+    return rows.select("c_custkey", F.explode(F.array(text)).alias("text"))  # made once, read often
 
 
 def k2_candidate_lines(spark, sf):

@@ -216,7 +216,7 @@ def test_even_frames(spark):
 
 def test_identification_over_many_blocks(spark, monkeypatch):
     """Blocks of gallery and probes give what one comparison gives; no gallery finds nobody."""
-    for name, value in (("GALLERY_BYTES", 600), ("PROBE_BYTES", 400), ("BLOCK", 3)):
+    for name, value in (("GALLERY_BYTES", 600), ("PROBE_BYTES", 400), ("BLOCK", 3), ("GALLERY_ROWS", 2)):
         monkeypatch.setattr(matching, name, value)
     rnd = random.Random(5)
     vector = lambda: [rnd.choice([-1.0, 0.0, 1.0]) for _ in range(6)]
@@ -232,3 +232,16 @@ def test_identification_over_many_blocks(spark, monkeypatch):
     assert {r.probe_id: (r.face_id, r.score) for r in matching.identify(asked, gallery).collect()} == want
     assert {(r.face_id, r.score) for r in matching.identify(asked, gallery.limit(0)).collect()} == {(None, 0.0)}
     assert matching.identify(asked.limit(0), gallery).collect() == []
+
+
+def test_identification_by_another_scorer(spark):
+    """A caller's measure: the share of equal signs."""
+    rnd = random.Random(8)
+    vector = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
+    faces, probes = [(f"f{i:02d}", True, vector()) for i in range(30)], [(i, vector()) for i in range(20)]
+    signs = lambda a, b: (np.sign(a)[:, None, :] == np.sign(b)[None, :, :]).mean(2)
+    got = matching.identify(spark.createDataFrame(probes, "probe_id long, embedding array<double>"), spark.createDataFrame(faces, "face_id string, active boolean, embedding array<double>"), 0.8, signs)
+    for r in got.collect():
+        scores = {f: round(sum((a > 0) == (b > 0) for a, b in zip(probes[r.probe_id][1], v)) / 8, 4) for f, _, v in faces}
+        top = max(scores.values())
+        assert r.score == pytest.approx(round(top + 1e-9, 2)) and r.face_id == (min(f for f, s in scores.items() if s == top) if top >= 0.8 else None)
