@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sealmark.operators.stores import attempt_upsert
+from sealmark.scratch import written
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -173,7 +174,7 @@ def session_expiry_stream(steps: DataFrame, idle_seconds: float = 1800, absolute
     """(session_id, started_at, ended_at, n_steps) once a session was idle, or open, for longer than allowed.
 
     A session kept busy beyond its absolute age ends too; the next step starts another. Steps later than `lateness`
-    are dropped. Times are of event time.
+    are dropped: route_late() keeps them aside. Times are of event time.
     """
     rows = steps.select(F.col("session_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
     rows = rows.withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness)
@@ -183,6 +184,29 @@ def session_expiry_stream(steps: DataFrame, idle_seconds: float = 1800, absolute
     return out.select("session_id", at("first").alias("started_at"), at("end").alias("ended_at"), "n_steps")
 
 
+def route_late(rows: DataFrame, folder: str, checkpoint: str, lateness_seconds: float, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """Process what the source holds now, and keep what a stateful query would drop: (rows in time, rows too late) so far.
+
+    A row is late when it lies further than lateness_seconds behind the newest time of the micro-batches before its
+    own, as the watermark of a stateful query has it; so is a row without a time. Rows in time are in <folder>/on_time,
+    which a stateful query with the same lateness reads without dropping any, and late ones in <folder>/late. Each
+    micro-batch replaces its own folders, so one that is repeated leaves the same.
+    """
+    spark, us = rows.sparkSession, F.unix_micros(F.col(ts).cast("timestamp"))
+
+    def route(batch: DataFrame, nr: int) -> None:
+        newest = spark.read.parquet(f"{folder}/newest/{nr - 1}").first().us if nr else None
+        late = us.isNull() if newest is None else F.coalesce(us < newest - int(lateness_seconds * 1e6), F.lit(True))
+        held = written(batch, "batch")
+        held.where(~late).write.mode("overwrite").parquet(f"{folder}/on_time/{nr}")
+        held.where(late).write.mode("overwrite").parquet(f"{folder}/late/{nr}")
+        held.agg(F.greatest(F.max(us), F.lit(newest).cast("long")).alias("us")).write.mode("overwrite").parquet(f"{folder}/newest/{nr}")
+
+    rows.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(rows.schema).option("recursiveFileLookup", True)
+    return done.parquet(f"{folder}/on_time"), done.parquet(f"{folder}/late")
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what the source holds now and return it as a table, in a session's memory."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
