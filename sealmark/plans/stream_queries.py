@@ -83,8 +83,8 @@ def s_e6_late_rows(spark, sf):
 
 QUERIES = [s_e6_late_rows, s_f1_limit_stream, s_f2_two_level_stream, s_f4_code_stream, s_d7_replay_stream, s_e1_attempt_stream, s_e6_session_stream]
 SQL = {
-    "s_e6_late_rows": f"""WITH m AS (SELECT max(ts) FILTER (event_id % 3 = 0) AS first, max(ts) FILTER (event_id % 3 <> 2) AS both FROM events)
- SELECT event_id, CASE event_id % 3 WHEN 0 THEN false WHEN 1 THEN ts < first - INTERVAL {FAR} SECOND ELSE ts < both - INTERVAL {FAR} SECOND END AS is_late FROM events, m""",
+    "s_e6_late_rows": f"""WITH m AS (SELECT max(ts) FILTER (event_id % 3 = 0) AS m1, max(ts) FILTER (event_id % 3 <> 2) AS m2 FROM events)
+ SELECT event_id, CASE event_id % 3 WHEN 0 THEN false WHEN 1 THEN ts < m1 - INTERVAL {FAR} SECOND ELSE ts < m2 - INTERVAL {FAR} SECOND END AS is_late FROM events, m""",
     "s_f1_limit_stream": throttle_queries.SQL["f1_sliding_limit"], "s_f2_two_level_stream": throttle_queries.SQL["f2_two_level_limit"], "s_f4_code_stream": throttle_queries.SQL["f4_code_outcomes"],
     "s_d7_replay_stream": burst_queries.SQL["d7_replay_lock"], "s_e1_attempt_stream": store_queries.SQL["e1_attempt_upsert"],
     "s_e6_session_stream": f"""WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

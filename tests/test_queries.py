@@ -16,6 +16,7 @@ SOME = (
     "a4_table_reader", "a5_result_rows", "a6_summary", "a7_manifest_upsert", "a8_import_profiles", "b18_name_tokens", "c6_portrait", "d9_login_burst", "d10_gestures", "d11_face_actions", "g3_face_login", "g7_impostor_pairs", "g18_char_accuracy",
     "k2_candidate_lines", "k4_repaired_lines", "k5_names", "k8_mrz_outcome", "k9_truth_fields", "k10_id_cards", "s_f1_limit_stream", "s_f2_two_level_stream", "s_f4_code_stream", "s_d7_replay_stream", "s_e1_attempt_stream", "s_e6_session_stream", "b4_split_name", "b7_blind_index", "b16_signal_dedupe", "b20_lighting", "c7_document_risk", "c11_selfie_frames", "c12_decision", "d5_burst_verdict", "d6_active_liveness", "d7_replay_lock", "e1_attempt_upsert",
     "e13_subject_export", "e16_resume", "f2_two_level_limit", "f4_code_outcomes", "g2_identify", "g10_equal_error", "g17_field_accuracy", "h2_append", "h3_verify", "k3_td3_fields",
+    "a1_folder_listing", "b14_document_type", "b15_sample_frames", "c6_model_adapters", "e12_admin_overview", "e17_source_labels", "g16_genuine_rates", "g19_negative_control", "w3_passport_reports", "s_e6_late_rows",
 )
 pytestmark = pytest.mark.skipif(not SF.is_dir(), reason="needs the test tables")
 
