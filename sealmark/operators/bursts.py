@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,22 +118,15 @@ def replay_locked(attempts: DataFrame, key: str = "session_id") -> DataFrame:
     key, seq, passed, replay, other_signals (count), frame, display, paper, heuristic.
     """
     rows = attempts.select(_c(key).alias("session_id"), "seq", "passed", "replay", "other_signals", *(F.coalesce(c, F.lit(1.0)).alias(c) for c in ("frame", "display", "paper", "heuristic")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        locked, out = False, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            n = int(r.replay) + int(r.other_signals)
-            if locked:
-                clean = r.passed and not n and r.frame <= 0.24 and r.display <= 0.6 and r.paper <= 0.34 and r.heuristic <= 0.44
-                locked = not clean
-                passed = bool(clean)
-            else:
-                locked = bool(r.replay)
-                passed = bool(r.passed and not n)
-            out.append((r.session_id, r.seq, locked, passed))
-        return pd.DataFrame(out, columns=["session_id", "seq", "locked", "passed"])
-
-    return rows.groupBy("session_id").applyInPandas(fold, "session_id string, seq long, locked boolean, passed boolean")
+    calm = (_c("frame") <= 0.24) & (_c("display") <= 0.6) & (_c("paper") <= 0.34) & (_c("heuristic") <= 0.44)
+    rows = rows.withColumn("sound", F.coalesce(_c("passed") & ~_c("replay") & (_c("other_signals") == 0), F.lit(False)))
+    # a replay locks, a wholly clean retry unlocks, and others leave the lock as it is: the last of these two tells
+    turn = F.when(_c("replay"), True).when(_c("sound") & calm, False)
+    w = Window.partitionBy("session_id").orderBy("seq")
+    lock = lambda frame: F.coalesce(F.last(turn, ignorenulls=True).over(frame), F.lit(False))
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    passed = F.when(lock(before), _c("sound") & calm).otherwise(_c("sound"))
+    return rows.select("session_id", "seq", lock(after).alias("locked"), passed.alias("passed"))
 
 
 def challenge_rollup(results: DataFrame, key: str = "session_id") -> DataFrame:

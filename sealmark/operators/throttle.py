@@ -6,7 +6,6 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +91,7 @@ def _sliced_limit(rows: DataFrame, window: int, most: int) -> DataFrame:
     logs, handed, todo = {k: [] for k in order}, {}, order
 
     while todo and most > 0:
-        ordered = cut.where(F.col("key").isin(todo)).repartition(len(todo), "key").sortWithinPartitions("key", "us", "call_id")
+        ordered = cut.where(F.col("key").isin(todo)).repartitionByRange(len(todo), "key").sortWithinPartitions("key", "us", "call_id")  # a slice to a task
         handed |= {r.key: r.log for r in ordered.mapInArrow(_ends(window, most, dict(logs)), "key int, log array<long>").collect()}
         coming = {b: [t for t in handed[a] if t >= firsts[b] - window] for a, b in zip(order[:-1], order[1:])}
         todo = [k for k, log in coming.items() if log != logs[k]]
@@ -141,31 +140,23 @@ def code_outcomes(events: DataFrame, ttl_seconds: float, most_attempts: int, key
     NO_CONTACT_CHALLENGE, CODE_EXPIRED and TOO_MANY_ATTEMPTS (both drop the challenge), CODE_ALREADY_USED,
     CODE_INVALID, OK (the code is used up); the last two count as attempts. A new issue replaces the challenge.
     """
-    rows = events.select(F.col(key).alias("session_id"), "seq", "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.sha2(F.concat_ws(":", F.col(key), F.col("code")), 256).alias("code_hash"))
-    ttl = int(ttl_seconds * 1e6)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        challenge, out = None, []
-        for r in pdf.sort_values(["us", "seq"]).itertuples(index=False):
-            if r.kind == "issue":
-                challenge = {"hash": r.code_hash, "until": r.us + ttl, "attempts": 0, "used": False}
-                continue
-            if challenge is None:
-                outcome = "NO_CONTACT_CHALLENGE"
-            elif r.us > challenge["until"]:
-                outcome, challenge = "CODE_EXPIRED", None
-            elif challenge["attempts"] >= most_attempts:
-                outcome, challenge = "TOO_MANY_ATTEMPTS", None
-            elif challenge["used"]:
-                outcome = "CODE_ALREADY_USED"
-            else:
-                challenge["attempts"] += 1
-                challenge["used"] = r.code_hash == challenge["hash"]
-                outcome = "OK" if challenge["used"] else "CODE_INVALID"
-            out.append((r.session_id, r.seq, outcome))
-        return pd.DataFrame(out, columns=["session_id", "seq", "outcome"])
-
-    return rows.groupBy("session_id").applyInPandas(fold, "session_id string, seq long, outcome string")
+    # Within a challenge confirms are told apart by their number c: the first right one, and the one that drops it.
+    rows = events.select(F.col(key).alias("session_id"), "seq", F.col("kind").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.sha2(F.concat_ws(":", F.col(key), F.col("code")), 256).alias("code_hash"))
+    order = (F.asc_nulls_last("us"), F.col("seq"))
+    upto = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    issue = F.when(F.col("kind") == "issue", F.struct("code_hash", (F.col("us") + int(ttl_seconds * 1e6)).alias("until")))
+    rows = rows.select("*", F.count(issue).over(upto).alias("challenge"), F.last(issue, ignorenulls=True).over(upto).alias("issued")).where("kind is distinct from 'issue'")
+    own = Window.partitionBy("session_id", "challenge")
+    rows = rows.withColumn("c", F.row_number().over(own.orderBy(*order))).withColumn("expired", F.coalesce(F.col("us") > F.col("issued.until"), F.lit(False)))
+    c, right = F.col("c"), (F.col("code_hash") == F.col("issued.code_hash")) & ~F.col("expired") & (F.col("c") <= most_attempts)
+    rows = rows.select("*", F.min(F.when(right, c)).over(own).alias("used_at"), F.min(F.when(F.col("expired"), c)).over(own).alias("expires_at"))
+    full_at = F.when(F.coalesce(F.col("used_at"), F.lit(most_attempts)) >= most_attempts, F.lit(max(most_attempts, 0) + 1))
+    dropped_at = F.coalesce(F.least("expires_at", full_at), c + 1)  # least() passes over nulls
+    outcome = (
+        F.when((F.col("challenge") == 0) | (c > dropped_at), "NO_CONTACT_CHALLENGE").when((c == dropped_at) & F.col("expired"), "CODE_EXPIRED").when(c == dropped_at, "TOO_MANY_ATTEMPTS")
+        .when(c == F.col("used_at"), "OK").when(c > F.col("used_at"), "CODE_ALREADY_USED").otherwise("CODE_INVALID")
+    )
+    return rows.select("session_id", "seq", outcome.alias("outcome"))
 
 
 def nonce_checks(uses: DataFrame, issued: DataFrame) -> DataFrame:

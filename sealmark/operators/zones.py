@@ -28,6 +28,12 @@ SHIFTED = r"^[0-9A-Z]{2}([0-9]{8})(?:00|0O|O0|OO)([0-9]{6})([0-9])([MF<])([0-9]{
 SQUEEZED = r"^([0-9]{9})(?:LA0|LAO|A09)([0-9]{6})([0-9])([A-Z<])([A-Z0-9][0-9]{5})([0-9])"
 #: What a second line has where it has a date and its check digit, if it can be sound: digits, or letters read as such.
 MAY_BE_SOUND = "^.{13}" + 2 * f"[0-9{''.join(sorted({*READ_AS, *OR_ELSE}))}]{{7}}."
+#: What a letter in the expiry of a squeezed line is read as.
+EXPIRY_READ_AS = {"S": "3", "B": "8", "O": "0", "I": "1", "L": "1"}
+#: What makes a pair of lines a zone: sound, well formed, check digits right, an expiry, the second after the first; less for lines further apart and for letters that stand for filler.
+WORTH = {"valid": 10.0, "format": 4.0, "digits": 3.0, "expiry": 1.0, "order": 0.4, "apart": 0.18, "filler": 0.75}
+#: What makes a text look like a passport's page.
+SEEN = {"passport": 0.18, "issuer": 0.16, "number": 0.18, "date": 0.16, "year": 0.08, "words": 0.16, "filler": 0.08}
 WIDTH, ROUNDS, MOST_FOR_NAMES = 44, 6, 5.0
 ISLAND = r"(?<=<<)[A-Z]{1,2}(?=<)|(?<=<)[A-Z]{1,2}(?=<<)"
 
@@ -62,7 +68,7 @@ def _rebuilt(line: Column) -> Column:
 
     shifted = from_groups(SHIFTED, lambda n: [n], lambda s: s, lambda e: e)
     squeezed = from_groups(
-        SQUEEZED, lambda n: [cut(n, 1, 9), F.concat(F.lit("0"), cut(n, 2, 9))], lambda s: F.when(s.isin("F", "<"), s).otherwise(F.lit("M")), lambda e: F.translate(e, "SBOIL", "38011")
+        SQUEEZED, lambda n: [cut(n, 1, 9), F.concat(F.lit("0"), cut(n, 2, 9))], lambda s: F.when(s.isin("F", "<"), s).otherwise(F.lit("M")), lambda e: F.translate(e, "".join(EXPIRY_READ_AS), "".join(EXPIRY_READ_AS.values()))
     )
     return F.when(line.rlike(SHIFTED), shifted).otherwise(squeezed)
 
@@ -218,18 +224,18 @@ def best_pair(lines: Column, as_of: Column) -> Column:
     def met(a: Column, b: Column) -> Column:
         z, issuer = b["z"], cut(a["line"], 2, 5)
         sound = (
-            worth(z["valid"], 10.0) + worth(z["format_valid"], 4.0) + worth(z["check_digits_valid"], 3.0) + worth(z["expiry_date"].isNotNull(), 1.0) + worth(b["j"] > a["i"], 0.4)
-            + F.greatest(F.lit(0.0), 1.0 - F.abs(b["j"] - a["i"] - 1) * 0.18)
+            worth(z["valid"], WORTH["valid"]) + worth(z["format_valid"], WORTH["format"]) + worth(z["check_digits_valid"], WORTH["digits"]) + worth(z["expiry_date"].isNotNull(), WORTH["expiry"]) + worth(b["j"] > a["i"], WORTH["order"])
+            + F.greatest(F.lit(0.0), 1.0 - F.abs(b["j"] - a["i"] - 1) * WORTH["apart"])
         )
         nation = F.when(~z["nationality"].rlike("^[A-Z]+$") & issuer.rlike("^[A-Z]{3}$"), issuer).otherwise(z["nationality"])
-        return F.struct(a.alias("a"), b.alias("b"), sound.alias("sound"), (sound - a["filler"] * 0.75).alias("before"), nation.alias("nation"))
+        return F.struct(a.alias("a"), b.alias("b"), sound.alias("sound"), (sound - a["filler"] * WORTH["filler"]).alias("before"), nation.alias("nation"))
 
     def judged(p: Column) -> Column:
         a, b, z = p["a"], p["b"], p["b"]["z"]
 
         def with_names(n: Column) -> Column:
             full = F.concat_ws(" ", F.nullif(n["given_names"], F.lit("")), F.nullif(n["surname"], F.lit("")))
-            score = p["sound"] + F.least(F.length(full) / 5.0, F.lit(MOST_FOR_NAMES)) - a["filler"] * 0.75
+            score = p["sound"] + F.least(F.length(full) / 5.0, F.lit(MOST_FOR_NAMES)) - a["filler"] * WORTH["filler"]
             kept = ("date_of_birth", "sex", "expiry_date", "format_valid", "check_digits_valid", "valid")
             return F.struct(
                 score.alias("score"), a["i"].alias("i"), b["j"].alias("j"), z["passport_number"].alias("passport_number"), n["surname"].alias("surname"), n["given_names"].alias("given_names"),
@@ -254,8 +260,9 @@ def evidence(text: Column) -> Column:
     worth = lambda c, w: F.when(c, w).otherwise(0.0)
     tokens = F.size(F.filter(F.regexp_extract_all(plain, F.lit(r"\b([A-Z]{5,})\b"), F.lit(1)), lambda t: ~t.isin("PASSPORT", "NATIONALITY", "AUTHORITY")))
     return clamp(
-        worth(plain.rlike("PASSPORT|PDR"), 0.18) + worth(plain.contains("LAO"), 0.16) + worth(compact.rlike("P[A-Z0-9][0-9O]{5,8}"), 0.18) + worth(plain.rlike(rf"[0-3][0-9]\s*{month}\s*(19|20)[0-9]{{2}}"), 0.16)
-        + worth(plain.rlike("(19|20)[0-9]{2}") & plain.rlike(month), 0.08) + worth(tokens >= 2, 0.16) + worth(F.contains(text, F.lit("<<")) | compact.startswith("P") | compact.rlike("P[O<]LAO"), 0.08)
+        worth(plain.rlike("PASSPORT|PDR"), SEEN["passport"]) + worth(plain.contains("LAO"), SEEN["issuer"]) + worth(compact.rlike("P[A-Z0-9][0-9O]{5,8}"), SEEN["number"])
+        + worth(plain.rlike(rf"[0-3][0-9]\s*{month}\s*(19|20)[0-9]{{2}}"), SEEN["date"]) + worth(plain.rlike("(19|20)[0-9]{2}") & plain.rlike(month), SEEN["year"]) + worth(tokens >= 2, SEEN["words"])
+        + worth(F.contains(text, F.lit("<<")) | compact.startswith("P") | compact.rlike("P[O<]LAO"), SEEN["filler"])
     )
 
 
