@@ -46,23 +46,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, pas
 
 
 def _queued(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, seed: str) -> DataFrame:
-    """docs with `mix`: struct(size, source_size, target, nr, h, id, cum); cum is the words of the source up to and with the row."""
-    t = targets.select(F.col("source").alias("mix_source"), F.struct("nr", "source_size", "target", "digits").alias("mix_of"))
+    """docs with `mix`: struct(size, source_size, target, nr, h, id, cum); cum is the words of the source up to and with the row.
+
+    Windows and the join to what comes before them go by the same two plain columns, so rows move once.
+    """
+    t = targets.select(F.col("source").alias("mix_source"), *(F.col(c).alias(f"mix_{c}") for c in ("nr", "source_size", "target", "digits")))
     rows = docs.join(t, docs[source_col].eqNullSafe(t["mix_source"])).drop("mix_source")
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = rows.withColumn("mix_h", h).withColumn("mix_part", F.substring("mix_h", F.lit(1), F.col("mix_of.digits")))
-    own = Window.partitionBy(F.col("mix_of.nr"), "mix_part").orderBy("mix_h", F.col(id_col), F.col("mix_size"))
+    rows = rows.withColumn("mix_h", h).withColumn("mix_part", F.substring("mix_h", F.lit(1), F.col("mix_digits")))
+    own = Window.partitionBy("mix_nr", "mix_part").orderBy("mix_h", F.col(id_col), F.col("mix_size"))
     inside = rows.withColumn("mix_in", F.sum("mix_size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     # each window's words, then the words of the windows before it: a small table
-    parts = rows.groupBy(F.col("mix_of.nr").alias("part_nr"), F.col("mix_part").alias("part_of")).agg(F.sum("mix_size").alias("part_words"))
+    parts = rows.groupBy(F.col("mix_nr").alias("part_nr"), F.col("mix_part").alias("part_of")).agg(F.sum("mix_size").alias("part_words"))
     upto = Window.partitionBy("part_nr").orderBy("part_of").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part_nr", "part_of", F.coalesce(F.sum("part_words").over(upto), F.lit(0)).alias("part_before"))
-    out = inside.join(parts, (F.col("mix_of.nr") == F.col("part_nr")) & (F.col("mix_part") == F.col("part_of")))
+    out = inside.join(parts, (F.col("mix_nr") == F.col("part_nr")) & (F.col("mix_part") == F.col("part_of")))
     mix = F.struct(
-        F.col("mix_size").alias("size"), "mix_of.source_size", "mix_of.target", "mix_of.nr", F.col("mix_h").alias("h"),
+        F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_nr").alias("nr"), F.col("mix_h").alias("h"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), (F.col("mix_in") + F.col("part_before")).alias("cum"),
     )
-    return out.withColumn("mix", mix).drop("mix_of", "mix_h", "mix_part", "mix_in", "mix_size", "part_nr", "part_of", "part_before")
+    return out.select(*(c for c in docs.columns if c != "mix_size"), mix.alias("mix"))
 
 
 def _turn(k: int) -> Column:
