@@ -36,6 +36,7 @@ def leaf(*values: Column) -> Column:
 
 
 def tampered_here(id_col: Column) -> Column:
+    """Is a row's text lower-cased after its leaf was made? By the crc of its id; a row without one is not."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 0, F.lit(False))
 
 
@@ -127,11 +128,12 @@ def _block(leaves: list[str], n: int) -> Block:
     return Block(leaves, BLOCK_LEVELS if n > WIDTH**BLOCK_LEVELS else None)
 
 
-def blocks(docs: DataFrame, id_col: str, group_col: str, fields: tuple[str, ...], text_col: str) -> DataFrame:
-    """(g, block, n, top, leaves): aligned blocks of at most 4096 leaves, with the node above each.
+def blocks(docs: DataFrame, id_col: str, group_col: str, fields: tuple[str, ...], text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables of aligned blocks of at most 4096 leaves: (g, block, n, leaves), and (g, block, n, hash), the node above each.
 
-    g codes the group so that null comes first. leaves: struct(nr, id, leaf, changed), changed being the leaf after
-    tampering, null where there is none. Rows are numbered by id, null first, those that repeat one by their leaf.
+    g codes the group so that null comes first; n is the number of its leaves. leaves: struct(nr, id, leaf, changed),
+    changed being the leaf after tampering, null where there is none. Rows are numbered by id, null first, those that
+    repeat one by their leaf.
     """
     # the fields as they are, and with a lower-cased text
     bare = F.translate(F.col(text_col).cast("string"), UPPER, LOWER)
