@@ -14,7 +14,7 @@ from sealmark.scratch import written
 
 
 #: Calls of a slice of the global key; there are at most as many slices as shuffle partitions.
-SLICE_CALLS = 65_536
+SLICE_CALLS = 524_288
 
 
 def admitted(micros: np.ndarray, window: int, most: int, log: deque | None = None) -> np.ndarray:
@@ -77,25 +77,27 @@ def sliding_window_limit(calls: DataFrame, window_seconds: float, most: int, key
 def _sliced_limit(rows: DataFrame, window: int, most: int) -> DataFrame:
     """(key, call_id, us, admitted) of rows (call_id, us) under one key, where key is the number of a slice of time.
 
-    Every slice is folded from the log that the slice before hands on, at most `most` times. The first round starts
-    all of them with empty logs; later rounds repeat the slices whose incoming log was another one, until none is.
-    Slice k is right after k rounds at the latest, earlier where logs meet or run empty.
+    Every slice is folded from the log that the slice before hands on, at most `most` times. Two rounds fold all slices
+    whose incoming log is new, the first from empty logs: that settles all where logs meet or run empty. What is left is
+    settled in order of time, a slice to a round, which reads that slice alone; so work grows with the calls.
     """
     base = written(rows, "calls")
     parts = min(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-base.count() // SLICE_CALLS)))
-    ends = sorted({int(t) for t in base.approxQuantile("us", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    slot = F.size(F.filter(F.array(*map(F.lit, ends)), lambda t: t < F.col("us"))) if ends else F.lit(0)
-    cut = base.select(slot.cast("int").alias("key"), "call_id", "us")
+    sliced = base.repartitionByRange(parts, "us", "call_id").select(F.spark_partition_id().alias("key"), "call_id", "us")
+    cut = written(sliced.sortWithinPartitions("key", "us", "call_id"), "slices", "key").select("key", "call_id", "us")
     firsts = {r.key: r.us for r in cut.groupBy("key").agg(F.min("us").alias("us")).collect()}
     order = sorted(firsts)
-    logs, handed, todo = {k: [] for k in order}, {}, order
+    used, handed, logs, todo, rounds = {}, {}, {k: [] for k in order}, order, 0
 
     while todo and most > 0:
-        ordered = cut.where(F.col("key").isin(todo)).repartitionByRange(len(todo), "key").sortWithinPartitions("key", "us", "call_id")  # a slice to a task
-        handed |= {r.key: r.log for r in ordered.mapInArrow(_ends(window, most, dict(logs)), "key int, log array<long>").collect()}
-        coming = {b: [t for t in handed[a] if t >= firsts[b] - window] for a, b in zip(order[:-1], order[1:])}
-        todo = [k for k, log in coming.items() if log != logs[k]]
-        logs |= coming
+        now = todo if rounds < 2 else todo[:1]
+        part = cut.where(F.col("key").isin(now))
+        part = part.repartition("key") if len(now) > 1 else part.coalesce(1)
+        ends = part.sortWithinPartitions("key", "us", "call_id").mapInArrow(_ends(window, most, {k: logs[k] for k in now}), "key int, log array<long>")
+        handed |= {r.key: r.log for r in ends.collect()}
+        used |= {k: logs[k] for k in now}
+        logs |= {b: [t for t in handed[a] if t >= firsts[b] - window] for a, b in zip(order[:-1], order[1:])}
+        todo, rounds = [k for k in order if logs[k] != used[k]], rounds + 1
     return _decided(cut, window, most, logs)
 
 

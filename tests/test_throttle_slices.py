@@ -47,3 +47,17 @@ def test_log_goes_on_through_batches():
     for k in range(0, 4000, 37):
         parts.append(throttle.admitted(us[k : k + 37], 5000, 6, log))
     assert (np.concatenate(parts) == throttle.admitted(us, 5000, 6)).all()
+
+
+def test_slices_are_folded_a_fixed_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(throttle, "SLICE_CALLS", 100)
+    monkeypatch.setattr(throttle, "_ends", lambda window, most, logs, ends=throttle._ends: folded.extend(logs) or ends(window, most, logs))
+    folded, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        rows = calls(spark, 2000, 4)
+        got = {r.call_id: r.outcome for r in throttle.two_level_limit(spark.createDataFrame(rows, "call_id long, ts timestamp, client_ip string"), 120, 9, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == plain(rows, 120, 9, 2)
+    assert len(set(folded)) > 15 and len(folded) <= 3 * len(set(folded))  # calls under a limit that always bites
