@@ -14,18 +14,23 @@ from sealmark.plans.bindings import table
 AS_OF = date(2024, 6, 1)
 
 
+def _customers(spark, sf):
+    """Customers dealt over all cores: the table has few files, but its rows are much work each."""
+    return table(spark, sf, "customer").repartition(spark.sparkContext.defaultParallelism)
+
+
 def _zones(spark, sf):
-    """A clean zone per customer, from the key."""
+    """A clean zone per customer, from the key; with the market segment."""
     k = F.col("c_custkey")
     number = F.rpad(F.concat(F.lit("T"), F.lpad((k * 7919 % 10000000).cast("string"), 7, "0")), 9, "<")
     birth = F.date_format(F.date_add(F.lit("1940-01-01").cast("date"), (k * 37 % 29000).cast("int")), "yyMMdd")
     expiry = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k * 11 % 4000).cast("int")), "yyMMdd")
     word = F.regexp_replace(F.upper(F.col("c_mktsegment")), "[^A-Z]", "")
     line1 = F.rpad(F.concat(F.lit("P<UTO"), F.translate(F.lpad((k % 1000).cast("string"), 3, "0"), "0123456789", "ABCDEFGHIJ"), word, F.lit("<<KIM<"), F.translate((k % 50).cast("string"), "0123456789", "KLMNOPQRST")), 44, "<")
-    rows = table(spark, sf, "customer").select("c_custkey", line1.alias("line1"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"))
+    rows = _customers(spark, sf).select("c_custkey", "c_mktsegment", line1.alias("line1"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"))
     body = rows.withColumn("head", F.concat("number", mrz.check_digit(F.col("number")))).withColumn("mid", F.concat("birth", mrz.check_digit(F.col("birth")))).withColumn("end", F.concat("expiry", mrz.check_digit(F.col("expiry")), F.repeat(F.lit("<"), 15)))
     line2 = F.concat("head", F.lit("UTO"), "mid", F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M"), "end")
-    return body.select("c_custkey", "line1", F.concat(line2, mrz.check_digit(F.concat("head", "mid", "end"))).alias("line2"))
+    return body.select("c_custkey", "c_mktsegment", "line1", F.concat(line2, mrz.check_digit(F.concat("head", "mid", "end"))).alias("line2"))
 
 
 def k1_check_digits(spark, sf):
@@ -62,7 +67,7 @@ def damaged_texts(spark, sf):
     k = F.col("c_custkey")
     l1 = F.when(k % 5 == 2, F.concat(F.substring("line1", 1, 30), F.lit("\n"), F.substring("line1", 31, 14))).otherwise(F.col("line1"))
     text = F.when(k % 11 == 0, F.lit("nothing to read here")).otherwise(F.concat(F.lit("PASSPORT\n"), l1, F.lit("\n"), F.col("line2"), F.lit("\n")))
-    rows = _damaged(spark, sf).repartition(spark.sparkContext.defaultParallelism)  # few files, but much work on each row
+    rows = _damaged(spark, sf).repartition(spark.sparkContext.defaultParallelism)  # made before the work on them
     return rows.select("c_custkey", F.explode(F.array(text)).alias("text"))  # made once, read often
 
 
@@ -93,8 +98,7 @@ def truth_files(spark, sf, given="<<KIM<"):
         F.lit("\nCountry Code: uto \nDate of Birth: 0"), (k % 9 + 1).cast("string"), F.lit(" Mar / 1990\nGender/Sex: "), F.when(k % 4 == 1, "女 / F").when(k % 4 == 3, "Male").otherwise("?"), F.lit("\nExpired Date: 2031-12-2"), (k % 10).cast("string"), F.lit("\n"),
     )
     zone = F.concat(F.lit("MRZ Lines:\n P<SHORT \n  "), F.rpad(F.regexp_replace(F.rtrim("line1", F.lit("<")), "<<KIM<", given), 44, "<"), F.lit("  \n"), "line2", F.lit("\n"))
-    z = _zones(spark, sf).join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
-    return z.select("c_custkey", F.concat(printed, F.when(k % 3 != 0, zone).otherwise("MRZ Lines:\nP<UTO\n")).alias("text"))
+    return _zones(spark, sf).select("c_custkey", F.concat(printed, F.when(k % 3 != 0, zone).otherwise("MRZ Lines:\nP<UTO\n")).alias("text"))
 
 
 def k9_truth_fields(spark, sf):
@@ -122,7 +126,7 @@ def k10_id_cards(spark, sf):
         F.when(k % 16 == 7, F.lit("12/3 q")).otherwise("card 12/3"),
     ]
     text = F.element_at(F.array(*kinds), (k % 8 + 1).cast("int"))
-    out = documents.read_id_cards(table(spark, sf, "customer").select("c_custkey", text.alias("text")), AS_OF)
+    out = documents.read_id_cards(_customers(spark, sf).select("c_custkey", text.alias("text")), AS_OF)
     return out.select("c_custkey", "number", "date_of_birth", "expiry_date", "full_name", "nationality", F.concat_ws(",", "keywords").alias("keywords"), F.round("confidence", 4).alias("confidence"), sg.codes(F.col("signals")).alias("codes"))
 
 
