@@ -7,15 +7,18 @@ the wall clock; such a stream wakes for its timers, so run it with a processing-
 
 from __future__ import annotations
 
+from collections import deque, namedtuple
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sealmark.operators.stores import attempt_upsert
+from sealmark.operators.throttle import admitted
 from sealmark.scratch import written
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,14 +38,23 @@ class _Fold(StatefulProcessor):
         self.state = handle.getValueState("fold", self.state_schema, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else self.start
+        # most keys have few rows: calls to the state store and to pandas are what they cost
+        held = self.state.get()
+        before = state = self.start if held is None else tuple(held)
+        parts = list(rows)
+        frame = parts[0] if len(parts) == 1 else pd.concat(parts)
+        values = {c: frame[c].to_numpy() for c in frame.columns}
+        at = np.lexsort([values[c] for c in reversed(self.order)])
+        row_of = namedtuple("Row", values)
         out = []
-        for row in pd.concat(list(rows)).sort_values(self.order).itertuples(index=False):
+        for row in map(row_of._make, zip(*(v[at].tolist() for v in values.values()))):
             state, made = self.step(state, row)
             if made is not None:
                 out.append((*key, *made))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
+        if self.ttl_ms is not None or state != before:
+            self.state.update(state)
+        if out:
+            yield pd.DataFrame(dict(zip(self.columns, zip(*out))))
 
     def close(self) -> None:
         pass
@@ -54,6 +66,47 @@ def _folded(rows: DataFrame, key: str, out: str, state: str, order: list[str], s
     return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=out, outputMode="Append", timeMode="None" if ttl_seconds is None else "ProcessingTime")
 
 
+class _TwoLevels(StatefulProcessor):
+    """The two-level limiter's only key: of a call it holds 20 bytes (time, id, number of its client) and what sorting them takes."""
+
+    def __init__(self, window: int, most_global: int, most_client: int, ttl_ms: int | None):
+        self.window, self.most_global, self.most_client, self.ttl_ms = window, most_global, most_client, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", "times array<long>, clients array<string>, passed array<boolean>", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held, numbers, parts = self.state.get(), {}, []
+        log = [] if held is None else list(zip(*(part or [] for part in held)))
+        for part in rows:
+            untimed = part["us"].isna()
+            if untimed.any():  # calls without a time are never let through, as in the batch form
+                yield pd.DataFrame({"call_id": part.loc[untimed, "call_id"], "outcome": "GLOBAL"})
+                part = part[~untimed]
+            clients = np.fromiter((numbers.setdefault(c, len(numbers)) for c in part["client"]), np.int32, len(part))
+            parts.append((part["us"].to_numpy().astype(np.int64), part["call_id"].to_numpy().astype(np.int64), clients))
+        us, ids, clients = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        at, names = np.lexsort((ids, us)), list(numbers)
+        us, ids, clients = us[at], ids[at], clients[at]
+        taken = admitted(us, self.window, self.most_global, deque(x[0] for x in log)) if self.most_global > 0 else np.zeros(len(us), bool)
+        outcome = np.zeros(len(us), np.int8)
+        for i in np.flatnonzero(taken).tolist():  # the others leave no trace
+            now, client = int(us[i]), names[clients[i]]
+            log = [x for x in log if x[0] >= now - self.window]
+            free = sum(own == client and ok for _, own, ok in log) < self.most_client
+            log.append((now, client, free))
+            outcome[i] = 2 if free else 1
+        log = [x for x in log if not len(us) or x[0] >= int(us[-1]) - self.window]
+        self.state.update(tuple([x[k] for x in log] for k in range(3)))
+        words = np.array(["GLOBAL", "CLIENT", "OK"], object)
+        for a in range(0, len(ids), 100_000):
+            yield pd.DataFrame({"call_id": ids[a : a + 100_000], "outcome": words[outcome[a : a + 100_000]]})
+
+    def close(self) -> None:
+        pass
+
+
 def limit_stream(calls: DataFrame, window_seconds: float, most: int, key: str = "key", ts: str = "ts", call_id: str = "call_id", ttl_seconds: float | None = None) -> DataFrame:
     """Streaming sliding-window limiter: (key, call_id, admitted). The state holds at most `most` times."""
     rows = calls.select(F.col(key).cast("string").alias("key"), F.col(call_id).alias("call_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
@@ -74,19 +127,8 @@ def two_level_stream(calls: DataFrame, window_seconds: float, most_global: int,
     a global slot within the window, each with its client and whether that let it through.
     """
     rows = calls.select(F.lit("all").alias("key"), F.coalesce(F.col(client).cast("string"), F.lit("")).alias("client"), F.col(call_id).alias("call_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    window = int(window_seconds * 1e6)
-
-    def step(state, row):
-        log = [x for x in zip(*(part or [] for part in state)) if x[0] >= row.us - window]
-        outcome = "GLOBAL"
-        if len(log) < most_global:
-            free = sum(own == row.client and ok for _, own, ok in log) < most_client
-            log.append((int(row.us), row.client, free))
-            outcome = "OK" if free else "CLIENT"
-        return tuple([x[k] for x in log] for k in range(3)), (row.call_id, outcome)
-
-    out = _folded(rows, "key", "key string, call_id long, outcome string", "times array<long>, clients array<string>, passed array<boolean>", ["us", "call_id"], ([], [], []), step, ttl_seconds)
-    return out.select("call_id", "outcome")
+    processor = _TwoLevels(int(window_seconds * 1e6), most_global, most_client, None if ttl_seconds is None else int(ttl_seconds * 1000))
+    return rows.groupBy("key").transformWithStateInPandas(processor, outputStructType="call_id long, outcome string", outputMode="Append", timeMode="None" if ttl_seconds is None else "ProcessingTime")
 
 
 def code_stream(events: DataFrame, ttl_seconds: float, most_attempts: int, key: str = "session_id", state_ttl_seconds: float | None = None) -> DataFrame:
