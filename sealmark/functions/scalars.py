@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sealmark.functions.mrz import let
+
 DOT = "•"
 #: Month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -132,13 +134,18 @@ def name_tokens(*names: Column) -> Column:
 def loose_date(text: Column) -> Column:
     """A printed date: a year of four digits, a month by name or else the first number up to 12, a day as the first
     number up to 31 that differs from the month, or that equals it. Null where one is missing or no such day exists."""
-    year = F.regexp_extract(text, r"\b(\d{4})\b", 1)
+    named = lambda up: F.coalesce(*(F.when(up.contains(m.upper()), F.lit(i + 1)) for i, m in enumerate(MONTHS)))
     small = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2})\b"), F.lit(1)), lambda d: d.cast("int"))
-    named = F.coalesce(*(F.when(F.upper(text).contains(m.upper()), F.lit(i + 1)) for i, m in enumerate(MONTHS)))
-    month = F.coalesce(named, F.get(F.filter(small, lambda d: d.between(1, 12)), F.lit(0)))
-    days = F.filter(small, lambda d: d.between(1, 31))
-    day = F.coalesce(F.get(F.filter(days, lambda d: d != month), F.lit(0)), F.get(days, F.lit(0)))
-    return F.try_to_date(F.concat_ws("-", F.nullif(year, F.lit("")), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+
+    def dated(small: Column) -> Column:
+        month = F.coalesce(let(F.upper(text), named), F.get(F.filter(small, lambda d: d.between(1, 12)), F.lit(0)))
+        return let(F.struct(month.alias("month"), F.filter(small, lambda d: d.between(1, 31)).alias("days")), joined)
+
+    def joined(p: Column) -> Column:
+        year, day = F.regexp_extract(text, r"\b(\d{4})\b", 1), F.coalesce(F.get(F.filter(p["days"], lambda d: d != p["month"]), F.lit(0)), F.get(p["days"], F.lit(0)))
+        return F.try_to_date(F.concat(let(year, lambda y: F.nullif(y, F.lit(""))), F.lit("-"), F.lpad(p["month"].cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+
+    return let(small, dated)
 
 
 def lighting_status(luminance: Column) -> Column:

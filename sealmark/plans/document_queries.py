@@ -28,9 +28,12 @@ def _zones(spark, sf):
     word = F.regexp_replace(F.upper(F.col("c_mktsegment")), "[^A-Z]", "")
     line1 = F.rpad(F.concat(F.lit("P<UTO"), F.translate(F.lpad((k % 1000).cast("string"), 3, "0"), "0123456789", "ABCDEFGHIJ"), word, F.lit("<<KIM<"), F.translate((k % 50).cast("string"), "0123456789", "KLMNOPQRST")), 44, "<")
     rows = _customers(spark, sf).select("c_custkey", "c_mktsegment", line1.alias("line1"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"))
-    body = rows.withColumn("head", F.concat("number", mrz.check_digit(F.col("number")))).withColumn("mid", F.concat("birth", mrz.check_digit(F.col("birth")))).withColumn("end", F.concat("expiry", mrz.check_digit(F.col("expiry")), F.repeat(F.lit("<"), 15)))
-    line2 = F.concat("head", F.lit("UTO"), "mid", F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M"), "end")
-    return body.select("c_custkey", "c_mktsegment", "line1", F.concat(line2, mrz.check_digit(F.concat("head", "mid", "end"))).alias("line2"))
+    digit = lambda text, width: mrz.let(text, lambda x: mrz.check_digit(x, width))
+    checked = lambda text, width: F.concat(text, digit(F.col(text), width))
+    body = rows.select("*", checked("number", 9).alias("head"), checked("birth", 6).alias("mid"), checked("expiry", 6).alias("end"))
+    # filler adds nothing to a sum, so the last digit needs the places before it alone
+    line2 = F.concat("head", F.lit("UTO"), "mid", F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M"), "end", F.lit("<" * 15))
+    return body.select("c_custkey", "c_mktsegment", "line1", F.concat(line2, digit(F.concat("head", "mid", "end"), 24)).alias("line2"))
 
 
 def k1_check_digits(spark, sf):
