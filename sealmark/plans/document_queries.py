@@ -51,8 +51,8 @@ def k6_mrz_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", mrz.mrz_date(text, F.lit(AS_OF), False).alias("birth"), mrz.mrz_date(text, F.lit(AS_OF), True).alias("expiry"))
 
 
-def _damaged(spark, sf):
-    """Zones as an engine reads them: digits as letters, filler as K, lines cut in two, a doubled P, wrong check digits."""
+def _damaged(spark, sf, **more):
+    """Zones as an engine reads them: digits as letters, filler as K, lines cut in two, a doubled P, wrong check digits. more: columns of clean zones to go with them."""
     k = F.col("c_custkey")
     given = F.regexp_replace("line1", "<<KIM<([K-T]+)<.*$", "<<KIMA<VA$1")
     line1 = F.rpad(given, 44, "<")
@@ -63,15 +63,15 @@ def _damaged(spark, sf):
     l2 = l2.when(k % 7 == 2, F.concat(part(0, 9), ((part(9, 10).cast("int") + 1) % 10).cast("string"), part(10, 44)))
     l2 = l2.when(k % 7 == 3, F.concat(part(0, 21), F.regexp_replace(part(21, 27), "^([^3]*)3", "$1S"), part(27, 44))).when(k % 7 == 4, F.concat(part(0, 10), F.lit("1T0"), part(13, 44)))
     l2 = l2.when(k % 7 == 5, F.concat(part(0, 20), F.translate(part(20, 21), "M", "N"), part(21, 44))).otherwise(F.col("line2"))
-    return _zones(spark, sf).select("c_custkey", l1.alias("line1"), l2.alias("line2"))
+    return _zones(spark, sf).select("c_custkey", l1.alias("line1"), l2.alias("line2"), *(c.alias(n) for n, c in more.items()))
 
 
-def damaged_texts(spark, sf):
+def damaged_texts(spark, sf, **more):
     k = F.col("c_custkey")
     l1 = F.when(k % 5 == 2, F.concat(F.substring("line1", 1, 30), F.lit("\n"), F.substring("line1", 31, 14))).otherwise(F.col("line1"))
     text = F.when(k % 11 == 0, F.lit("nothing to read here")).otherwise(F.concat(F.lit("PASSPORT\n"), l1, F.lit("\n"), F.col("line2"), F.lit("\n")))
-    rows = _damaged(spark, sf).repartition(spark.sparkContext.defaultParallelism)  # made before the work on them
-    return rows.select("c_custkey", F.explode(F.array(text)).alias("text"))  # made once, read often
+    rows = _damaged(spark, sf, **more).repartition(spark.sparkContext.defaultParallelism)  # made before the work on them
+    return rows.select("c_custkey", *more, F.explode(F.array(text)).alias("text"))  # made once, read often
 
 
 def k2_candidate_lines(spark, sf):
@@ -92,8 +92,8 @@ def k8_mrz_outcome(spark, sf):
     return out.select("c_custkey", *(f"zone.{f}" for f in fields), sg.codes(F.col("signals")).alias("codes"), "confidence")
 
 
-def truth_files(spark, sf, given="<<KIM<"):
-    """Truth files of customers: two in three with zone lines (and printed fields that say otherwise), others printed alone, in two scripts."""
+def truth_text(given="<<KIM<"):
+    """The truth file of a customer's clean zone: two in three with zone lines (and printed fields that say otherwise), others printed alone, in two scripts."""
     k = F.col("c_custkey")
     word = F.regexp_replace(F.upper(F.col("c_mktsegment")), "[^A-Z]", "")
     printed = F.concat(
@@ -101,11 +101,12 @@ def truth_files(spark, sf, given="<<KIM<"):
         F.lit("\nCountry Code: uto \nDate of Birth: 0"), (k % 9 + 1).cast("string"), F.lit(" Mar / 1990\nGender/Sex: "), F.when(k % 4 == 1, "女 / F").when(k % 4 == 3, "Male").otherwise("?"), F.lit("\nExpired Date: 2031-12-2"), (k % 10).cast("string"), F.lit("\n"),
     )
     zone = F.concat(F.lit("MRZ Lines:\n P<SHORT \n  "), F.rpad(F.regexp_replace(F.rtrim("line1", F.lit("<")), "<<KIM<", given), 44, "<"), F.lit("  \n"), "line2", F.lit("\n"))
-    return _zones(spark, sf).select("c_custkey", F.concat(printed, F.when(k % 3 != 0, zone).otherwise("MRZ Lines:\nP<UTO\n")).alias("text"))
+    return F.concat(printed, F.when(k % 3 != 0, zone).otherwise("MRZ Lines:\nP<UTO\n"))
 
 
 def k9_truth_fields(spark, sf):
-    return documents.truth_fields(truth_files(spark, sf), F.lit(AS_OF)).drop("text")
+    files = _zones(spark, sf).select("c_custkey", truth_text().alias("text"))
+    return documents.truth_fields(files, F.lit(AS_OF)).drop("text")
 
 
 def k10_id_cards(spark, sf):
